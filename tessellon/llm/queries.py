@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellon.llm import groups
+from tessellon.llm import groups, neighbours
 from tessellon.sources.tables import table
 
 
@@ -26,8 +26,21 @@ def p1_group_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return sizes.groupBy("n_names").agg(F.count("*").alias("n_groups"))
 
 
+def tree_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, vec): parents and children of documents_tree."""
+    rows = table(spark, folder, "documents_tree")
+    own = rows.select(F.element_at("metadata", "chunk_id").alias("id"), F.col("vector").alias("vec"))
+    kids = rows.select(F.explode(F.transform("children", lambda c: F.struct(F.element_at(c["metadata"], "chunk_id").alias("id"), c["vector"].alias("vec")))).alias("c"))
+    return own.unionByName(kids.select("c.id", "c.vec"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks of which one is among the five most similar of the other."""
+    return neighbours.nearest_pairs(tree_vectors(spark, folder))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes}
+    return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found}
 
 
 def oracle_sql() -> dict[str, str]:
