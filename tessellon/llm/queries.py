@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellon.llm import groups, neighbours
+from tessellon.llm import groups, leakage, mixture, neighbours, pieces
 from tessellon.sources.tables import table
 
 
@@ -39,8 +39,52 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest_pairs(tree_vectors(spark, folder))
 
 
+def long_items(spark: SparkSession, folder: str) -> DataFrame:
+    """(field, item_key, size_limit, text): contents of document_info (limit 2,000) and children of documents_tree (500), each key once."""
+    info = table(spark, folder, "document_info").where(F.length("content") > 2000).select("doc_id", "content")
+    info = info.dropDuplicates(["doc_id"]).select(F.lit("info").alias("field"), F.col("doc_id").alias("item_key"), F.lit(2000).alias("size_limit"), F.col("content").alias("text"))
+    kids = child_texts(spark, folder).where(F.length("text") > 500).dropDuplicates(["id"])
+    return info.unionByName(kids.select(F.lit("child").alias("field"), F.col("id").alias("item_key"), F.lit(500).alias("size_limit"), "text"))
+
+
+def child_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, text): children of documents_tree as delivered."""
+    kids = table(spark, folder, "documents_tree").select(F.explode(F.transform("children", lambda c: F.struct(F.element_at(c["metadata"], "chunk_id").alias("id"), c["content"].alias("text")))).alias("c"))
+    return kids.select("c.id", "c.text")
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every item above its limit."""
+    return pieces.split(long_items(spark, folder), F.col("size_limit"), 100)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Items above their limit: those that the splitter cuts."""
+    return p5_pieces(spark, folder).where("piece_no = 0 and n_pieces > 1").select("field", "item_key")
+
+
+def p8_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of documents with the eval_items of which they hold passages, and how much of them."""
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that hold more than 45 % of an item in long unbroken runs."""
+    return p8_overlaps(spark, folder).where("exact_share > 0.45").select("doc_id", "item_id")
+
+
+def p9_uses(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of the mixture of documents by mix_targets and how often each is used."""
+    return mixture.mix(table(spark, folder, "documents").select("doc_id", "source", "text"), table(spark, folder, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    return mixture.mix(table(spark, folder, "documents").select("doc_id", "source", "text"), table(spark, folder, "mix_targets"))[1]
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found}
+    return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_uses": p9_uses, "p9_shares": p9_shares}
 
 
 def oracle_sql() -> dict[str, str]:
