@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellon.llm import groups, leakage, mixture, neighbours, pieces
+from tessellon.llm import groups, leakage, mixture, neardup, neighbours, pieces
 from tessellon.sources.tables import table
 
 
@@ -39,6 +39,29 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest_pairs(tree_vectors(spark, folder))
 
 
+def edited_contents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Classes and links of contents that share half of their runs of three tokens."""
+    info = table(spark, folder, "document_info").select(F.lit("info").alias("field"), F.col("doc_id").alias("key"), F.col("content").alias("text"))
+    kids = child_texts(spark, folder).select(F.lit("child").alias("field"), F.col("id").alias("key"), "text")
+    return neardup.classes_and_links(info.unionByName(kids), at_least=0.5, width=3, bands=30, band_rows=3)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of contents that are one text apart from small edits."""
+    return neardup.key_pairs(*edited_contents(spark, folder))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Class, group and number of links of every content."""
+    return neardup.near_groups(*edited_contents(spark, folder))
+
+
+def p4_similar_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes, groups and links of the texts of documents, by five words and a similarity of 0.8."""
+    rows = table(spark, folder, "documents").select(F.lit("text").alias("field"), F.col("doc_id").cast("string").alias("key"), "text")
+    return neardup.near_groups(*neardup.classes_and_links(rows, by_script=False))
+
+
 def long_items(spark: SparkSession, folder: str) -> DataFrame:
     """(field, item_key, size_limit, text): contents of document_info (limit 2,000) and children of documents_tree (500), each key once."""
     info = table(spark, folder, "document_info").where(F.length("content") > 2000).select("doc_id", "content")
@@ -84,7 +107,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_uses": p9_uses, "p9_shares": p9_shares}
+    return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p4_similar_documents": p4_similar_documents, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_uses": p9_uses, "p9_shares": p9_shares}
 
 
 def oracle_sql() -> dict[str, str]:
