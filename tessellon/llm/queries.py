@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellon.llm import groups, leakage, mixture, neardup, neighbours, pieces
+from tessellon.llm import glyphs, groups, leakage, mixture, neardup, neighbours, pieces
 from tessellon.sources.tables import table
 
 
@@ -86,6 +86,23 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_pieces(spark, folder).where("piece_no = 0 and n_pieces > 1").select("field", "item_key")
 
 
+def written_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(field, item_key, text): contents of document_info and names of entity_raw, each key and text once."""
+    info = table(spark, folder, "document_info").select(F.lit("content").alias("field"), F.col("doc_id").alias("item_key"), F.col("content").alias("text"))
+    names = table(spark, folder, "entity_raw").select(F.lit("entity_name").alias("field"), F.col("entity_id").cast("string").alias("item_key"), F.col("entity_name").alias("text"))
+    return info.unionByName(names).where("item_key is not null and text is not null")
+
+
+def p6_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of every content and name."""
+    return glyphs.forms(written_texts(spark, folder).dropDuplicates(["field", "item_key", "text"]))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that hold stand-ins or marks that can't be seen."""
+    return glyphs.stand_ins(written_texts(spark, folder)).select("field", "item_key").distinct()
+
+
 def p8_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of documents with the eval_items of which they hold passages, and how much of them."""
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
@@ -107,7 +124,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p4_similar_documents": p4_similar_documents, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_uses": p9_uses, "p9_shares": p9_shares}
+    return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p4_similar_documents": p4_similar_documents, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_forms": p6_forms, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_uses": p9_uses, "p9_shares": p9_shares}
 
 
 def oracle_sql() -> dict[str, str]:
