@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellon.llm import glyphs, groups, leakage, mixture, neardup, neighbours, pieces
+from tessellon.llm import glyphs, groups, leakage, mixture, neardup, neighbours, pieces, scans
 from tessellon.sources.tables import table
 
 
@@ -103,6 +103,16 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return glyphs.stand_ins(written_texts(spark, folder)).select("field", "item_key").distinct()
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """What scanning did to the contents of document_info."""
+    return scans.defects(table(spark, folder, "document_info").select("doc_id", "content"))
+
+
+def p7_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """The contents of document_info as continuous, readable paragraphs."""
+    return scans.repaired(table(spark, folder, "document_info").select("doc_id", "content"))
+
+
 def p8_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of documents with the eval_items of which they hold passages, and how much of them."""
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
@@ -124,7 +134,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p4_similar_documents": p4_similar_documents, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_forms": p6_forms, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_uses": p9_uses, "p9_shares": p9_shares}
+    return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p4_similar_documents": p4_similar_documents, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_uses": p9_uses, "p9_shares": p9_shares}
 
 
 def oracle_sql() -> dict[str, str]:
