@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellon.llm import glyphs, groups, leakage, mixture, neardup, neighbours, pieces, scans
+from tessellon.llm import glyphs, groups, leakage, mixture, neardup, neighbours, pieces, scans, subjects
 from tessellon.sources.tables import table
 
 
@@ -133,8 +133,24 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(table(spark, folder, "documents").select("doc_id", "source", "text"), table(spark, folder, "mix_targets"))[1]
 
 
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The part of each document's sentences that deals with each area."""
+    return subjects.area_shares(table(spark, folder, "documents"), table(spark, folder, "subject_areas"), table(spark, folder, "area_labels"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Areas with about a quarter or more of a document's sentences."""
+    return p10_shares(spark, folder).where("share >= 0.24").select("doc_id", "area").distinct()
+
+
+def p10_make_up(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents deal with each area, and the corpus's sentences weighted by document."""
+    rows = p10_shares(spark, folder)
+    return rows.groupBy("area").agg(F.sum(F.when(F.col("share") >= 0.24, 1).otherwise(0)).alias("n_documents"), F.round(F.sum("share"), 3).alias("document_shares"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p4_similar_documents": p4_similar_documents, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_uses": p9_uses, "p9_shares": p9_shares}
+    return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p4_similar_documents": p4_similar_documents, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_uses": p9_uses, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares, "p10_make_up": p10_make_up}
 
 
 def oracle_sql() -> dict[str, str]:
