@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellon.llm import glyphs, groups, leakage, mixture, neardup, neighbours, pieces, scans, subjects
+from tessellon.llm import glyphs, groups, leakage, mixture, names, neardup, neighbours, pieces, scans, subjects
 from tessellon.sources.tables import table
 
 
@@ -39,6 +39,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest_pairs(tree_vectors(spark, folder))
 
 
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The person or organisation of every row of entity_raw that is one or may be."""
+    return names.entity_groups(table(spark, folder, "entity_raw").select("entity_id", "entity_name", "entity_type", "aliases"), table(spark, folder, "terms_seed"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of entity_ids of one person or organisation."""
+    return names.group_pairs(p3_groups(spark, folder))
+
+
 def edited_contents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Classes and links of contents that share half of their runs of three tokens."""
     info = table(spark, folder, "document_info").select(F.lit("info").alias("field"), F.col("doc_id").alias("key"), F.col("content").alias("text"))
@@ -150,7 +160,7 @@ def p10_make_up(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p4_similar_documents": p4_similar_documents, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_uses": p9_uses, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares, "p10_make_up": p10_make_up}
+    return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_groups": p4_groups, "p4_similar_documents": p4_similar_documents, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_uses": p9_uses, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares, "p10_make_up": p10_make_up}
 
 
 def oracle_sql() -> dict[str, str]:
