@@ -301,9 +301,15 @@ def unit_number(c: Column | str, unit: str) -> Column:
     return F.regexp_extract(col(c), f"(?i)([0-9]+(?:\\.[0-9]+)?)\\s*{unit}", 1).try_cast("double")
 
 
+def characters(c: Column | str) -> Column:
+    """The text's characters; indexing this is constant time, unlike substring."""
+    return F.split(col(c), "")
+
+
 def trigrams(c: Column | str, first: int | None = None) -> Column:
     text = F.substring(col(c), 1, first) if first else col(c)
-    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    runs = F.zip_with(F.zip_with(characters(text), F.slice(characters(text), 2, 1_000_000_000), lambda a, b: F.concat(a, b)), F.slice(characters(text), 3, 1_000_000_000), lambda ab, d: F.concat(ab, d))
+    return F.when(F.length(text) >= 3, F.array_distinct(F.filter(runs, lambda r: r.isNotNull()))).otherwise(F.array().cast("array<string>"))
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:

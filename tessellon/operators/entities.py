@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessellon.functions import text as X
 from tessellon.functions import vectors as V
 from tessellon.operators import graph
+from tessellon.plans.lineage import is_small
 
 # Words of standard names that tell an entity's type, in order.
 PRODUCT_WORDS = ["星载智能计算机", "星载激光通信机", "星载路由器", "智桥", "智光", "智加G", "智加NX", "智加X", "G1", "G2", "G3", "NX1", "NX2", "NX3", "NX4", "X1", "X2", "X3", "X4"]
@@ -33,9 +34,10 @@ def dictionary_hits(texts: DataFrame, terms: DataFrame, key: str = "chunk_id", t
     both = terms.select(F.lower("alias").alias("term"), "standard").union(terms.select(F.lower("standard"), "standard")).where("term <> ''").distinct()
     two = both.where("length(term) >= 2").select(F.substring("term", 1, 2).alias("head"), "term", "standard")
     heads = two.select("head").distinct()
-    low = texts.select(key, F.lower(F.col(text)).alias("t")).where("length(t) >= 2")
-    spots = low.select(key, "t", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.struct(i.alias("i"), F.substring(F.col("t"), i, F.lit(2)).alias("head")))).alias("s")).select(key, "s.head", F.substring("t", F.col("s.i"), F.lit(64)).alias("rest"))
-    found = spots.join(F.broadcast(heads), "head", "left_semi").join(two, "head").where(F.col("rest").startswith(F.col("term")))
+    low = texts.select(key, X.characters(F.lower(F.col(text))).alias("t")).where("size(t) >= 2")
+    pairs = F.zip_with("t", F.slice("t", 2, 1_000_000_000), lambda a, b: F.concat(a, b))
+    spots = low.select(key, "t", F.posexplode(pairs).alias("i", "head")).where("head is not null").join(F.broadcast(heads) if is_small(heads, 100_000) else heads, "head", "left_semi")
+    found = spots.select(key, "head", F.array_join(F.slice("t", F.col("i") + 1, F.lit(64)), "").alias("rest")).join(two, "head").where(F.col("rest").startswith(F.col("term")))
     return found.groupBy(key, "standard").agg(F.count("*").alias("n"))
 
 

@@ -54,8 +54,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     label = arcs.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
     for _ in range(max_rounds):
         told = arcs.join(label.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "root")
-        met = cut(label.unionByName(told).groupBy("id").agg(F.min("root").alias("root")))
-        jump = met.join(met.select(F.col("id").alias("root"), F.col("root").alias("_up")), "root", "left").select("id", F.least("root", F.coalesce("_up", "root")).alias("root"))
+        met = label.unionByName(told).groupBy("id").agg(F.min("root").alias("root"))
+        jump = met.join(label.select(F.col("id").alias("root"), F.col("root").alias("_up")), "root", "left").select("id", F.least("root", F.coalesce("_up", "root")).alias("root"))
         new = cut(jump)
         moved = new.join(label.withColumnRenamed("root", "_old"), "id").where("root <> _old").limit(1).count()
         label = new

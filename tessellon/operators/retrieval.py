@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,13 +91,44 @@ def bm25(queries: DataFrame, index: DataFrame, keep: Column | None = None, field
     return scored.join(small(terms), "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("s") * F.col("weight")), 6).alias("score"))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, key: str = "chunk_id", floor: float = 0.0) -> DataFrame:
-    """(query_id, key, score): (1 + cosine) / 2 of every query (query_id, query_vec) and row of vectors (key, vec) with a cosine of `floor` at least; null and zero vectors and other lengths take no part."""
-    ok = vectors.where(F.col("vec").isNotNull()).withColumn("_n", V.norm(F.col("vec"))).where("_n > 0")
+def knn(queries: DataFrame, vectors: DataFrame, key: str = "chunk_id", floor: float = 0.0, k: int | None = None, most_queries: int = 2_000) -> DataFrame:
+    """(query_id, key, score): (1 + cosine) / 2 of every query (query_id, query_vec) and row of vectors (key, vec) with a cosine of `floor` at least; null and zero vectors and other lengths take no part.
+
+    Up to most_queries queries go to the tasks as a matrix, which is multiplied
+    with each batch; with k only rows that can be among a query's k best leave
+    a batch (equals included). More queries are joined instead.
+    """
     asked = queries.where(F.col("query_vec").isNotNull()).withColumn("_qn", V.norm(F.col("query_vec"))).where("_qn > 0")
-    pairs = ok.join(small(asked, 2_000), F.size("vec") == F.size("query_vec"))
-    cos = F.round(V.dot(F.col("vec"), F.col("query_vec")) / (F.col("_n") * F.col("_qn")), 6)
-    return pairs.withColumn("cos", cos).where(F.col("cos") >= floor).select("query_id", key, F.round((1 + F.col("cos")) / 2, 6).alias("score"))
+    ok = vectors.where(F.col("vec").isNotNull())
+    if not is_small(asked, most_queries):
+        pairs = ok.withColumn("_n", V.norm(F.col("vec"))).where("_n > 0").join(asked, F.size("vec") == F.size("query_vec"))
+        cos = F.round(V.dot(F.col("vec"), F.col("query_vec")) / (F.col("_n") * F.col("_qn")), 6)
+        return pairs.withColumn("cos", cos).where(F.col("cos") >= floor).select("query_id", key, F.round((1 + F.col("cos")) / 2, 6).alias("score"))
+    rows = asked.select("query_id", "query_vec").toPandas()
+    by_size = {n: g for n, g in rows.groupby(rows["query_vec"].map(len))}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            sizes = p["vec"].map(len)
+            for n, g in by_size.items():
+                q = np.array(g["query_vec"].tolist(), dtype=np.float64)
+                ids, qids = p[key].to_numpy()[sizes == n], g["query_id"].to_numpy()
+                if not len(ids):
+                    continue
+                x = np.array(p["vec"][sizes == n].tolist(), dtype=np.float64)
+                norms = np.linalg.norm(x, axis=1)
+                good = np.isfinite(norms) & (norms > 0)
+                x, ids = x[good] / norms[good, None], ids[good]
+                cos = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ x.T, 6)
+                keep = cos >= floor
+                if k is not None and cos.shape[1] > k:
+                    keep &= cos >= -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
+                i, j = np.nonzero(keep)
+                yield pd.DataFrame({"query_id": qids[i], key: ids[j], "cos": cos[i, j]})
+
+    types = dict(queries.dtypes) | {key: dict(vectors.dtypes)[key]}
+    found = ok.select(key, "vec").mapInPandas(run, f"query_id {types['query_id']}, {key} {types[key]}, cos double")
+    return found.select("query_id", key, F.round((1 + F.col("cos")) / 2, 6).alias("score"))
 
 
 def top(scored: DataFrame, k: int, key: str = "chunk_id", out: str = "rank") -> DataFrame:
@@ -127,7 +159,7 @@ def hybrid(terms: DataFrame, vectors: DataFrame | None, index: DataFrame, option
     if vectors is None:
         return words.where(F.col("rank") < options.top_k)
     near = index.where(searchable(options)).select("chunk_id", F.col("embedding_vector").alias("vec"))
-    close = top(knn(vectors, near), can)
+    close = top(knn(vectors, near, k=can), can)
     return fused_top(fuse(words, close, 1 - options.vector_weight, options.vector_weight), options.top_k).select("query_id", "chunk_id", "score", "rank")
 
 

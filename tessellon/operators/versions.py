@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellon.functions import text as X
+from tessellon.plans.lineage import cut
 
 
 def name_groups(files: DataFrame) -> DataFrame:
@@ -33,6 +34,7 @@ def similar_contents(files: DataFrame, at_least: float = 0.7, first: int = 5000,
     either, as many as the threshold leaves, so common runs pair nothing.
     """
     rows = files.where("length(content) > 50").select("folder", F.col(key).alias("k"), X.trigrams("content", first).alias("g")).withColumn("n", F.size("g"))
+    rows = cut(rows)
     grams = rows.select("folder", "k", "n", F.explode("g").alias("g"))
     df = grams.groupBy("folder", "g").agg(F.count("*").alias("df"))
     ranked = grams.join(df, ["folder", "g"]).groupBy("folder", "k", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("p"))

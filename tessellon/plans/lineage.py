@@ -21,9 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df computed once and kept in the shared folder; survives the loss of executors.
+
+    A checkpoint inherits the size estimated for its plan; in a loop these
+    estimates multiply until they overflow. The result is therefore a frame of
+    the checkpoint's rows alone, which adaptive execution sizes as it runs.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)
+    rows = kept._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
 def is_small(df: DataFrame, max_rows: int) -> bool:
