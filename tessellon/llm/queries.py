@@ -163,5 +163,15 @@ def queries() -> dict:
     return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_groups": p4_groups, "p4_similar_documents": p4_similar_documents, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_uses": p9_uses, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares, "p10_make_up": p10_make_up}
 
 
+_GROUPS = """WITH RECURSIVE m AS (SELECT standard_name AS a, c.alias AS b FROM (SELECT standard_name, unnest(candidate_aliases) AS c FROM alias_candidates)),
+names AS (SELECT standard_name AS n FROM alias_candidates WHERE standard_name IS NOT NULL UNION SELECT b FROM m WHERE b IS NOT NULL),
+e AS (SELECT a, b FROM m WHERE a <> b UNION SELECT b, a FROM m WHERE a <> b),
+r(n, g) AS (SELECT n, n FROM names UNION SELECT r.n, e.b FROM r JOIN e ON r.g = e.a), groups AS (SELECT n AS entity_name, min(g) AS group_name FROM r GROUP BY 1) """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": _GROUPS + "SELECT entity_name, group_name FROM groups",
+        "p1_group_sizes": _GROUPS + "SELECT n_names, count(*) AS n_groups FROM (SELECT count(*) AS n_names FROM groups GROUP BY group_name) GROUP BY 1",
+        "p5_found": "SELECT DISTINCT 'info' AS field, doc_id AS item_key FROM document_info WHERE length(content) > 2000 UNION ALL SELECT DISTINCT 'child', c.metadata['chunk_id'] FROM (SELECT unnest(children) AS c FROM documents_tree) WHERE length(c.content) > 500",
+    }
