@@ -45,51 +45,70 @@ def _sets(texts: list[str], width: int, chars: bool) -> tuple[np.ndarray, np.nda
     return run[first], owner[first]
 
 
+def _typed_sets(texts: list[str], width: int, by_script: bool) -> tuple[np.ndarray, np.ndarray]:
+    """_sets of texts, each by words or by characters as its script asks."""
+    chars = tokens.is_ideographic(texts) if by_script else np.zeros(len(texts), bool)
+    parts = []
+    for kind in (False, True):
+        of = np.nonzero(chars == kind)[0]
+        if len(of):
+            run, owner = _sets([texts[i] for i in of], width, kind)
+            parts.append((run, of[owner]))
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    run, owner = (np.concatenate([x[i] for x in parts]) for i in range(2))
+    if len(parts) > 1:
+        order = np.argsort(owner, kind="stable")
+        run, owner = run[order], owner[order]
+    return run, owner
+
+
 def sketches(rows: DataFrame, width: int, bands: int, band_rows: int, by_script: bool) -> DataFrame:
-    """rows (field, key, text) as (field, key, n, elements, bands, odd); texts without a token drop out."""
+    """rows (field, key, text) as (id, field, key, text_hash, n, class_a, class_b, bands, odd); texts without a token drop out. Nothing of the text itself stays."""
     k = bands * band_rows
-    schema = "field string, key string, n int, elements array<bigint>, bands array<bigint>, odd array<bigint>"
+    schema = "id bigint, field string, key string, text_hash bigint, n int, class_a bigint, class_b bigint, bands array<bigint>, odd array<bigint>"
     rng = np.random.default_rng(41)
     factor = rng.integers(1, 1 << 62, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     addend = rng.integers(0, 1 << 62, k, dtype=np.uint64)
 
-    def fold(run: np.ndarray, owner: np.ndarray) -> Iterator[tuple]:
-        ids, begin = np.unique(owner, return_index=True)
-        least = np.empty((len(ids), k), np.uint64)
-        for i in range(k):
-            least[:, i] = np.minimum.reduceat((run * factor[i] + addend[i]) >> np.uint64(24), begin)
-        slot = np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        place = tokens.mix(least + slot)
-        bit = (place % np.uint64(64 * WORDS)).astype(np.int64)
-        parity = np.zeros((len(ids), 64 * WORDS), np.uint8)
-        np.add.at(parity, (np.arange(len(ids))[:, None], bit), 1)
-        odd = np.packbits(parity & 1, axis=1).view(np.int64)
-        band = place.reshape(len(ids), bands, band_rows)
-        total = np.zeros((len(ids), bands), np.uint64)
-        for j in range(band_rows):
-            total = tokens.mix(total ^ band[:, :, j])
-        signed, whole = run.view(np.int64), total.view(np.int64)
-        ends = np.append(begin[1:], len(run))
-        for r, i in enumerate(ids):
-            yield i, signed[begin[r] : ends[r]], whole[r], odd[r]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if not len(p):
                 continue
-            texts = p["text"].tolist()
-            chars = tokens.is_ideographic(texts) if by_script else np.zeros(len(texts), bool)
-            out: list[tuple] = []
-            for kind in (False, True):
-                of = np.nonzero(chars == kind)[0]
-                if len(of):
-                    elements, owner = _sets([texts[i] for i in of], width, kind)
-                    if len(owner):
-                        out += [(of[i], e, b, o) for i, e, b, o in fold(elements, owner)]
-            at = [i for i, *_ in out]
-            yield pd.DataFrame({"field": p["field"].to_numpy()[at], "key": p["key"].to_numpy()[at], "n": [len(e) for _, e, *_ in out], "elements": [e for _, e, *_ in out], "bands": [b for *_, b, _ in out], "odd": [o for *_, o in out]})
-
-    return rows.where("field is not null and key is not null and text <> ''").select("field", "key", "text").mapInPandas(run, schema)
+            elements, owner = _typed_sets(p["text"].tolist(), width, by_script)
+            if not len(owner):
+                continue
+            ids, begin = np.unique(owner, return_index=True)
+            least = np.empty((len(ids), k), np.uint64)
+            scratch = np.empty(len(elements), np.uint64)
+            for i in range(k):
+                np.multiply(elements, factor[i], out=scratch)
+                scratch += addend[i]
+                least[:, i] = np.minimum.reduceat(scratch, begin)
+            least >>= np.uint64(24)
+            place = tokens.mix(least + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            parity = np.zeros((len(ids), 64 * WORDS), np.uint8)
+            np.add.at(parity, (np.arange(len(ids))[:, None], (place % np.uint64(64 * WORDS)).astype(np.int64)), 1)
+            odd = np.packbits(parity & 1, axis=1).view(np.int64)
+            total = np.zeros((len(ids), bands), np.uint64)
+            for j in range(band_rows):
+                total = tokens.mix(total ^ place.reshape(len(ids), bands, band_rows)[:, :, j])
+            # sums over the set: order and repeats of the text don't matter
+            class_a, class_b = np.add.reduceat(elements, begin), np.add.reduceat(tokens.mix(elements + np.uint64(5)), begin)
+            kept = p.iloc[ids]
+            yield pd.DataFrame({
+                "id": kept["id"].to_numpy(), "field": kept["field"].to_numpy(), "key": kept["key"].to_numpy(), "text_hash": kept["text_hash"].to_numpy(),
+                "n": np.diff(np.append(begin, len(elements))), "class_a": class_a.view(np.int64), "class_b": class_b.view(np.int64),
+                "bands": list(total.view(np.int64)), "odd": list(odd),
+            })
+
+    return identified(rows).mapInPandas(run, schema)
+
+
+def identified(rows: DataFrame) -> DataFrame:
+    """(id, field, key, text_hash, text) of the rows that have a field, a key and a text."""
+    ok = rows.where("field is not null and key is not null and text <> ''")
+    return ok.select(F.xxhash64("field", "key").alias("id"), "field", "key", F.xxhash64("text").alias("text_hash"), "text")
 
 
 def _estimate(k: int) -> Column:
@@ -106,30 +125,45 @@ def classes_and_links(rows: DataFrame, at_least: float = 0.8, width: int = 5, ba
     members: (field, key, rep), rep being the smallest key of the text's class
     (equal sets of runs). links: (field, a, b, similarity) between
     representatives a < b of one field with a Jaccard similarity of at_least.
-    Of a repeated key the first text in order counts. Null keys, null texts and
+    Of a repeated key one text counts, that with the smallest hash. Null keys, null texts and
     texts without a letter or digit have no row. by_script: texts mostly of
     ideographs are taken by characters, others by words. slack: by how much the
     sketch's estimate may lie under at_least.
     """
     k = bands * band_rows
-    rows = rows.groupBy("field", "key").agg(F.min("text").alias("text"))
-    made = sketches(rows, width, bands, band_rows, by_script).withColumn("class", F.xxhash64("field", "elements")).withColumn("class2", F.xxhash64(F.lit(1), "field", F.reverse("elements")))
-    made = cut(made)
-    reps = made.groupBy("field", "class", "class2").agg(F.min("key").alias("rep"))
-    members = cut(made.select("field", "key", "class", "class2").join(reps, ["field", "class", "class2"]).select("field", "key", "rep"))
-    own = made.join(reps.select("field", F.col("rep").alias("key")), ["field", "key"], "left_semi").withColumn("id", F.xxhash64("field", "key"))
-    banded = own.select("field", "key", "n", F.explode("bands").alias("band"))
-    low, high = banded.select("field", F.col("key").alias("a"), F.col("n").alias("na"), "band"), banded.select("field", F.col("key").alias("b"), F.col("n").alias("nb"), "band")
+    made = cut(sketches(rows, width, bands, band_rows, by_script))
+    chosen = cut(made.groupBy("id").agg(F.min(F.struct("text_hash", "class_a", "class_b", "field", "key")).alias("c")).select("id", "c.*"))
+    reps = chosen.groupBy("field", "class_a", "class_b").agg(F.min_by(F.struct("id", "key", "text_hash"), "key").alias("r"))
+    members = cut(chosen.select("field", "key", "class_a", "class_b").join(reps, ["field", "class_a", "class_b"]).select("field", "key", F.col("r.key").alias("rep")))
+    asked = reps.select("r.id", F.col("r.text_hash").alias("_h"))
+    own = made.join(asked, "id").where("text_hash = _h").dropDuplicates(["id"])
+    banded = own.select("id", "n", F.posexplode("bands").alias("no", "hash"), "field").select("id", "n", F.xxhash64("field", "no", "hash").alias("band"))
+    a, b = banded.select(F.col("id").alias("a"), F.col("n").alias("na"), "band"), banded.select(F.col("id").alias("b"), F.col("n").alias("nb"), "band")
     fits = (F.col("na") >= F.ceil(F.col("nb") * (at_least - 1e-9))) & (F.col("nb") >= F.ceil(F.col("na") * (at_least - 1e-9)))
-    pairs = low.join(high, ["field", "band"]).where(F.col("a") < F.col("b")).where(fits).select("field", "a", "b").distinct()
-    odd = own.select("field", "key", "odd")
-    near = pairs.join(odd.select("field", F.col("key").alias("a"), F.col("odd").alias("oa")), ["field", "a"]).join(odd.select("field", F.col("key").alias("b"), F.col("odd").alias("ob")), ["field", "b"])
-    near = near.where(_estimate(k) >= at_least - slack).select("field", "a", "b")
-    full = own.select("field", "key", "elements")
-    both = near.join(full.select("field", F.col("key").alias("a"), F.col("elements").alias("ea")), ["field", "a"]).join(full.select("field", F.col("key").alias("b"), F.col("elements").alias("eb")), ["field", "b"])
-    common = F.size(F.array_intersect("ea", "eb"))
-    both = both.withColumn("similarity", common / (F.size("ea") + F.size("eb") - common))
-    return members, cut(both.where(F.col("similarity") >= at_least).select("field", "a", "b", "similarity"))
+    pairs = a.join(b, "band").where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct()
+    odd = own.select("id", "odd")
+    near = pairs.join(odd.select(F.col("id").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("id").alias("b"), F.col("odd").alias("ob")), "b")
+    near = cut(near.where(_estimate(k) >= at_least - slack).select("a", "b"))
+    # what the sketches leave is compared by the texts themselves
+    ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = identified(rows).join(ends, "id", "left_semi").join(asked, "id").where("text_hash = _h").groupBy("id").agg(F.min(F.struct("key", "field", "text")).alias("t"))
+    both = near.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+
+    @F.pandas_udf("double")
+    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
+        n = len(x)
+        run, owner = _typed_sets([*x, *y], width, by_script)
+        size = np.bincount(owner, minlength=2 * n)
+        pair = owner % n if n else owner
+        order = np.lexsort((run, pair))
+        run, pair = run[order], pair[order]
+        same = (run[1:] == run[:-1]) & (pair[1:] == pair[:-1])
+        common = np.bincount(pair[1:][same], minlength=n)
+        return pd.Series(common / np.maximum(size[:n] + size[n:] - common, 1))
+
+    both = both.withColumn("similarity", similarity("ta.text", "tb.text")).where(F.col("similarity") >= at_least)
+    ka, kb = F.col("ta.key"), F.col("tb.key")
+    return members, cut(both.select(F.col("ta.field").alias("field"), F.least(ka, kb).alias("a"), F.greatest(ka, kb).alias("b"), "similarity"))
 
 
 def near_groups(members: DataFrame, links: DataFrame) -> DataFrame:

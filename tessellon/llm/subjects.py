@@ -31,7 +31,9 @@ def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     word = t.word[codes] & ~((codes >= 48) & (codes <= 57))
     ideo = t.ideograph[codes] & word
     n = len(codes)
-    stop = np.isin(codes, [10, 13, 0x21, 0x3F, 0x3002, 0xFF61, 0])
+    ends = np.zeros(len(t.word), bool)
+    ends[[10, 13, 0x21, 0x3F, 0x3002, 0xFF01, 0xFF1F, 0xFF61, 0]] = True
+    stop = ends[codes]
     if n > 1:
         stop[:-1] |= (codes[:-1] == 0x2E) & ~t.word[codes[1:]]
     sentence = np.cumsum(np.concatenate([[False], stop[:-1]])) if n else np.empty(0, np.int64)
@@ -51,11 +53,12 @@ def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         two = np.nonzero(ideo[:-1] & ideo[1:])[0]
         a, b = codes[two].astype(np.uint64), codes[two + 1].astype(np.uint64)
         out.append((tokens.mix(a * np.uint64(0x200001) + b + np.uint64(77)), two, np.full(len(two), 2)))
-    if not out:
-        return tuple(np.empty(0, np.int64) for _ in range(5)) + (codes,)
-    h, start, length = (np.concatenate([o[i] for o in out]) for i in range(3))
-    order = np.argsort(start, kind="stable")
-    h, start, length = h[order], start[order], length[order]
+    # both kinds in one order of place, without a sort: no two begin at one place
+    hashes, lengths = np.zeros(n, np.uint64), np.zeros(n, np.int8)
+    for h, start, length in out:
+        hashes[start], lengths[start] = h, length
+    start = np.nonzero(lengths)[0]
+    h, length = hashes[start], lengths[start]
     return h.view(np.int64), doc[start], sentence[start], start, length, codes
 
 
@@ -67,7 +70,7 @@ def vocabulary(rows: DataFrame, least: int, most: float, max_terms: int) -> pd.D
             h, doc, _, start, length, codes = _terms(p["text"].tolist())
             if not len(h):
                 continue
-            order = np.lexsort((doc, h))
+            order = np.argsort(h, kind="stable")  # texts stay in order under each term
             h, doc, start, length = h[order], doc[order], start[order], length[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import unicodedata
@@ -11,6 +12,8 @@ import numpy as np
 #: Characters that show nothing and are deleted before any comparison.
 IGNORABLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯ㅤ︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️﻿ﾠ"
 
+# characters whose compatibility form is another letter or digit lie outside this class; its wide punctuation is none
+_ODD = re.compile("[^\\x00-\\x7f\\u4e00-\\u9fff\\u3001-\\u3011\\uff01\\uff08\\uff09\\uff0c\\uff1a\\uff1b\\uff1f\\u2013\\u2014\\u2018-\\u201d\\u2026]")
 _TOP = 0x32400
 _LONGEST = 4096
 
@@ -49,13 +52,13 @@ def _tables() -> types.ModuleType:
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(code points, text number of each): compatibility forms, lower case, ignorable characters deleted."""
     t = _tables()
-    joined = "\0".join(x.replace("\0", " ") for x in texts)
-    joined = unicodedata.normalize("NFKC", joined).lower()
+    joined = "\0".join(x if x.isascii() or not _ODD.search(x) else unicodedata.normalize("NFKC", x) for x in (x.replace("\0", " ") for x in texts)).lower()
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    doc = np.cumsum(codes == 0)
-    codes = np.where(codes < _TOP, codes, 0xFFFD)
+    doc = np.cumsum(codes == 0, dtype=np.int32)
+    if len(codes) and codes.max() >= _TOP:
+        codes = np.where(codes < _TOP, codes, 0xFFFD)
     keep = ~t.drop[codes]
-    return codes[keep], doc[keep]
+    return (codes, doc) if keep.all() else (codes[keep], doc[keep])
 
 
 def is_ideographic(texts: list[str]) -> np.ndarray:
