@@ -28,16 +28,20 @@ def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     """(hash, text number, sentence number, start, length, codes) of the terms of texts in order; sentences count over all texts."""
     t = tokens._tables()
     codes, doc = tokens.codes_of(texts)
-    word = t.word[codes] & ~((codes >= 48) & (codes <= 57))
-    ideo = t.ideograph[codes] & word
     n = len(codes)
-    ends = np.zeros(len(t.word), bool)
-    ends[[10, 13, 0x21, 0x3F, 0x3002, 0xFF01, 0xFF1F, 0xFF61, 0]] = True
-    stop = ends[codes]
-    if n > 1:
-        stop[:-1] |= (codes[:-1] == 0x2E) & ~t.word[codes[1:]]
-    sentence = np.cumsum(np.concatenate([[False], stop[:-1]])) if n else np.empty(0, np.int64)
-    letters = word & ~ideo
+    # one look-up for all classes: 1 letter, 2 ideograph, 4 end of a sentence, 8 full stop, 16 digit
+    kinds = np.zeros(len(t.word), np.uint8)
+    kinds[t.word] = 1
+    kinds[t.ideograph & t.word] = 2
+    kinds[48:58] = 16
+    kinds[[10, 13, 0x21, 0x3F, 0x3002, 0xFF01, 0xFF1F, 0xFF61, 0]] = 4
+    kinds[0x2E] = 8
+    kind = kinds[codes]
+    stop = kind == 4
+    dots = np.nonzero(kind[:-1] == 8)[0] if n > 1 else np.empty(0, np.int64)
+    stop[dots] = (kind[dots + 1] & 19) == 0
+    sentence = np.cumsum(stop, dtype=np.int32)
+    letters, ideo = kind == 1, kind == 2
     at = np.nonzero(letters)[0]
     out = []
     if len(at):
@@ -68,7 +72,7 @@ def vocabulary(rows: DataFrame, least: int, most: float, max_terms: int) -> pd.D
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             h, doc, _, start, length, codes = _terms(p["text"].tolist())
-            if not len(h):
+            if not len(p):
                 continue
             order = np.argsort(h, kind="stable")  # texts stay in order under each term
             h, doc, start, length = h[order], doc[order], start[order], length[order]
@@ -77,11 +81,12 @@ def vocabulary(rows: DataFrame, least: int, most: float, max_terms: int) -> pd.D
             u, at, n = np.unique(h[new], return_index=True, return_counts=True)
             at = np.nonzero(new)[0][at]
             term = [codes[s : s + k].astype("<u4").tobytes().decode("utf-32-le", "replace") for s, k in zip(start[at], length[at])]
-            yield pd.DataFrame({"h": u, "term": term, "df": n})
+            # the row without a term counts the texts
+            yield pd.DataFrame({"h": np.append(u, 0), "term": [*term, ""], "df": np.append(n, len(p))})
 
-    n = rows.count()
-    counted = rows.mapInPandas(count, "h bigint, term string, df bigint").groupBy("h").agg(F.min("term").alias("term"), F.sum("df").alias("df"))
-    kept = counted.where((F.col("df") >= least) & (F.col("df") <= max(least, most * n)))
+    counted = cut(rows.mapInPandas(count, "h bigint, term string, df bigint").groupBy("h").agg(F.min("term").alias("term"), F.sum("df").alias("df")).where(F.col("df") >= least))
+    n = counted.where("term = ''").agg(F.sum("df")).first()[0] or 0
+    kept = counted.where((F.col("term") != "") & (F.col("df") <= max(least, most * n)))
     return kept.orderBy(F.desc("df"), "term").limit(max_terms).toPandas()
 
 
@@ -138,9 +143,9 @@ def _infer(p: pd.DataFrame, log_beta: np.ndarray, alpha: float, steps: int = 6)
         return terms, terms, owner, np.empty((0, k))
     fit = np.add.reduceat(log_beta[terms], np.cumsum(sizes) - sizes, axis=0)
     heads = np.nonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))[0]
-    gamma = np.ones((len(p), k)) * (alpha + 1)
+    gamma = np.full((len(p), k), alpha + 1)
     for _ in range(steps):
-        q = fit + _digamma(gamma)[owner]
+        q = fit + _digamma(gamma).astype(np.float32)[owner]
         q = np.exp(q - q.max(1, keepdims=True))
         q /= q.sum(1, keepdims=True)
         gamma[:] = alpha
@@ -170,7 +175,7 @@ class Model:
 
 
 def _expected(lam: np.ndarray) -> np.ndarray:
-    return (_digamma(lam) - _digamma(lam.sum(1, keepdims=True))).T
+    return np.ascontiguousarray((_digamma(lam) - _digamma(lam.sum(1, keepdims=True))).T, dtype=np.float32)
 
 
 def fit(coded: DataFrame, labels: DataFrame, vocab: pd.DataFrame, areas: list[str], free: int = 1, passes: int = 3, alpha: float = 0.1, eta: float = 0.05, seed: int = 3) -> Model:
@@ -208,8 +213,11 @@ def fit(coded: DataFrame, labels: DataFrame, vocab: pd.DataFrame, areas: list[st
             sums = np.zeros((k, v))
             for p in batches:
                 terms, sentence, _, q = _infer(p, log_beta, alpha)
+                # a topic counts where it can be seen at all; most sentences have one
                 for i in range(k):
-                    sums[i] += np.bincount(terms, weights=q[sentence, i], minlength=v)
+                    part = q[:, i]
+                    some = (part > 1e-4)[sentence]
+                    sums[i] += np.bincount(terms[some], weights=part[sentence[some]], minlength=v)
             yield pd.DataFrame({"row": np.arange(k), "sums": list(sums)})
 
         lam = eta + _summed(coded.select("terms", "sizes").mapInPandas(learn, "row int, sums array<double>"), k, v)
