@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellon.llm import groups, tokens
-from tessellon.plans.lineage import cut
+from tessellon.plans.lineage import cut, is_small
 
 #: 64-bit words of an odd sketch.
 WORDS = 8
@@ -66,7 +66,7 @@ def _typed_sets(texts: list[str], width: int, by_script: bool) -> tuple[np.ndarr
 def sketches(rows: DataFrame, width: int, bands: int, band_rows: int, by_script: bool) -> DataFrame:
     """rows (field, key, text) as (id, field, key, text_hash, n, class_a, class_b, bands, odd); texts without a token drop out. Nothing of the text itself stays."""
     k = bands * band_rows
-    schema = "id bigint, field string, key string, text_hash bigint, n int, class_a bigint, class_b bigint, bands array<bigint>, odd array<bigint>"
+    schema = "id bigint, field string, key string, text_hash bigint, n int, class_a bigint, class_b bigint, bands array<int>, odd array<bigint>"
     rng = np.random.default_rng(41)
     factor = rng.integers(1, 1 << 62, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     addend = rng.integers(0, 1 << 62, k, dtype=np.uint64)
@@ -99,7 +99,7 @@ def sketches(rows: DataFrame, width: int, bands: int, band_rows: int, by_script:
             yield pd.DataFrame({
                 "id": kept["id"].to_numpy(), "field": kept["field"].to_numpy(), "key": kept["key"].to_numpy(), "text_hash": kept["text_hash"].to_numpy(),
                 "n": np.diff(np.append(begin, len(elements))), "class_a": class_a.view(np.int64), "class_b": class_b.view(np.int64),
-                "bands": list(total.view(np.int64)), "odd": list(odd),
+                "bands": list((total >> np.uint64(32)).astype(np.uint32).view(np.int32)), "odd": list(odd),
             })
 
     return identified(rows).mapInPandas(run, schema)
@@ -146,6 +146,7 @@ def classes_and_links(rows: DataFrame, at_least: float = 0.8, width: int = 5, ba
     near = cut(near.where(_estimate(k) >= at_least - slack).select("a", "b"))
     # what the sketches leave is compared by the texts themselves
     ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = F.broadcast(cut(ends)) if is_small(ends, 1_000_000) else ends
     texts = identified(rows).join(ends, "id", "left_semi").join(asked, "id").where("text_hash = _h").groupBy("id").agg(F.min(F.struct("key", "field", "text")).alias("t"))
     both = near.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
