@@ -134,20 +134,22 @@ def classes_and_links(rows: DataFrame, at_least: float = 0.8, width: int = 5, ba
     made = cut(sketches(rows, width, bands, band_rows, by_script))
     chosen = cut(made.groupBy("id").agg(F.min(F.struct("text_hash", "class_a", "class_b", "field", "key")).alias("c")).select("id", "c.*"))
     reps = chosen.groupBy("field", "class_a", "class_b").agg(F.min_by(F.struct("id", "key", "text_hash"), "key").alias("r"))
-    members = cut(chosen.select("field", "key", "class_a", "class_b").join(reps, ["field", "class_a", "class_b"]).select("field", "key", F.col("r.key").alias("rep")))
-    asked = reps.select("r.id", F.col("r.text_hash").alias("_h"))
-    own = made.join(asked, "id").where("text_hash = _h").dropDuplicates(["id"])
-    banded = own.select("id", "n", F.posexplode("bands").alias("no", "hash"), "field").select("id", "n", F.xxhash64("field", "no", "hash").alias("band"))
-    a, b = banded.select(F.col("id").alias("a"), F.col("n").alias("na"), "band"), banded.select(F.col("id").alias("b"), F.col("n").alias("nb"), "band")
+    # small numbers for the classes: they make up half of the banded rows
+    reps = cut(reps.select("field", "class_a", "class_b", F.col("r.key").alias("rep"), F.col("r.id").alias("id"), F.col("r.text_hash").alias("_h"), F.monotonically_increasing_id().alias("no")))
+    members = chosen.select("field", "key", "class_a", "class_b").join(reps.select("field", "class_a", "class_b", "rep"), ["field", "class_a", "class_b"]).select("field", "key", "rep")
+    asked = reps.select("id", "_h", "no")
+    own = made.select("id", "text_hash", "field", "n", "bands", "odd").join(asked, "id").where("text_hash = _h").dropDuplicates(["id"])
+    banded = own.select("no", "n", F.posexplode("bands").alias("place", "hash"), "field").select("no", "n", F.xxhash64("field", "place", "hash").alias("band"))
+    a, b = banded.select(F.col("no").alias("a"), F.col("n").alias("na"), "band"), banded.select(F.col("no").alias("b"), F.col("n").alias("nb"), "band")
     fits = (F.col("na") >= F.ceil(F.col("nb") * (at_least - 1e-9))) & (F.col("nb") >= F.ceil(F.col("na") * (at_least - 1e-9)))
     pairs = a.join(b, "band").where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct()
-    odd = own.select("id", "odd")
-    near = pairs.join(odd.select(F.col("id").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("id").alias("b"), F.col("odd").alias("ob")), "b")
+    odd = own.select("no", "odd")
+    near = pairs.join(odd.select(F.col("no").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("no").alias("b"), F.col("odd").alias("ob")), "b")
     near = cut(near.where(_estimate(k) >= at_least - slack).select("a", "b"))
     # what the sketches leave is compared by the texts themselves
-    ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = near.select(F.explode(F.array("a", "b")).alias("no")).distinct().join(asked, "no")
     ends = F.broadcast(cut(ends)) if is_small(ends, 1_000_000) else ends
-    texts = identified(rows).join(ends, "id", "left_semi").join(asked, "id").where("text_hash = _h").groupBy("id").agg(F.min(F.struct("key", "field", "text")).alias("t"))
+    texts = identified(rows).join(ends, "id").where("text_hash = _h").groupBy("no").agg(F.min(F.struct("key", "field", "text")).alias("t")).withColumnRenamed("no", "id")
     both = near.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
     @F.pandas_udf("double")
