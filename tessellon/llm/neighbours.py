@@ -29,11 +29,11 @@ SAMPLE = 20_000
 
 
 def unit(vectors: DataFrame, dim: int) -> DataFrame:
-    """(id, vec array<float> of length 1) of `vectors` (id, vec); rows with a null or zero vector, another length, null or non-finite parts don't take part; of one id the first vector in order counts."""
+    """(id, vec array<float> of length 1, h1, h2) of `vectors` (id, vec); rows with a null or zero vector, another length, null or non-finite parts don't take part. h1 and h2 are hashes of the unit vector."""
     square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     ok = vectors.where(F.col("id").isNotNull() & (F.size("vec") == dim)).withColumn("_n", F.sqrt(square))
-    ok = ok.where("_n > 0 and _n < double('Infinity')").groupBy("id").agg(F.min(F.struct("vec", "_n")).alias("_v"))
-    return ok.select("id", F.transform("_v.vec", lambda x: (x / F.col("_v._n")).cast("float")).alias("vec"))
+    ok = ok.where("_n > 0 and _n < double('Infinity')").select("id", F.transform("vec", lambda x: (x / F.col("_n")).cast("float")).alias("vec"))
+    return ok.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), "vec"))
 
 
 def _centroids(sample: np.ndarray, k: int, seed: int, steps: int = 6) -> np.ndarray:
@@ -112,50 +112,54 @@ def similar_classes(reps: DataFrame, dim: int, at_least: float, k: int, cell_row
     rotation = _rotation(dim, seed)
     probes = min(probes, cells)
 
+    def nearest(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        near = np.array(p["vec"].tolist(), dtype=np.float32) @ centres.T
+        return np.argpartition(-near, probes - 1, axis=1)[:, :probes], near.argmax(1)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sizes = np.zeros(cells, np.int64)
+        for p in batches:
+            if len(p):
+                sizes += np.bincount(nearest(p)[0].ravel(), minlength=cells)
+        yield pd.DataFrame({"cell": np.arange(cells), "n": sizes})
+
+    # a crowded cell becomes a grid of tasks: slices of its queries times slices of its members
+    slice_rows = 8 * cell_rows
+    counts = reps.mapInPandas(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # one number for each cell
+    slices = np.ones(cells, np.int64)
+    slices[counts["cell"]] = np.maximum(1, -(-counts["n"] // slice_rows))
+
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if not len(p):
                 continue
-            x = np.array(p["vec"].tolist(), dtype=np.float32)
-            near = x @ centres.T
-            top = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
-            best = near.argmax(1)
-            yield pd.DataFrame({
-                "cell": top.ravel(),
-                "own": (top == best[:, None]).ravel(),
-                "rep": np.repeat(p["rep"].to_numpy(), probes),
-                "vec": [v for v in p["vec"] for _ in range(probes)],
-            })
-
-    placed = cut(reps.mapInPandas(place, "cell int, own boolean, rep string, vec array<float>"))
-    # a crowded cell becomes a grid of tasks: slices of its queries times slices of its members
-    slice_rows = 8 * cell_rows
-    sized = placed.groupBy("cell").agg(F.count("*").alias("n")).withColumn("slices", F.ceil(F.col("n") / slice_rows).cast("int")).select("cell", "slices")
-    placed = placed.join(sized, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
-    ask = placed.where("own").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("cell", F.col("part").alias("qs"), F.col("other").alias("ms"), F.lit(True).alias("asks"), "rep", "vec")
-    member = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("cell", F.col("other").alias("qs"), F.col("part").alias("ms"), F.lit(False).alias("asks"), "rep", "vec")
+            top, best = nearest(p)
+            own = top == best[:, None]
+            for i in range(probes):
+                yield pd.DataFrame({"cell": top[:, i], "slices": slices[top[:, i]], "own": own[:, i], "rep": p["rep"].to_numpy(), "vec": p["vec"].to_numpy()})
+
+    placed = reps.mapInPandas(place, "cell int, slices int, own boolean, rep string, vec array<float>")
+    part = F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")
+    # (query slice, member slice, asks, answers): in a cell of one slice a row stands once for both
+    one = F.array(F.struct(F.lit(0).alias("qs"), F.lit(0).alias("ms"), F.col("own").alias("asks"), F.lit(True).alias("answers")))
+    others = F.sequence(F.lit(0), F.col("slices") - 1)
+    answers = F.transform(others, lambda o: F.struct(o.alias("qs"), part.alias("ms"), F.lit(False).alias("asks"), F.lit(True).alias("answers")))
+    asks = F.transform(F.when(F.col("own"), others).otherwise(F.array().cast("array<int>")), lambda o: F.struct(part.alias("qs"), o.alias("ms"), F.lit(True).alias("asks"), F.lit(False).alias("answers")))
+    sent = placed.select("cell", F.explode(F.when(F.col("slices") == 1, one).otherwise(F.concat(answers, asks))).alias("s"), "rep", "vec").select("cell", "s.*", "rep", "vec")
 
     def search(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        asks = p["asks"].to_numpy()
         names = p["rep"].to_numpy()
         code = pd.factorize(names)[0]
         x = np.array(p["vec"].tolist(), dtype=np.float32)
-        q, m = np.nonzero(asks)[0], np.nonzero(~asks)[0]
-        if not len(q) or not len(m):
+        own, answer = np.nonzero(p["asks"].to_numpy())[0], p["answers"].to_numpy()
+        found = [(i[keep], j[keep], c[keep]) for i, j, c in _similar(own, x, centres[key[0]], rotation, at_least, sure) for keep in [answer[j] & (code[i] != code[j])]]
+        if not found:
             return pd.DataFrame({"a": [], "b": [], "cos": []}).astype({"a": str, "b": str, "cos": float})
-        centre = centres[key[0]]
-        found = []
-        block = np.concatenate([q, m])
-        xs, own = x[block], np.arange(len(q))
-        for i, j, c in _similar(own, xs, centre, rotation, at_least, sure):
-            keep = (j >= len(q)) & (code[block[i]] != code[block[j]])
-            found.append((block[i[keep]], block[j[keep]], c[keep]))
         i, j, c = (np.concatenate([f[t] for f in found]) for t in range(3))
-        out = pd.DataFrame({"a": names[i], "b": names[j], "cos": np.round(c, 9)})
-        out = out.sort_values(["a", "cos", "b"], ascending=[True, False, True])
+        out = pd.DataFrame({"a": names[i], "b": names[j], "cos": np.round(c, 9)}).sort_values(["a", "cos", "b"], ascending=[True, False, True])
         return out.groupby("a", sort=False).head(k)
 
-    found = ask.unionByName(member).groupBy("cell", "qs", "ms").applyInPandas(search, schema)
+    found = sent.groupBy("cell", "qs", "ms").applyInPandas(search, schema)
     w = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
     return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
@@ -168,14 +172,16 @@ def nearest_pairs(vectors: DataFrame, dim: int = 64, k: int = 5, at_least: float
     nearest, so n copies give at most (k + 1) * n pairs. An empty input gives
     an empty result.
     """
-    rows = cut(unit(vectors, dim))
-    tagged = rows.withColumn("key", F.sha2(F.concat_ws(",", F.col("vec").cast("array<string>")), 256))
-    classes = tagged.groupBy("key").agg(F.min("id").alias("rep"), F.min_by("vec", "id").alias("vec"))
-    member = cut(tagged.select("id", "key").join(classes.select("key", "rep"), "key").select("id", "rep"))
+    rows = unit(vectors, dim)
+    # of one id the vector with the smallest hashes counts; vectors travel once, for the representatives alone
+    ids = cut(rows.select("id", "h1", "h2").groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.*"))
+    classes = ids.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    member = cut(ids.join(classes, ["h1", "h2"]).select("id", "rep"))
+    reps = rows.join(classes.withColumnRenamed("rep", "id"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "vec")
     # of a class the k + 1 smallest ids can be somebody's nearest
     first = Window.partitionBy("rep").orderBy("id")
     few = member.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("rep", F.col("id").alias("near"))
-    links = similar_classes(classes.select("rep", "vec"), dim, at_least, k, **index)
+    links = similar_classes(reps, dim, at_least, k, **index)
     itself = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(2.0).alias("cos"))
     offered = itself.unionByName(links).join(few.withColumnRenamed("rep", "b"), "b").select(F.col("a").alias("rep"), "near", "cos")
     # of a class's own ids one is dropped for each asker, so k + 1 of the offered are enough
