@@ -28,12 +28,16 @@ from tessellon.plans.lineage import cut
 SAMPLE = 20_000
 
 
-def unit(vectors: DataFrame, dim: int) -> DataFrame:
-    """(id, vec array<float> of length 1, h1, h2) of `vectors` (id, vec); rows with a null or zero vector, another length, null or non-finite parts don't take part. h1 and h2 are hashes of the unit vector."""
-    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    ok = vectors.where(F.col("id").isNotNull() & (F.size("vec") == dim)).withColumn("_n", F.sqrt(square))
-    ok = ok.where("_n > 0 and _n < double('Infinity')").select("id", F.transform("vec", lambda x: (x / F.col("_n")).cast("float")).alias("vec"))
-    return ok.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), "vec"))
+def usable(vectors: DataFrame, dim: int) -> DataFrame:
+    """(id, vec, h1, h2) of `vectors` (id, vec) that take part, h1 and h2 hashing the vector; null ids, null and zero vectors, other lengths, null and non-finite parts don't."""
+    ok = F.col("id").isNotNull() & (F.size("vec") == dim) & F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
+    return vectors.where(ok).select("id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    """Vectors as rows of length 1."""
+    x = np.array(vectors.tolist(), dtype=np.float64)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
 def _centroids(sample: np.ndarray, k: int, seed: int, steps: int = 6) -> np.ndarray:
@@ -91,29 +95,32 @@ def _similar(own: np.ndarray, x: np.ndarray, centre: np.ndarray, rotation: np.nd
         yield i[hit], j[hit], cos[hit]
 
 
-def similar_classes(reps: DataFrame, dim: int, at_least: float, k: int, cell_rows: int = 400, probes: int = 3, sure: float = 4.0, seed: int = 7) -> DataFrame:
-    """(a, b, cos): for every row of reps (rep, vec: unit, distinct vectors) its k nearest others, as far as their cosine is at_least.
+def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least: float, k: int, cell_rows: int = 400, probes: int = 3, sure: float = 4.0, seed: int = 7) -> DataFrame:
+    """(a, b, cos): for every row of reps (rep, vec: distinct vectors) its k nearest others, as far as their cosine is at_least.
 
-    Cells hold about cell_rows vectors; every vector is a member of its
-    `probes` nearest cells and asks in its nearest one. A cell that has far
-    more rows than that is searched in several tasks, each holding a slice of
-    the queries and of the members.
+    seen (id, vec) are rows of the same collection, of which centroids are
+    fitted (SAMPLE at most) and cells counted; n is about their number. Cells
+    hold about cell_rows vectors; every vector is a member of its `probes`
+    nearest cells and asks in its nearest one. A cell that has far more rows
+    than that is searched in several tasks, each holding a slice of the
+    queries and of the members.
     """
-    reps = cut(reps)
-    n = reps.count()
+    spark = reps.sparkSession
     schema = "a string, b string, cos double"
-    if n < 2:
-        return reps.sparkSession.createDataFrame([], schema)
-    share = min(1.0, 1.2 * SAMPLE / n)
-    rows = reps.where(F.shiftrightunsigned(F.xxhash64("rep", F.lit(seed)), 11) < int(share * (1 << 53))).select("vec").limit(SAMPLE).toPandas()
-    sample = np.array(rows["vec"].tolist() or reps.select("vec").limit(SAMPLE).toPandas()["vec"].tolist(), dtype=np.float32)
+    share = min(1.0, 1.2 * SAMPLE / max(n, 1))
+    picked = seen.where(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) < int(share * (1 << 53))).select("vec").limit(SAMPLE).toPandas()
+    if len(picked) < 2:
+        picked = seen.select("vec").limit(SAMPLE).toPandas()
+    if n < 2 or not len(picked):
+        return spark.createDataFrame([], schema)
+    sample = _matrix(picked["vec"])
     cells = int(min(len(sample), max(1, min(n / cell_rows, 2 * math.sqrt(n)))))
     centres = _centroids(sample, cells, seed)
     rotation = _rotation(dim, seed)
     probes = min(probes, cells)
 
     def nearest(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        near = np.array(p["vec"].tolist(), dtype=np.float32) @ centres.T
+        near = _matrix(p["vec"]) @ centres.T
         return np.argpartition(-near, probes - 1, axis=1)[:, :probes], near.argmax(1)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,7 +132,7 @@ def similar_classes(reps: DataFrame, dim: int, at_least: float, k: int, cell_row
 
     # a crowded cell becomes a grid of tasks: slices of its queries times slices of its members
     slice_rows = 8 * cell_rows
-    counts = reps.mapInPandas(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # one number for each cell
+    counts = seen.select("vec").mapInPandas(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # one number for each cell
     slices = np.ones(cells, np.int64)
     slices[counts["cell"]] = np.maximum(1, -(-counts["n"] // slice_rows))
 
@@ -150,7 +157,7 @@ def similar_classes(reps: DataFrame, dim: int, at_least: float, k: int, cell_row
     def search(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         names = p["rep"].to_numpy()
         code = pd.factorize(names)[0]
-        x = np.array(p["vec"].tolist(), dtype=np.float32)
+        x = _matrix(p["vec"])
         own, answer = np.nonzero(p["asks"].to_numpy())[0], p["answers"].to_numpy()
         found = [(i[keep], j[keep], c[keep]) for i, j, c in _similar(own, x, centres[key[0]], rotation, at_least, sure) for keep in [answer[j] & (code[i] != code[j])]]
         if not found:
@@ -172,7 +179,7 @@ def nearest_pairs(vectors: DataFrame, dim: int = 64, k: int = 5, at_least: float
     nearest, so n copies give at most (k + 1) * n pairs. An empty input gives
     an empty result.
     """
-    rows = unit(vectors, dim)
+    rows = usable(vectors, dim)
     # of one id the vector with the smallest hashes counts; vectors travel once, for the representatives alone
     ids = cut(rows.select("id", "h1", "h2").groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.*"))
     classes = ids.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
@@ -181,7 +188,7 @@ def nearest_pairs(vectors: DataFrame, dim: int = 64, k: int = 5, at_least: float
     # of a class the k + 1 smallest ids can be somebody's nearest
     first = Window.partitionBy("rep").orderBy("id")
     few = member.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("rep", F.col("id").alias("near"))
-    links = similar_classes(reps, dim, at_least, k, **index)
+    links = similar_classes(reps, rows.select("id", "vec"), ids.count(), dim, at_least, k, **index)
     itself = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(2.0).alias("cos"))
     offered = itself.unionByName(links).join(few.withColumnRenamed("rep", "b"), "b").select(F.col("a").alias("rep"), "near", "cos")
     # of a class's own ids one is dropped for each asker, so k + 1 of the offered are enough
