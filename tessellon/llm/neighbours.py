@@ -106,7 +106,7 @@ def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least
     queries and of the members.
     """
     spark = reps.sparkSession
-    schema = "a string, b string, cos double"
+    schema = "a bigint, b bigint, cos double"
     share = min(1.0, 1.2 * SAMPLE / max(n, 1))
     picked = seen.where(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) < int(share * (1 << 53))).select("vec").limit(SAMPLE).toPandas()
     if len(picked) < 2:
@@ -145,7 +145,7 @@ def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least
             for i in range(probes):
                 yield pd.DataFrame({"cell": top[:, i], "slices": slices[top[:, i]], "own": own[:, i], "rep": p["rep"].to_numpy(), "vec": p["vec"].to_numpy()})
 
-    placed = reps.mapInPandas(place, "cell int, slices int, own boolean, rep string, vec array<float>")
+    placed = reps.mapInPandas(place, "cell int, slices int, own boolean, rep bigint, vec array<float>")
     part = F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")
     # (query slice, member slice, asks, answers): in a cell of one slice a row stands once for both
     one = F.array(F.struct(F.lit(0).alias("qs"), F.lit(0).alias("ms"), F.col("own").alias("asks"), F.lit(True).alias("answers")))
@@ -161,7 +161,7 @@ def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least
         own, answer = np.nonzero(p["asks"].to_numpy())[0], p["answers"].to_numpy()
         found = [(i[keep], j[keep], c[keep]) for i, j, c in _similar(own, x, centres[key[0]], rotation, at_least, sure) for keep in [answer[j] & (code[i] != code[j])]]
         if not found:
-            return pd.DataFrame({"a": [], "b": [], "cos": []}).astype({"a": str, "b": str, "cos": float})
+            return pd.DataFrame({"a": [], "b": [], "cos": []}).astype({"a": int, "b": int, "cos": float})
         i, j, c = (np.concatenate([f[t] for f in found]) for t in range(3))
         out = pd.DataFrame({"a": names[i], "b": names[j], "cos": np.round(c, 9)}).sort_values(["a", "cos", "b"], ascending=[True, False, True])
         return out.groupby("a", sort=False).head(k)
@@ -180,15 +180,17 @@ def nearest_pairs(vectors: DataFrame, dim: int = 64, k: int = 5, at_least: float
     an empty result.
     """
     rows = usable(vectors, dim)
-    # of one id the vector with the smallest hashes counts; vectors travel once, for the representatives alone
-    ids = cut(rows.select("id", "h1", "h2").groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.*"))
-    classes = ids.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    member = cut(ids.join(classes, ["h1", "h2"]).select("id", "rep"))
-    reps = rows.join(classes.withColumnRenamed("rep", "id"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "vec")
+    # of one id the vector with the smallest hashes counts; ids get numbers in their order, which stand for them until the end
+    named = rows.select("id", "h1", "h2").groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.*")
+    named = cut(named.orderBy("id").withColumn("no", F.monotonically_increasing_id()))
+    classes = named.groupBy("h1", "h2").agg(F.min_by(F.struct("id", "no"), "no").alias("r")).select("h1", "h2", "r.id", F.col("r.no").alias("rep"))
+    member = cut(named.select("no", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("no").alias("id"), "rep"))
+    # vectors travel once, for the representatives alone
+    reps = rows.join(classes.select("id", F.col("h1").alias("g1"), F.col("h2").alias("g2"), "rep"), "id").where("h1 = g1 and h2 = g2").dropDuplicates(["id"]).select("rep", "vec")
     # of a class the k + 1 smallest ids can be somebody's nearest
     first = Window.partitionBy("rep").orderBy("id")
     few = member.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("rep", F.col("id").alias("near"))
-    links = similar_classes(reps, rows.select("id", "vec"), ids.count(), dim, at_least, k, **index)
+    links = similar_classes(reps, rows.select("id", "vec"), named.count(), dim, at_least, k, **index)
     itself = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(2.0).alias("cos"))
     offered = itself.unionByName(links).join(few.withColumnRenamed("rep", "b"), "b").select(F.col("a").alias("rep"), "near", "cos")
     # of a class's own ids one is dropped for each asker, so k + 1 of the offered are enough
@@ -198,4 +200,7 @@ def nearest_pairs(vectors: DataFrame, dim: int = 64, k: int = 5, at_least: float
     # an asker outside the first k + 1 would otherwise have one partner too many
     own_rank = few.select(F.col("near").alias("id"), F.lit(True).alias("listed"))
     asked = asked.join(own_rank, "id", "left").where(F.col("listed") | (F.col("r") <= k))
-    return asked.select(F.least("id", "near").alias("chunk_a"), F.greatest("id", "near").alias("chunk_b")).distinct()
+    pairs = asked.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(named.select(F.col("no").alias(end), F.col("id").alias(f"chunk_{end}")), end)
+    return pairs.select("chunk_a", "chunk_b")
