@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellon.plans.lineage import cut
+from tessellon.plans.lineage import cut, is_small
 
 
 def default_tokenizer() -> str:
@@ -43,6 +43,14 @@ def count_tokens(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
+#: Sources up to which the tables of one row a source are broadcast; larger ones are joined by a shuffle.
+MANY_SOURCES = 100_000
+
+
+def _by_source(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if is_small(df, MANY_SOURCES) else df
+
+
 #: Bits of the hash by which each level of the histogram refines the one before it.
 LEVEL_BITS = 12
 LEVELS = 4
@@ -66,7 +74,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     for level in range(LEVELS):
         histogram = inside.groupBy("source", _bucket(level).alias("bucket")).agg(F.sum("n_tokens").alias("t"))
         w = Window.partitionBy("source").orderBy("bucket")
-        upto = histogram.join(F.broadcast(state), "source").withColumn("sum", F.sum("t").over(w))
+        upto = histogram.join(_by_source(state), "source").withColumn("sum", F.sum("t").over(w))
         fits = upto.where("sum <= left").groupBy("source").agg(F.max("sum").alias("used"))
         edge = upto.where("sum > left").groupBy("source").agg(F.min("bucket").alias("edge"), F.min("sum").alias("over"))
         bits = LEVEL_BITS
@@ -83,7 +91,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
                 F.coalesce("edge", F.when(F.lit(level) == 0, F.lit(1 << bits)).otherwise((F.col("prefix") + 1) * (1 << bits))).alias("prefix"),
             )
         )
-        inside = sized.join(F.broadcast(state.select("source", "prefix")), "source").where(_bucket(level) == F.col("prefix")).select("source", "h", "n_tokens")
+        inside = sized.join(_by_source(state.select("source", "prefix")), "source").where(_bucket(level) == F.col("prefix")).select("source", "h", "n_tokens")
     raise AssertionError("no level")
 
 
@@ -117,7 +125,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     times. Null and empty texts, null and unlisted sources give nothing.
     """
     listed = targets.where("source is not null").select("source").distinct()
-    rows = documents.where("text <> '' and source is not null and doc_id is not null").join(F.broadcast(listed), "source", "left_semi")
+    rows = documents.where("text <> '' and source is not null and doc_id is not null").join(_by_source(listed), "source", "left_semi")
     counted = count_tokens(rows.select("doc_id", "source", F.sha2("text", 256).alias("key"), "text"))
     once = counted.groupBy("key").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("m")).select("m.*")
     sized = cut(once.where("n_tokens > 0").withColumn("h", F.xxhash64("doc_id", F.lit(seed))))
@@ -126,7 +134,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     base = cut(base.withColumn("budget", F.col("budget") - F.col("q") * F.col("available")))
     below = thresholds(sized.select("source", "h", "n_tokens"), base.select("source", "budget"))
     last = _bucket(LEVELS - 1)
-    uses = sized.join(F.broadcast(base.select("source", "q").join(below, "source")), "source")
+    uses = sized.join(_by_source(cut(base.select("source", "q").join(below, "source"))), "source")
     uses = uses.withColumn("uses", F.col("q") + (last < F.col("below")).cast("int")).where("uses > 0").select("doc_id", "source", "n_tokens", "uses")
     got = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mixed_tokens"), F.count("*").alias("n_texts"), F.max("uses").alias("most_uses"))
     shares = wanted.join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))

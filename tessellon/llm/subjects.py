@@ -199,7 +199,8 @@ def fit(coded: DataFrame, labels: DataFrame, vocab: pd.DataFrame, areas: list[st
     overall = (seen.sum(0) + 2.0 * common) / (seen.sum() + 2.0)
     lift = by_area / overall
     other = np.stack([np.delete(by_area, i, axis=0).max(0, initial=0.0) for i in range(len(areas))]) if len(areas) > 1 else np.zeros_like(by_area)
-    stands_out = (lift > 2) & (by_area > 1.5 * other)
+    # with few areas a term cannot stand out by much
+    stands_out = (lift > min(2.0, 1 + 0.25 * (len(areas) - 1))) & (by_area > 1.5 * other)
     lam = np.empty((k, v))
     scale = df.sum() / k
     lam[: len(areas)] = eta + scale * by_area * np.where(stands_out, 1.0, 0.3)
