@@ -20,8 +20,9 @@ def repair_json(text: str) -> dict | None:
     import re
 
     text = (text or "").strip()
-    mended = re.sub(r",\s*([}\]])", r"\1", text)
-    closed = mended + "]" * max(0, mended.count("[") - mended.count("]")) + "}" * max(0, mended.count("{") - mended.count("}"))
+    commas = lambda t: re.sub(r",\s*([}\]])", r"\1", t)
+    mended = commas(text)
+    closed = commas(mended + "]" * max(0, mended.count("[") - mended.count("]")) + "}" * max(0, mended.count("{") - mended.count("}")))
     for t in (text, mended, closed, closed.replace("'", '"')):
         try:
             out = json.loads(t)

@@ -85,7 +85,7 @@ def merge_pages(old: DataFrame, new: DataFrame, combine: Callable[[pd.Series, pd
     if combine is not None:
         made = F.pandas_udf(combine, "string")(X.page_body("text"), X.page_body("_new"))
         bodies = F.when(F.length(made) >= 0.5 * F.length(X.page_body("text")), made).otherwise(bodies)
-    joined = F.concat(F.lit("---\n"), F.trim(head), F.lit("\nsources: ["), sources, F.lit("]\n---\n\n"), bodies)
+    joined = F.concat(F.lit("---\n"), X.strip(head), F.lit("\nsources: ["), sources, F.lit("]\n---\n\n"), bodies)
     return both.select("path", F.when(F.col("text").isNotNull() & F.col("_new").isNotNull(), joined).otherwise(F.coalesce("text", "_new")).alias("text"))
 
 
