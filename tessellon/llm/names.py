@@ -268,10 +268,11 @@ def entity_groups(entities: DataFrame, seed: DataFrame, least: float = 0.85) ->
     own = parsed.where(~F.col("alias") | whole).select(node.alias("a"), F.col("form").alias("b"))
     edges = own.unionByName(linked(forms.where(whole), least)).unionByName(_cut_short(forms))
     roots = cut(groups.components(edges))
-    edges = edges.unionByName(_initials(parsed, forms, roots, node))
-    roots = groups.components(edges)
+    # names with an initial only join groups to groups, so the second graph is that of the groups
+    late = _initials(parsed, forms, roots, node).join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left").select(F.coalesce("ra", "a").alias("a"), "b")
+    above = groups.components(late).select(F.col("v").alias("root"), F.col("root").alias("top"))
     ids = parsed.select("entity_id").distinct().withColumn("v", node)
-    named = ids.join(roots, "v").select("entity_id", "root")
+    named = ids.join(roots, "v").join(above, "root", "left").select("entity_id", F.coalesce("top", "root").alias("root"))
     least_id = named.groupBy("root").agg(F.min("entity_id").alias("group_id"))
     found = named.join(least_id, "root").select("entity_id", "group_id")
     return one.select("entity_id").join(found, "entity_id", "left").select("entity_id", F.coalesce("group_id", "entity_id").alias("group_id"))
