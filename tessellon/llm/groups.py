@@ -21,13 +21,15 @@ def _decompose(arcs: DataFrame, level: int, rate: float, rounds: int) -> DataFra
     """(v, c): the cluster of every vertex of arcs (u, v), which hold both directions."""
     unit = (F.shiftrightunsigned(F.xxhash64("u", F.lit(level)), 11).cast("double") + 0.5) / float(1 << 53)
     state = arcs.select("u").distinct().select("u", (F.log(unit) / rate).alias("at"), F.col("u").alias("c"))
-    for _ in range(rounds):
+    for i in range(rounds):
+        if i and i % 2 == 0:
+            state = cut(state)  # small plans of one shape keep the driver small
         told = arcs.join(state, "u").select(F.col("v").alias("u"), (F.col("at") + 1.0).alias("at"), "c")
         state = state.unionByName(told).groupBy("u").agg(F.min(F.struct("at", "c")).alias("s")).select("u", "s.at", "s.c")
     return state.select(F.col("u").alias("v"), "c")
 
 
-def components(edges: DataFrame, rate: float = 0.05, rounds: int = 5, max_levels: int = 60) -> DataFrame:
+def components(edges: DataFrame, rate: float = 0.05, rounds: int = 4, max_levels: int = 60) -> DataFrame:
     """(v bigint, root bigint) for every vertex of edges (a bigint, b bigint).
 
     Self-loops and nulls are ignored; repeated and reversed edges count once.
@@ -56,7 +58,7 @@ def components(edges: DataFrame, rate: float = 0.05, rounds: int = 5, max_levels
     return above.select(F.col("c").alias("v"), "root")
 
 
-def name_groups(matches: DataFrame, names: DataFrame, rate: float = 0.05, rounds: int = 5) -> DataFrame:
+def name_groups(matches: DataFrame, names: DataFrame, rate: float = 0.05, rounds: int = 4) -> DataFrame:
     """(entity_name, group_name): every distinct non-null name of `names` (name) and `matches` (a, b strings) with the smallest name of its group.
 
     Null ends make no match; a name that matches only itself or nothing is its
