@@ -232,7 +232,7 @@ def fit(coded: DataFrame, labels: DataFrame, vocab: pd.DataFrame, areas: list[st
         for t in top[i]:
             best = int(lift[:, t].argmax()) if len(areas) else -1
             votes[best if len(areas) and seen[:, t].sum() >= 2 and stands_out[best, t] else -1] += weight[i, t]
-        area_of.append(int(votes.argmax()) if votes[:-1].size and votes[:-1].max() > 0.4 * votes.sum() else -1)
+        area_of.append(int(votes[:-1].argmax()) if votes[:-1].size and votes[:-1].max() > 0.4 * votes.sum() else -1)
     words = vocab["term"].to_numpy()
     return Model(vocab, areas, _expected(lam), area_of, [[str(words[t]) for t in row] for row in top])
 
