@@ -10,18 +10,19 @@ from tessellon.functions import vectors as V
 from tessellon.operators import graph
 from tessellon.plans.lineage import is_small
 
-# Words of standard names that tell an entity's type, in order.
-PRODUCT_WORDS = ["星载智能计算机", "星载激光通信机", "星载路由器", "智桥", "智光", "智加G", "智加NX", "智加X", "G1", "G2", "G3", "NX1", "NX2", "NX3", "NX4", "X1", "X2", "X3", "X4"]
-PROJECT_WORDS = ["星座", "卫星", "MN"]
 MODEL = "\\b([A-Z][0-9]{1,2}(?:\\s*[/-]\\s*[A-Z][0-9]{1,2})*)\\b"
-PROJECTS = ["三体计算星座", "智能遥感计算卫星[一二三号零零]+", "太空计算组件", "星座[一二三]+号", "MN300[-\\s]?[0-9]+"]
+#: Words of standard names by the type they tell, in order; a domain's own words are passed instead.
+TYPE_WORDS = {"PROJECT": ["星座", "卫星", "项目", "计划"]}
+#: Patterns of names of projects; a domain's own are passed instead.
+PROJECTS = ("[\\u4e00-\\u9fff]{2,8}星座[一二三四五六七八九十]*号?",)
 
 
-def domain_type(c):
-    """PRODUCT, PROJECT or TECH by the words of a standard name."""
-    name = X.col(c)
-    has = lambda ws: X.hits(name, ws, fold=False) > 0
-    return F.when(has(PRODUCT_WORDS), "PRODUCT").when(has(PROJECT_WORDS), "PROJECT").otherwise("TECH")
+def domain_type(c, words: dict[str, list[str]] | None = None):
+    """The first type of `words` of which a word stands in the name, else TECH."""
+    out = F.lit("TECH")
+    for kind, ws in reversed(list((words or TYPE_WORDS).items())):
+        out = F.when(X.hits(c, ws, fold=False) > 0, kind).otherwise(out)
+    return out
 
 
 def dictionary_hits(texts: DataFrame, terms: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
@@ -41,11 +42,11 @@ def dictionary_hits(texts: DataFrame, terms: DataFrame, key: str = "chunk_id", t
     return found.groupBy(key, "standard").agg(F.count("*").alias("n"))
 
 
-def pattern_hits(texts: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
+def pattern_hits(texts: DataFrame, key: str = "chunk_id", text: str = "content", projects: tuple[str, ...] = PROJECTS) -> DataFrame:
     """(key, standard, entity_type, n): models and projects by their patterns; common abbreviations are none."""
     models = texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(MODEL), F.lit(1))).alias("standard"), F.lit("PRODUCT").alias("entity_type")).where(~F.upper("standard").isin(X.ABBREVIATIONS))
     found = models
-    for p in PROJECTS:
+    for p in projects:
         found = found.unionByName(texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(f"({p})"), F.lit(1))).alias("standard"), F.lit("PROJECT").alias("entity_type")))
     return found.groupBy(key, "standard", "entity_type").agg(F.count("*").alias("n"))
 

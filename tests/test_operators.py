@@ -54,7 +54,7 @@ def test_context_stops_at_the_budget(spark):
 
 
 def test_keywords(spark):
-    q = spark.createDataFrame([(1, "智加G1的重量是多少"), (2, "what is the weight of NX1"), (3, "是什么"), (4, None)], "query_id int, query string")
+    q = spark.createDataFrame([(1, "设备G1的重量是多少"), (2, "what is the weight of NX1"), (3, "是什么"), (4, None)], "query_id int, query string")
     got = rows(queries.keywords(q, spark.createDataFrame([("nx1", "NX1")], "alias string, standard string")), "query_id", "term", "weight")
     assert (1, "g1", 0.5) in got and (2, "nx1", 3.0) in got and (2, "weight", 0.5) in got and not any(g[1] in ("the", "of") for g in got)
 

@@ -41,7 +41,7 @@ def test_meta_tables(spark):
 def test_normal_forms(spark):
     assert value(spark, X.half_width("t"), t="ＡＢ　１２！") == "AB 12!"
     assert value(spark, X.compare_form("t"), t=" ＡB　c\n") == "abc"
-    assert value(spark, X.space_scripts("t"), t="智加G1是多少") == "智加 G1 是多少"
+    assert value(spark, X.space_scripts("t"), t="设备G1是多少") == "设备 G1 是多少"
     assert value(spark, X.slug("t"), t=" A B--c! ü ") == "a-b-c-ü"
     assert value(spark, X.safe_file_name("t"), t='a/b:c?"') == "a_b_c__"
     assert value(spark, X.escape_query("t"), t="a+b(c)") == "a\\+b\\(c\\)"
