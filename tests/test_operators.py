@@ -189,3 +189,10 @@ def test_stream_ingest(spark, tmp_path):
     spark.createDataFrame([("a", "new", 2)], schema).coalesce(1).write.mode("append").parquet(src)
     ingest.ingest_chunks(ingest.stream(spark, src, schema, 1), target, str(tmp_path / "cp")).awaitTermination()
     assert rows(ingest.read_index(spark, target), "chunk_id", "content") == [("a", "new"), ("b", "b")]
+
+
+def test_types_and_patterns(spark):
+    df = spark.createDataFrame([("c", "北方星座三号 uses B12, CPU and B12/C3"), ("d", None)], "chunk_id string, content string")
+    assert rows(entities.pattern_hits(df), "standard", "entity_type", "n") == [("B12", "PRODUCT", 1), ("B12/C3", "PRODUCT", 1), ("北方星座三号", "PROJECT", 1)]
+    got = rows(df.select("chunk_id", entities.domain_type("content").alias("t"), entities.domain_type("content", {"X": ["CPU"]}).alias("u")).where("chunk_id = 'c'"), "t", "u")
+    assert got == [("PROJECT", "X")]
