@@ -78,8 +78,10 @@ def vocabulary(rows: DataFrame, least: int, most: float, max_terms: int) -> pd.D
             h, doc, start, length = h[order], doc[order], start[order], length[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            u, at, n = np.unique(h[new], return_index=True, return_counts=True)
-            at = np.nonzero(new)[0][at]
+            # h is in order, so its distinct values begin where it changes
+            held, place = h[new], np.nonzero(new)[0]
+            first = np.nonzero(np.concatenate([[True], held[1:] != held[:-1]]))[0] if len(held) else place
+            u, at, n = held[first], place[first], np.diff(np.append(first, len(held)))
             term = [codes[s : s + k].astype("<u4").tobytes().decode("utf-32-le", "replace") for s, k in zip(start[at], length[at])]
             # the row without a term counts the texts
             yield pd.DataFrame({"h": np.append(u, 0), "term": [*term, ""], "df": np.append(n, len(p))})
@@ -110,8 +112,8 @@ def encode(rows: DataFrame, vocab: pd.DataFrame) -> DataFrame:
             at = np.minimum(np.searchsorted(sorted_known, h), len(known) - 1)
             hit = sorted_known[at] == h
             ids, d, s = order[at[hit]].astype(np.int32), doc[hit], sentence[hit]
-            u, n = np.unique(s, return_counts=True)
-            owner = d[np.searchsorted(s, u)] if len(u) else np.empty(0, np.int64)
+            begin = np.nonzero(np.concatenate([[True], s[1:] != s[:-1]]))[0] if len(s) else np.empty(0, np.int64)
+            n, owner = np.diff(np.append(begin, len(s))), d[begin]
             bounds, cuts = np.searchsorted(d, np.arange(m + 1)), np.searchsorted(owner, np.arange(m + 1))
             yield pd.DataFrame({
                 "doc_id": p["doc_id"].to_numpy(),
