@@ -463,7 +463,13 @@ def _contents(spark, folder) -> DataFrame:
 
 @query("WITH f AS (SELECT DISTINCT metadata['dataset_id'] AS folder, doc_id AS k, left(content, 5000) AS t FROM document_info WHERE length(content) > 50 AND metadata['dataset_id'] IS NOT NULL), g AS (SELECT folder, k, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS s FROM f), j AS (SELECT a.folder, a.k AS a, b.k AS b, len(list_intersect(a.s, b.s)) AS c, len(a.s) + len(b.s) AS n FROM g a JOIN g b ON a.folder = b.folder AND a.k < b.k AND len(a.s) >= 0.7 * len(b.s) AND len(b.s) >= 0.7 * len(a.s)) SELECT folder, a, b, round(c / (n - c), 6) AS similarity FROM j WHERE c / (n - c) >= 0.7")
 def trigram_jaccard_pairs(spark, folder):
-    """Contents of one dataset that share most of their three-character runs."""
+    """Contents of one dataset that share most of the three-character runs of their first 5,000 characters, as the SQL says."""
+    return versions.similar_contents(_contents(spark, folder), first=5000)
+
+
+@query()
+def trigram_jaccard_pairs_whole(spark, folder):
+    """Contents of one dataset that share most of their three-character runs, over the whole texts."""
     return versions.similar_contents(_contents(spark, folder))
 
 

@@ -27,8 +27,8 @@ def ungrouped(files: DataFrame) -> DataFrame:
     return files.join(version_map(files).select("folder", "filename"), ["folder", "filename"], "left_anti")
 
 
-def similar_contents(files: DataFrame, at_least: float = 0.7, first: int = 5000, key: str = "filename") -> DataFrame:
-    """(folder, a, b, similarity): files (folder, key, content) of one folder whose three-character runs in the first `first` characters have a Jaccard similarity of at_least; texts of 50 characters and fewer take no part.
+def similar_contents(files: DataFrame, at_least: float = 0.7, first: int | None = None, key: str = "filename") -> DataFrame:
+    """(folder, a, b, similarity): files (folder, key, content) of one folder whose three-character runs, in the first `first` characters if given, have a Jaccard similarity of at_least; texts of 50 characters and fewer take no part.
 
     Exact, by prefix filtering: a pair must share one of the rarest runs of
     either, as many as the threshold leaves, so common runs pair nothing.

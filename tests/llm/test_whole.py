@@ -2,6 +2,7 @@
 
 import random
 
+from tessellon import catalog
 from tessellon.llm import queries
 
 
@@ -17,3 +18,19 @@ def test_edited_contents_at_half_are_found(spark, tmp_path):
     spark.createDataFrame([], "children array<struct<metadata: map<string, string>, content: string>>").write.parquet(f"{tmp_path}/documents_tree.parquet")
     got = {(r["key_a"], r["key_b"]) for r in queries.p4_found(spark, str(tmp_path)).collect()}
     assert got <= {(f"{i}a", f"{i}b") for i in range(1000)} and len(got) >= 995
+
+
+def test_similar_contents_compares_whole_texts(spark, tmp_path):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    start, end = text(5000), text(13000)
+    # one beginning with other ends, and other beginnings with one end
+    rows = [("a", start + text(9000)), ("b", start + text(9000)), ("c", text(2000) + end), ("d", text(2000) + end)]
+    spark.createDataFrame([(k, {"dataset_id": "s"}, t) for k, t in rows], "doc_id string, metadata map<string, string>, content string").write.parquet(f"{tmp_path}/document_info.parquet")
+    runs = {k: {t[i : i + 3] for i in range(len(t) - 2)} for k, t in rows}
+    alike = {(a, b): len(runs[a] & runs[b]) / len(runs[a] | runs[b]) for a in runs for b in runs if a < b}
+    exp = {p for p, s in alike.items() if s >= 0.7}
+    assert exp == {("c", "d")}
+    got = {(r["seed"], r["member"]) for r in catalog.greedy_near_dup_clusters(spark, str(tmp_path)).collect()}
+    assert got == {("c", "c"), ("c", "d")}
+    assert {(r["a"], r["b"]): r["similarity"] for r in catalog.queries()["trigram_jaccard_pairs_whole"](spark, str(tmp_path)).collect()} == {p: round(alike[p], 6) for p in exp}
