@@ -490,11 +490,18 @@ def alias_pairs_cosine(spark, folder):
 
 @query("WITH t AS (SELECT DISTINCT term, standard FROM (SELECT lower(alias) AS term, standard FROM terms_seed UNION ALL SELECT lower(standard), standard FROM terms_seed) WHERE length(term) >= 2), d AS (SELECT DISTINCT doc_id, lower(content) AS c FROM document_info WHERE length(content) >= 2) SELECT doc_id, standard, sum(n)::BIGINT AS n FROM (SELECT doc_id, standard, len(list_filter(range(1, length(c) + 1), lambda i: substr(c, i, length(term)) = term)) AS n FROM d JOIN t ON contains(c, term)) GROUP BY ALL HAVING sum(n) > 0")
 def dictionary_entities(spark, folder):
-    """Mentions of the dictionary's terms in all contents."""
+    """Mentions of the dictionary's terms of two characters and more in all contents, as the SQL says."""
     rows = table(spark, folder, "document_info").select("doc_id", "content").distinct()
     return entities.dictionary_hits(rows, table(spark, folder, "terms_seed"), "doc_id")
 
 
+@query()
+def dictionary_entities_whole(spark, folder):
+    """Mentions of all the dictionary's terms, those of one character too, in all contents."""
+    rows = table(spark, folder, "document_info").select("doc_id", "content").distinct()
+    return entities.dictionary_hits(rows, table(spark, folder, "terms_seed"), "doc_id", shortest=1)
+
+
 @query()
 def pattern_entities(spark, folder):
     return entities.pattern_hits(table(spark, folder, "document_info").select("doc_id", "content").distinct(), "doc_id")

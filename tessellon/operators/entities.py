@@ -25,20 +25,24 @@ def domain_type(c, words: dict[str, list[str]] | None = None):
     return out
 
 
-def dictionary_hits(texts: DataFrame, terms: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
+def dictionary_hits(texts: DataFrame, terms: DataFrame, key: str = "chunk_id", text: str = "content", shortest: int = 2) -> DataFrame:
     """(key, standard, n): how often each standard's aliases, and the standard itself, occur in each text; case aside, overlapping occurrences count.
 
-    terms: (alias, standard). Terms are grouped by their first two characters
+    terms: (alias, standard); those of fewer than `shortest` characters are left out. Terms are grouped by their first two characters
     and joined with the positions of texts that begin alike, so the cost is
-    that of the text, not of text times dictionary.
+    that of the text, not of text times dictionary. Terms of one character
+    are joined with single characters.
     """
     both = terms.select(F.lower("alias").alias("term"), "standard").union(terms.select(F.lower("standard"), "standard")).where("term <> ''").distinct()
-    two = both.where("length(term) >= 2").select(F.substring("term", 1, 2).alias("head"), "term", "standard")
-    heads = two.select("head").distinct()
-    low = texts.select(key, X.characters(F.lower(F.col(text))).alias("t")).where("size(t) >= 2")
+    two = both.where(F.length("term") >= max(shortest, 2)).select(F.substring("term", 1, 2).alias("head"), "term", "standard")
+    heads = two.groupBy("head").agg(F.max(F.length("term")).alias("longest"))
+    low = texts.select(key, X.characters(F.lower(F.col(text))).alias("t"))
     pairs = F.zip_with("t", F.slice("t", 2, 1_000_000_000), lambda a, b: F.concat(a, b))
-    spots = low.select(key, "t", F.posexplode(pairs).alias("i", "head")).where("head is not null").join(F.broadcast(heads) if is_small(heads, 100_000) else heads, "head", "left_semi")
-    found = spots.select(key, "head", F.array_join(F.slice("t", F.col("i") + 1, F.lit(64)), "").alias("rest")).join(two, "head").where(F.col("rest").startswith(F.col("term")))
+    spots = low.where("size(t) >= 2").select(key, "t", F.posexplode(pairs).alias("i", "head")).where("head is not null").join(F.broadcast(heads) if is_small(heads, 100_000) else heads, "head")
+    found = spots.select(key, "head", F.array_join(F.slice("t", F.col("i") + 1, F.col("longest")), "").alias("rest")).join(two, "head").where(F.col("rest").startswith(F.col("term")))
+    found = found.select(key, "standard")
+    if shortest < 2:
+        found = found.unionByName(low.select(key, F.explode("t").alias("term")).join(both.where("length(term) = 1"), "term").select(key, "standard"))
     return found.groupBy(key, "standard").agg(F.count("*").alias("n"))
 
 
