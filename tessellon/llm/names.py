@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -178,21 +179,35 @@ def _suffixes(token: Column, least: int) -> Column:
     return F.when(n >= least, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - least + 1)), lambda i: F.substring(token, i, n))).otherwise(F.array().cast("array<string>"))
 
 
+def _shortened(core: str) -> list[str]:
+    """The core with as many letters left out, in every way, as a ratio of 0.85 allows either side (0.74 between cores of one length); three at most."""
+    n = len(core)
+    return sorted({"".join(p) for d in range(min(3, int(n * 0.2611)) + 1) for p in combinations(core, n - d)})
+
+
 def blocks(forms: DataFrame, crowded: int = 40) -> DataFrame:
     """(key, form): suffix keys of forms (form, kind, core, given, unit, field, form_kind, han).
 
     Suffixes of the core and of the other words; a suffix that more than
     `crowded` forms share is taken together with the first two letters of the
     core, the unit and the given name's initial, then with the first four;
-    none is thrown away.
+    none is thrown away. As that parts spellings of one name, the forms of
+    crowded suffixes also get keys of unit, given name and the core with
+    letters left out: forms that _alike accepts share one, if their cores have
+    up to 15 letters.
     """
+
+    @F.pandas_udf("array<string>")
+    def shortened(core: pd.Series) -> pd.Series:
+        return core.map(_shortened)
+
     least = F.when(F.col("han"), 2).otherwise(4)
     other = F.when(F.col("kind") == "p", F.col("given")).otherwise(F.concat_ws(" ", "field", "form_kind"))
     sides = []
     for token, is_core in ((F.col("core"), True), (other, False)):
         keyed = forms.withColumn("_t", token).withColumn("_n", least)
         suffix = F.explode(F.when(F.length("_t") >= F.col("_n"), F.transform(F.sequence(F.lit(1), F.length("_t") - F.col("_n") + 1), lambda i: F.substring(F.col("_t"), i, F.length("_t")))).otherwise(F.array().cast("array<string>")))
-        sides.append(keyed.select("form", "kind", "core", "given", "unit", "initial", suffix.alias("suffix"), F.lit(is_core).alias("of_core")))
+        sides.append(keyed.select("form", "kind", "core", "given", "unit", "initial", "han", suffix.alias("suffix"), F.lit(is_core).alias("of_core")))
     rows = sides[0].unionByName(sides[1]).withColumn("key", F.xxhash64("kind", "of_core", "suffix", "unit"))
     sized = lambda x: x.join(x.groupBy("key").agg(F.count("*").alias("n")), "key")
     out = None
@@ -200,6 +215,11 @@ def blocks(forms: DataFrame, crowded: int = 40) -> DataFrame:
         rows = cut(sized(rows))
         done = rows.where((F.col("n") <= crowded) | F.lit(letters == 99)).where("n > 1").select("key", "form")
         out = done if out is None else out.unionByName(done)
+        if letters == 2:
+            given = F.when(F.col("kind") == "p", F.col("given")).otherwise("")
+            hot = rows.where(F.col("n") > crowded).select("form", "kind", "core", given.alias("given"), "unit", "han").distinct()
+            near = cut(hot.select("form", F.explode(shortened("core")).alias("_s"), "kind", "given", "unit", "han").select(F.xxhash64(F.lit("shortened"), "kind", "given", "unit", "han", "_s").alias("key"), "form"))
+            out = out.unionByName(sized(near).where("n > 1").select("key", "form"))
         rows = rows.where(F.col("n") > crowded).drop("n").withColumn("key", F.xxhash64("key", F.substring("core", 1, letters), "initial"))
     return out
 

@@ -3,7 +3,7 @@
 import random
 
 from tessellon import catalog
-from tessellon.llm import queries
+from tessellon.llm import names, queries
 
 
 def test_edited_contents_at_half_are_found(spark, tmp_path):
@@ -44,3 +44,14 @@ def test_dictionary_matches_terms_of_any_length(spark, tmp_path):
     got = lambda q: {(r["doc_id"], r["standard"], r["n"]) for r in catalog.queries()[q](spark, str(tmp_path)).collect()}
     assert got("dictionary_entities") == {("a", "Long", 1)}
     assert got("dictionary_entities_whole") == {("a", "Long", 1), ("a", "研究院", 2), ("a", "研究所", 1), ("b", "研究院", 1)}
+
+
+def test_a_typo_in_a_crowded_surname_is_compared(spark):
+    rng = random.Random(7)
+    given = [f"{a}{b}{c}" for a in "bdk" for b in ("ola", "emi", "uri") for c in ("na", "so", "ta", "vin", "rel")]
+    people = [("Podonativu", g) for g in given] + [("".join(rng.choices("bcdfgklmnprst", k=9)), g) for g in given for _ in range(45)]
+    typos = [("Pdonativu", given[0]), ("Podonatvu", given[1]), ("Potonativu", given[2]), ("Podnaivu", given[3])]
+    forms = [(i, "p", c.lower(), g, g[:1], "", "", "", False) for i, (c, g) in enumerate(people + typos)]
+    df = spark.createDataFrame(forms, "form long, kind string, core string, given string, initial string, unit string, field string, form_kind string, han boolean")
+    got = {(r["a"], r["b"]) for r in names.linked(df, 0.85).collect()}
+    assert {(i, len(people) + i) for i in range(4)} <= got
