@@ -2,12 +2,13 @@
 
 A seed is a mask over a run of tokens; hashing only the positions it keeps
 finds a run although other positions were substituted. Every run of an
-evaluation item is hashed under each mask; every run of every corpus text is
-looked up among them, and around each hit text and item are compared token by
-token along the diagonal of the hit.
+evaluation item and every run of a corpus text is hashed under each mask, and
+the two sides are joined on the hash. Where they meet, text and item are
+compared token by token along the diagonal of the hit.
 
-Items are taken in blocks of bounded size, each held by the tasks while the
-corpus passes by; any number of items works, in as many passes.
+The corpus is read once, whatever the number of items: a filter of bounded
+size, made of the items' hashes, tells which runs can meet any item, and only
+the hashes of those, with the tokens of their texts, go into the join.
 """
 
 from __future__ import annotations
@@ -20,11 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellon.llm import tokens
+from tessellon.plans.lineage import cut
 
 #: Kept positions of a run; words (10 long) and characters (14 long). The first mask of each has the most weight at the ends.
 MASKS = {False: ("1101100111", "1110011011"), True: ("11011001110111", "11100110110111")}
-#: Evaluation items that are looked up in one pass over the corpus.
-BLOCK = 5_000
+#: Bits that the filter has for each hash of an item, and how many of them a hash sets.
+BITS_EACH, PROBES = 32, 6
+#: Bits that the filter has at most (64 MB). With more items it lets more runs through to the join; none is lost.
+MOST_BITS = 1 << 29
+
+_IDEOGRAPHS = "[぀-ヿ㐀-鿿豈-﫿\U00020000-\U000323af⺀-⿟]"
 
 
 def _weights(mask: str) -> np.ndarray:
@@ -32,72 +38,160 @@ def _weights(mask: str) -> np.ndarray:
     return np.where(np.frombuffer(mask.encode(), np.uint8) == ord("1"), odd, np.uint64(0))
 
 
-class _Items:
-    """The hashed runs of evaluation items of one kind, words or characters."""
-
-    def __init__(self, ids: list, texts: list[str], chars: bool):
-        self.chars, self.ids = chars, ids
-        self.h, doc = tokens.tokenise(texts, chars)
-        self.doc = doc
-        self.begin = np.searchsorted(doc, np.arange(len(texts) + 1))
-        self.seeds = []
-        for mask in MASKS[chars]:
-            w = _weights(mask)
-            run, at = tokens.windows(self.h, doc, w)
-            order = np.argsort(run, kind="stable")
-            self.seeds.append((w, run[order], at[order]))
-
-
-def _runs(same: np.ndarray, least: int) -> np.ndarray:
-    """Which positions lie in unbroken runs of True of at least `least`."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
-    out = np.zeros(len(same), bool)
-    for a, b in zip(edge[::2], edge[1::2]):
-        if b - a >= least:
-            out[a:b] = True
-    return out
-
-
-def _tolerant(same: np.ndarray, span: int) -> np.ndarray:
-    """Which positions lie in stretches of `span` tokens of which at most one in four differs."""
-    if len(same) < span:
-        return np.zeros(len(same), bool)
-    near = np.convolve(same, np.ones(span, int), "valid") >= span - span // 4
-    return np.convolve(near, np.ones(span, int)) > 0
-
-
-def _overlaps(items: _Items, texts: list[str]) -> Iterator[tuple[int, int, float, float]]:
-    """(text number, item number, share in unbroken runs, share with substitutions) for all that have a hit."""
-    h, doc = tokens.tokenise(texts, items.chars)
-    hits = []
-    for w, run, at in items.seeds:
-        own, start = tokens.windows(h, doc, w)
-        if not len(run) or not len(own):
+def _seeds(h: np.ndarray, doc: np.ndarray, chars: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of all runs under all masks."""
+    found = [tokens.windows(h, doc, _weights(mask)) for mask in MASKS[chars]]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The bits of a filter of `bits` bits, a power of two, that stand for each hash, one after another."""
+    step = (h >> np.uint64(31)) | np.uint64(1)
+    at = h.copy()
+    for _ in range(PROBES):
+        yield at & np.uint64(bits - 1)
+        at += step
+
+
+def _may_hold(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Numbers of the hashes that the filter lets through."""
+    left = np.arange(len(h))
+    step = (h >> np.uint64(31)) | np.uint64(1)
+    at, last = h.copy(), np.uint64(64 * len(words) - 1)
+    for _ in range(PROBES):
+        place = at & last
+        keep = (words[(place >> np.uint64(6)).view(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        left, at, step = left[keep], at[keep], step[keep]
+        at += step
+    return left
+
+
+def _encoded(items: DataFrame) -> DataFrame:
+    """(no, item_id, chars, n, tokens): items with the hashes of their tokens as bytes; those without a run drop out."""
+    kind = dict(items.dtypes)["item_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            texts = p["text"].tolist()
+            ideo = tokens.is_ideographic(texts) if texts else np.empty(0, bool)
+            for chars in (False, True):
+                of = np.nonzero(ideo == chars)[0]
+                h, doc = tokens.tokenise([texts[i] for i in of], chars)
+                at = np.searchsorted(doc, np.arange(len(of) + 1))
+                long = np.nonzero(np.diff(at) >= len(MASKS[chars][0]))[0]
+                yield pd.DataFrame({"item_id": p["item_id"].to_numpy()[of[long]], "chars": chars, "n": np.diff(at)[long], "tokens": [h[at[i] : at[i + 1]].tobytes() for i in long]})
+
+    made = items.mapInPandas(run, f"item_id {kind}, chars boolean, n int, tokens binary")
+    return cut(made.withColumn("no", F.monotonically_increasing_id()))
+
+
+def _item_seeds(encoded: DataFrame) -> DataFrame:
+    """(h, no, at): the hashes of the items' runs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for chars in (False, True):
+                own = p[p["chars"] == chars]
+                if not len(own):
+                    continue
+                h = np.frombuffer(b"".join(own["tokens"]), np.uint64)
+                n = own["n"].to_numpy()
+                doc = np.repeat(np.arange(len(own)), n)
+                seed, start = _seeds(h, doc, chars)
+                begin = np.cumsum(n) - n
+                yield pd.DataFrame({"h": seed.view(np.int64), "no": own["no"].to_numpy()[doc[start]], "at": (start - begin[doc[start]]).astype(np.int32)})
+
+    return encoded.select("no", "chars", "n", "tokens").mapInPandas(run, "h bigint, no bigint, at int")
+
+
+def _filter(seeds: DataFrame) -> np.ndarray:
+    """The filter's words. What comes to the driver is the filter itself, MOST_BITS at most."""
+    n = seeds.count()
+    bits = 1 << min((max(n, 1) * BITS_EACH - 1).bit_length(), MOST_BITS.bit_length() - 1)
+    bits = max(bits, 64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            at = np.concatenate([np.empty(0, np.uint64), *_places(p["h"].to_numpy().view(np.uint64), bits)])
+            yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int32), "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
+
+    set_bits = seeds.select("h").mapInPandas(run, "word int, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = np.zeros(bits // 64, np.uint64)
+    words[set_bits["word"].to_numpy(np.int64)] = set_bits["bits"].to_numpy(np.int64).view(np.uint64)
+    return words
+
+
+def _meeting(corpus: DataFrame, words: np.ndarray, kinds: list[bool]) -> DataFrame:
+    """(uid, doc_id, tokens, hits): corpus texts with runs that may meet an item; hits are (h, start). A text that may meet items of both kinds has two rows."""
+    kept = corpus.sparkSession.sparkContext.broadcast(words)
+    schema = f"doc_id {dict(corpus.dtypes)['doc_id']}, tokens binary, hits array<struct<h: bigint, start: int>>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for chars in kinds:
+                own = p[p["text"].str.contains(_IDEOGRAPHS, regex=True)] if chars else p
+                if not len(own):
+                    continue
+                h, doc = tokens.tokenise(own["text"].tolist(), chars)
+                seed, start = _seeds(h, doc, chars)
+                left = _may_hold(kept.value, seed)
+                if not len(left):
+                    continue
+                seed, start = seed[left], start[left]
+                order = np.argsort(start, kind="stable")
+                seed, start = seed[order].view(np.int64), start[order]
+                text, first = np.unique(doc[start], return_index=True)
+                begin, end = np.searchsorted(doc, text), np.searchsorted(doc, text, "right")
+                last = np.append(first[1:], len(start))
+                yield pd.DataFrame({
+                    "doc_id": own["doc_id"].to_numpy()[text],
+                    "tokens": [h[a:b].tobytes() for a, b in zip(begin, end)],
+                    "hits": [[{"h": x, "start": y} for x, y in zip(seed[i:j].tolist(), (start[i:j] - a).tolist())] for i, j, a in zip(first, last, begin)],
+                })
+
+    return cut(corpus.mapInPandas(run, schema).withColumn("uid", F.monotonically_increasing_id()))
+
+
+def _covered(same: np.ndarray, diagonal: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which positions lie in unbroken runs of at least `span` equal tokens, and which in stretches of `span` of which at most one in four differs; neither goes beyond its diagonal."""
+    n = len(same)
+    if not n:
+        return same, same
+    new = np.ones(n, bool)
+    new[1:] = (same[1:] != same[:-1]) | (diagonal[1:] != diagonal[:-1])
+    number = np.cumsum(new) - 1
+    exact = same & (np.bincount(number)[number] >= span)
+    loose = np.zeros(n + 1, np.int64)
+    if n >= span:
+        total = np.concatenate([[0], np.cumsum(same)])
+        start = np.nonzero((total[span:] - total[:-span] >= span - span // 4) & (diagonal[span - 1 :] == diagonal[: n - span + 1]))[0]
+        np.add.at(loose, start, 1)
+        np.add.at(loose, start + span, -1)
+    return exact, np.cumsum(loose)[:n] > 0
+
+
+def _shares(chars: pd.Series, item: pd.Series, low: pd.Series, parts: pd.Series) -> pd.DataFrame:
+    """The shares of items covered along their diagonals: item holds an item's tokens, low and parts where in it each diagonal begins and the text's tokens along it."""
+    out = np.zeros((2, len(item)))
+    for kind in (False, True):
+        own = np.nonzero(chars.to_numpy() == kind)[0]
+        if not len(own):
             continue
-        low, high = np.searchsorted(run, own, "left"), np.searchsorted(run, own, "right")
-        found = np.nonzero(high > low)[0]
-        n = high[found] - low[found]
-        t = np.repeat(start[found], n)
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[found], n)
-        i = at[k]
-        hits.append(np.stack([items.doc[i], doc[t], t - i], 1))
-    if not hits or not sum(map(len, hits)):
-        return
-    span = len(MASKS[items.chars][0])
-    diagonals = np.unique(np.concatenate(hits), axis=0)
-    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-    place, last, exact, loose = None, None, None, None
-    for item, text, shift in diagonals:
-        a, b = items.begin[item], items.begin[item + 1]
-        if (item, text) != last:
-            if last is not None:
-                yield last[1], last[0], exact.mean(), loose.mean()
-            last, exact, loose = (item, text), np.zeros(b - a, bool), np.zeros(b - a, bool)
-        low, high = max(a, ends[text] - shift), min(b, ends[text + 1] - shift)
-        same = items.h[low:high] == h[low + shift : high + shift]
-        exact[low - a : high - a] |= _runs(same, span)
-        loose[low - a : high - a] |= _tolerant(same, span)
-    yield last[1], last[0], exact.mean(), loose.mean()
+        have = np.frombuffer(b"".join(item.iloc[own]), np.uint64)
+        n = np.array([len(x) // 8 for x in item.iloc[own]])
+        base = np.cumsum(n) - n
+        count = np.array([len(x) for x in low.iloc[own]])
+        begin = np.repeat(base, count) + np.concatenate([np.asarray(x, np.int64) for x in low.iloc[own]])
+        pieces = [y for x in parts.iloc[own] for y in x]
+        size = np.array([len(x) // 8 for x in pieces])
+        diagonal = np.repeat(np.arange(len(size)), size)
+        at = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        owner = np.repeat(np.arange(len(own)), n)
+        for i, covered in enumerate(_covered(have[at] == np.frombuffer(b"".join(pieces), np.uint64), diagonal, len(MASKS[kind][0]))):
+            mark = np.zeros(len(have), bool)
+            mark[at[covered]] = True
+            out[i, own] = np.bincount(owner[mark], minlength=len(own)) / np.maximum(n, 1)
+    return pd.DataFrame({"exact_share": out[0], "tolerant_share": out[1]})
 
 
 def leaks(corpus: DataFrame, items: DataFrame) -> DataFrame:
@@ -106,34 +200,25 @@ def leaks(corpus: DataFrame, items: DataFrame) -> DataFrame:
     exact_share: the part of the item's tokens that stands in the text in
     unbroken runs of at least 10 words (items in ideographs: 14 characters),
     case, punctuation and spacing aside; tolerant_share: the same where a
-    quarter of a run may be substituted. Pairs without a hit have no row.
+    quarter of a run may be substituted. Pairs of which both are 0 have no row.
     Null and empty texts, null ids and items shorter than a run take no part;
     of a repeated item_id the smallest text counts; repeated doc_ids come out
-    once for each row. The corpus is read once for each BLOCK items.
+    once for each row. The corpus is read once.
     """
-    spark = corpus.sparkSession
-    id_type = dict(items.dtypes)["item_id"]
-    schema = f"doc_id {dict(corpus.dtypes)['doc_id']}, item_id {id_type}, exact_share double, tolerant_share double"
     items = items.where("item_id is not null and text <> ''").groupBy("item_id").agg(F.min("text").alias("text"))
-    n_blocks = -(-items.count() // BLOCK)
+    encoded = _encoded(items)
+    seeds = cut(_item_seeds(encoded))
+    kinds = sorted(r["chars"] for r in encoded.select("chars").distinct().collect())  # two values at most
     corpus = corpus.select("doc_id", "text").where("doc_id is not null and text <> ''")
-    out = spark.createDataFrame([], schema)
-    for block in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).toPandas()
-        ideo = tokens.is_ideographic(rows["text"].tolist()) if len(rows) else np.empty(0, bool)
-        kinds = [_Items(rows["item_id"][ideo == c].tolist(), rows["text"][ideo == c].tolist(), c) for c in (False, True)]
-
-        def look(batches: Iterator[pd.DataFrame], kinds: list[_Items] = kinds) -> Iterator[pd.DataFrame]:
-            for p in batches:
-                found: list[tuple] = []
-                for items in kinds:
-                    own = p
-                    if items.chars:
-                        own = p[p["text"].str.contains("[぀-ヿ㐀-鿿豈-﫿\U00020000-\U000323af⺀-⿟]", regex=True)]
-                    if items.ids and len(own):
-                        keys = own["doc_id"].tolist()
-                        found += [(keys[t], items.ids[i], float(e), float(s)) for t, i, e, s in _overlaps(items, own["text"].tolist())]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "exact_share", "tolerant_share"])
-
-        out = out.unionByName(corpus.mapInPandas(look, schema)) if block else corpus.mapInPandas(look, schema)
-    return out
+    met = _meeting(corpus, _filter(seeds), kinds)
+    hits = met.select("uid", F.explode("hits").alias("x")).select("uid", "x.h", "x.start")
+    diagonals = hits.join(seeds, "h").select("uid", "no", (F.col("start") - F.col("at")).alias("shift")).distinct()
+    # along a diagonal only as much of the text is kept as the item is long
+    own = diagonals.join(encoded.select("no", "n"), "no").join(met.select("uid", "doc_id", "tokens"), "uid")
+    low = F.greatest(F.lit(0), -F.col("shift"))
+    part = F.substring("tokens", 8 * F.greatest(F.lit(0), F.col("shift")) + 1, 8 * (F.col("n") - low))
+    own = own.select("uid", "doc_id", "no", F.struct(low.alias("low"), part.alias("part")).alias("d")).groupBy("uid", "no").agg(F.first("doc_id").alias("doc_id"), F.collect_list("d").alias("d"))
+    both = own.join(encoded.select("no", "item_id", "chars", F.col("tokens").alias("item")), "no")
+    shares = F.pandas_udf(_shares, "exact_share double, tolerant_share double")
+    got = both.select("doc_id", "item_id", shares("chars", "item", F.col("d.low"), F.col("d.part")).alias("s"))
+    return got.select("doc_id", "item_id", "s.exact_share", "s.tolerant_share").where("tolerant_share > 0 or exact_share > 0")

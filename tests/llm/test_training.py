@@ -246,6 +246,40 @@ def test_leaks(spark):
     assert leakage.leaks(spark.createDataFrame(corpus, "doc_id bigint, text string"), items.limit(0)).count() == 0
 
 
+def test_leaks_of_many_items_in_one_pass(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    texts = {i: [rng.choice(words) for _ in range(rng.randrange(12, 20))] for i in range(20_000)}
+    corpus, exp = [], set()
+    for d in range(300):
+        mine = rng.sample(sorted(texts), 2)
+        said = [rng.choice(words) for _ in range(15)]
+        for i in mine:
+            said += texts[i] + [rng.choice(words) for _ in range(15)]
+            exp.add((d, i))
+        corpus.append((d, " ".join(said)))
+    items = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "item_id bigint, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for p in batches:
+            seen.add(len(p))
+            yield p
+
+    read = spark.createDataFrame(corpus, "doc_id bigint, text string").mapInPandas(count, "doc_id bigint, text string")
+    got = set(rows(leakage.leaks(read, items).where("exact_share > 0.99"), "doc_id", "item_id"))
+    assert got == exp and seen.value == len(corpus)
+
+
+def test_leaks_with_a_filter_that_lets_all_through(spark, monkeypatch):
+    item = " ".join(f"word{i}" for i in range(40))
+    corpus = spark.createDataFrame([(1, item), (2, "the the the " * 30), (3, " ".join(f"x{i}" for i in range(50)))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(10, item), (11, "the " * 200)], "item_id bigint, text string")
+    plain = rows(leakage.leaks(corpus, items), "doc_id", "item_id", "exact_share")
+    monkeypatch.setattr(leakage, "MOST_BITS", 64)
+    assert rows(leakage.leaks(corpus, items), "doc_id", "item_id", "exact_share") == plain == [(1, 10, 1.0), (2, 11, 1.0)]
+
+
 # --- mixture ----------------------------------------------------------------
 
 
