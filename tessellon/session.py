@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
+from tessellon.plans.lineage import temporary_dir
+
 
 def local_session(app: str = "tessellon", cpus: int | None = None, shuffle_partitions: int = 8) -> SparkSession:
     """A local session with UTC, AQE and Arrow switched on."""
@@ -21,7 +22,7 @@ def local_session(app: str = "tessellon", cpus: int | None = None, shuffle_parti
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.checkpoint.dir", os.environ.get("TESSELLON_CHECKPOINTS") or tempfile.mkdtemp(prefix="tessellon-"))
+        .config("spark.checkpoint.dir", os.environ.get("TESSELLON_CHECKPOINTS") or temporary_dir())
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
