@@ -20,16 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellon.llm import tokens
+from tessellon.llm import filters, tokens
 from tessellon.plans.lineage import cut
 
 #: Kept positions of a run; words (10 long) and characters (14 long). The first mask of each has the most weight at the ends.
 MASKS = {False: ("1101100111", "1110011011"), True: ("11011001110111", "11100110110111")}
-#: Bits that the filter has for each hash of an item, and how many of them a hash sets.
-BITS_EACH, PROBES = 32, 6
-#: Bits that the filter has at most (64 MB). With more items it lets more runs through to the join; none is lost.
-MOST_BITS = 1 << 29
-
 _IDEOGRAPHS = "[぀-ヿ㐀-鿿豈-﫿\U00020000-\U000323af⺀-⿟]"
 
 
@@ -44,28 +39,6 @@ def _seeds(h: np.ndarray, doc: np.ndarray, chars: bool) -> tuple[np.ndarray, np.
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """The bits of a filter of `bits` bits, a power of two, that stand for each hash, one after another."""
-    step = (h >> np.uint64(31)) | np.uint64(1)
-    at = h.copy()
-    for _ in range(PROBES):
-        yield at & np.uint64(bits - 1)
-        at += step
-
-
-def _may_hold(words: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Numbers of the hashes that the filter lets through."""
-    left = np.arange(len(h))
-    step = (h >> np.uint64(31)) | np.uint64(1)
-    at, last = h.copy(), np.uint64(64 * len(words) - 1)
-    for _ in range(PROBES):
-        place = at & last
-        keep = (words[(place >> np.uint64(6)).view(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-        left, at, step = left[keep], at[keep], step[keep]
-        at += step
-    return left
-
-
 def _encoded(items: DataFrame) -> DataFrame:
     """(no, item_id, chars, n, tokens): items with the hashes of their tokens as bytes; those without a run drop out."""
     kind = dict(items.dtypes)["item_id"]
@@ -104,23 +77,6 @@ def _item_seeds(encoded: DataFrame) -> DataFrame:
     return encoded.select("no", "chars", "n", "tokens").mapInPandas(run, "h bigint, no bigint, at int")
 
 
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """The filter's words. What comes to the driver is the filter itself, MOST_BITS at most."""
-    n = seeds.count()
-    bits = 1 << min((max(n, 1) * BITS_EACH - 1).bit_length(), MOST_BITS.bit_length() - 1)
-    bits = max(bits, 64)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            at = np.concatenate([np.empty(0, np.uint64), *_places(p["h"].to_numpy().view(np.uint64), bits)])
-            yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int32), "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
-
-    set_bits = seeds.select("h").mapInPandas(run, "word int, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    words = np.zeros(bits // 64, np.uint64)
-    words[set_bits["word"].to_numpy(np.int64)] = set_bits["bits"].to_numpy(np.int64).view(np.uint64)
-    return words
-
-
 def _meeting(corpus: DataFrame, words: np.ndarray, kinds: list[bool]) -> DataFrame:
     """(uid, doc_id, tokens, hits): corpus texts with runs that may meet an item; hits are (h, start). A text that may meet items of both kinds has two rows."""
     kept = corpus.sparkSession.sparkContext.broadcast(words)
@@ -134,7 +90,7 @@ def _meeting(corpus: DataFrame, words: np.ndarray, kinds: list[bool]) -> DataFra
                     continue
                 h, doc = tokens.tokenise(own["text"].tolist(), chars)
                 seed, start = _seeds(h, doc, chars)
-                left = _may_hold(kept.value, seed)
+                left = filters.may_hold(kept.value, seed)
                 if not len(left):
                     continue
                 seed, start = seed[left], start[left]
@@ -210,7 +166,7 @@ def leaks(corpus: DataFrame, items: DataFrame) -> DataFrame:
     seeds = cut(_item_seeds(encoded))
     kinds = sorted(r["chars"] for r in encoded.select("chars").distinct().collect())  # two values at most
     corpus = corpus.select("doc_id", "text").where("doc_id is not null and text <> ''")
-    met = _meeting(corpus, _filter(seeds), kinds)
+    met = _meeting(corpus, filters.build(seeds), kinds)
     hits = met.select("uid", F.explode("hits").alias("x")).select("uid", "x.h", "x.start")
     diagonals = hits.join(seeds, "h").select("uid", "no", (F.col("start") - F.col("at")).alias("shift")).distinct()
     # along a diagonal only as much of the text is kept as the item is long

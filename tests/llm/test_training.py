@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessellon.llm import glyphs, groups, leakage, mixture, names, neardup, neighbours, pieces, scans, subjects
+from tessellon.llm import filters, glyphs, groups, leakage, mixture, names, neardup, neighbours, pieces, scans, subjects
 
 
 def rows(df, *cols):
@@ -276,7 +276,7 @@ def test_leaks_with_a_filter_that_lets_all_through(spark, monkeypatch):
     corpus = spark.createDataFrame([(1, item), (2, "the the the " * 30), (3, " ".join(f"x{i}" for i in range(50)))], "doc_id bigint, text string")
     items = spark.createDataFrame([(10, item), (11, "the " * 200)], "item_id bigint, text string")
     plain = rows(leakage.leaks(corpus, items), "doc_id", "item_id", "exact_share")
-    monkeypatch.setattr(leakage, "MOST_BITS", 64)
+    monkeypatch.setattr(filters, "MOST_BITS", 64)
     assert rows(leakage.leaks(corpus, items), "doc_id", "item_id", "exact_share") == plain == [(1, 10, 1.0), (2, 11, 1.0)]
 
 
