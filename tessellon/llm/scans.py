@@ -6,16 +6,27 @@ page numbers. What remains is reflowed into paragraphs, mending words cut at
 line ends. Words are then grouped by the skeleton that a scanner confuses
 them in; a rare form is replaced by the frequent form of its group that its
 own text or its neighbours support.
+
+All windows stand on one partitioning, that of the texts, which are written
+once as repaired lines; words are counted by form before anything about their
+neighbours is looked at, and neighbours only where a form is in doubt.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellon.llm import filters
 from tessellon.llm.glyphs import EXACT
-from tessellon.llm.tokens import IGNORABLE
-from tessellon.plans.lineage import cut
+from tessellon.llm.tokens import IGNORABLE, mix
+from tessellon.plans.lineage import cut, keep
 
 # What a scanner confuses, written as the strokes both have; longer ones stand for several letters.
 STROKES = {"m": "rn", "d": "ci", "h": "ii", "b": "ii", "u": "ii", "l": "i", "1": "i", "|": "i", "!": "i", "0": "o", "e": "c", "f": "t", "8": "ii", "5": "s", "2": "z", "9": "g", "6": "ii"}
@@ -25,190 +36,339 @@ ALIKE = ("天夭", "人入", "已己巳", "的旳", "测侧", "为力", "土士"
 _CJK = "\\u3400-\\u4dbf\\u4e00-\\u9fff"
 _NUMBER = f"(?:[^\\p{{L}}\\p{{N}}\\s]{{0,2}} ?#(?: ?/ ?#)? ?[^\\p{{L}}\\p{{N}}\\s]{{0,2}}|[pP]\\. ?#|[Pp]age #(?: of #)?|第 ?# ?页(?: ?共 ?# ?页)?)"
 _SURE = "(?i)^(?:page #(?: of #)?|第 ?# ?页(?: ?共 ?# ?页)?)$"
+_SHAPE = "^(?:#{1,6} |\\||<|[-*+•] |[0-9]+[.)、] )"
+#: Stands in a text where a line's end cut a word; a character for private use.
+CUT = ""
+_LETTERS = "0-9A-Za-z|!À-ÖØ-öø-ʯ̀-ԯԱ-᳿Ḁ-῿"
+_IDEO = "㐀-䶿一-鿿"
+#: Words, single ideographs and line breaks; the first group holds a word.
+TOKEN = re.compile(f"([{_LETTERS}]+)|[{_IDEO}]|\n+")
+_DASHED = re.compile(f"[{_LETTERS}]+(?:-[{_LETTERS}]+)+")
+_SIGNS = "".join(dict.fromkeys("".join(ALIKE)))
+_HEADS = {c: g[0] for g in reversed(ALIKE) for c in g}
+_SPOT = re.compile(f"(?=(.[{_SIGNS}].))")
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
-    """(doc_id, no, s, tail, head, number, top): the lines of documents (doc_id, content), each doc_id once.
+    """(doc_id, no, s, tail, head, number): the lines of documents (doc_id, content), each doc_id once.
 
     s: the line, trimmed, in one form; tail: the masked page number at its
-    end, if it could be one; head: the rest; number: the tail's first number;
-    top: whether the line stands where a page can begin.
+    end, if it could be one; head: the rest; number: the tail's first number.
     """
     look = "".join(EXACT)
     wide = [c for c in range(0xFF10, 0xFF5B) if chr(c).isalnum()]
+    # texts of plain characters are in one form already
+    odd = F.col("content").rlike(f"[^\\x00-\\x7e{_CJK}\\u3001\\u3002\\u300a-\\u3011\\uff01\\uff08\\uff09\\uff0c\\uff1a\\uff1b\\uff1f\\u2014\\u2018-\\u201d\\u2026]")
     text = F.translate("content", look + "".join(map(chr, wide)), "".join(EXACT.values()) + "".join(chr(c - 0xFEE0) for c in wide))
     text = F.regexp_replace(text, "[\\u00ad\\u2010\\u00ac]([ \\t]*\\r?\\n)", "-$1")
-    text = F.regexp_replace(text, f"[{IGNORABLE}]", "")
-    text = F.regexp_replace(text, "[\\u00a0\\u2000-\\u200a\\u202f\\u3000\\t]", " ")
+    text = F.regexp_replace(text, f"[{IGNORABLE}{CUT}]", "")
+    text = F.regexp_replace(text, "[\\u00a0\\u2000-\\u200a\\u202f\\u3000]", " ")
+    text = F.translate(F.when(odd, text).otherwise(F.col("content")), "\t\r", " ")
     one = documents.where("doc_id is not null and content <> ''").groupBy("doc_id").agg(F.min("content").alias("content"))
-    rows = one.select("doc_id", F.posexplode(F.split(text, "\\r?\\n")).alias("no", "line")).select("doc_id", "no", F.trim("line").alias("s"))
+    rows = one.select("doc_id", F.posexplode(F.split(text, "\n")).alias("no", "line")).select("doc_id", "no", F.trim("line").alias("s"))
+    # a page number ends in a digit or shortly behind one
     masked = F.regexp_replace("s", "[0-9]+", "#")
-    tail = F.regexp_extract(masked, f"(?:^|\\s{{2,}})({_NUMBER})$", 1)
-    rows = rows.withColumn("tail", tail).withColumn("kept", F.when(F.col("tail") == "", F.col("s")).otherwise(F.rtrim(F.regexp_replace("s", "(?:^|\\s{2,})\\S(?:[^\\s]| (?! ))*$", ""))))
-    rows = rows.withColumn("number", F.expr("try_cast(regexp_extract(substring(s, length(kept) + 1), '([0-9]+)', 1) as bigint)"))
-    w = Window.partitionBy("doc_id").orderBy("no")
-    before = F.lag(F.struct("s", "tail")).over(w)
-    rows = rows.withColumn("top", F.coalesce((before["s"] == "") | (before["tail"] != ""), F.lit(True)) & (F.col("s") != ""))
-    return rows.withColumnRenamed("kept", "head")
+    tail = F.when(F.substring("s", -8, 8).rlike("[0-9]"), F.regexp_extract(masked, f"(?:^|\\s{{2,}})({_NUMBER})$", 1)).otherwise("")
+    rows = rows.withColumn("tail", tail).withColumn("head", F.when(F.col("tail") == "", F.col("s")).otherwise(F.rtrim(F.regexp_replace("s", "(?:^|\\s{2,})\\S(?:[^\\s]| (?! ))*$", ""))))
+    return rows.withColumn("number", F.when(F.col("tail") != "", F.expr("try_cast(regexp_extract(substring(s, length(head) + 1), '([0-9]+)', 1) as bigint)")))
 
 
 def marked_lines(documents: DataFrame) -> DataFrame:
-    """lines_of with is_number and is_header."""
-    rows = cut(lines_of(documents))
+    """lines_of with is_number and is_header, by windows over each text's lines."""
+    rows = lines_of(documents)
+    w = Window.partitionBy("doc_id").orderBy("no")
+    before = F.lag(F.struct("s", "tail")).over(w)
+    rows = rows.withColumn("top", F.coalesce((before["s"] == "") | (before["tail"] != ""), F.lit(True)) & (F.col("s") != ""))
     # page numbers: the same mask again with a number one or two higher, and other lines in between
-    w = Window.partitionBy("doc_id", "tail").orderBy("no")
-    numbered = rows.where("tail <> ''").withColumn("rise", F.col("number") - F.lag("number").over(w)).withColumn("apart", F.col("no") - F.lag("no").over(w))
-    good = F.sum(F.when((F.col("rise").between(1, 2)) & (F.col("apart") > 2), 1).otherwise(0))
-    runs = numbered.groupBy("doc_id", "tail").agg(good.alias("good"), F.count("*").alias("n"))
-    paged = runs.where((F.col("good") >= F.greatest(F.lit(1), F.floor((F.col("n") - 1) / 2))) | F.col("tail").rlike(_SURE)).select("doc_id", "tail", F.lit(True).alias("paged"))
-    rows = rows.join(paged, ["doc_id", "tail"], "left").withColumn("is_number", F.coalesce("paged", F.lit(False))).drop("paged")
+    same = Window.partitionBy("doc_id", "tail")
+    rows = rows.withColumn("rise", F.col("number") - F.lag("number").over(same.orderBy("no"))).withColumn("apart", F.col("no") - F.lag("no").over(same.orderBy("no")))
+    good = F.sum(F.when((F.col("rise").between(1, 2)) & (F.col("apart") > 2), 1).otherwise(0)).over(same)
+    n = F.count("*").over(same)
+    rows = rows.withColumn("is_number", (F.col("tail") != "") & ((good >= F.greatest(F.lit(1), F.floor((n - 1) / 2))) | F.col("tail").rlike(_SURE)))
     # running headers: a short line at a page top that another such line of the text repeats or begins with
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.when(F.col("is_number"), F.col("head")).otherwise(F.col("s"))), "[0-9]+", "#"), "[^\\p{L}\\p{M}#]+", " "))
-    rows = cut(rows.withColumn("bare", bare))
-    able = rows.where(F.col("top") & (F.length("bare") >= 4) & (F.length("s") <= 100) & ~F.col("s").rlike("^(?:#|\\||<|[-*+•] |[0-9]+[.)、] )") & ~F.col("s").rlike("[.。;；,，:：!！?？]$"))
-    able = able.select("doc_id", "no", "bare", F.substring("bare", 1, 4).alias("key"))
-    other = able.select("doc_id", "key", F.col("no").alias("no2"), F.col("bare").alias("bare2"))
-    same = able.join(other, ["doc_id", "key"]).where("no <> no2").where(F.col("bare").startswith(F.col("bare2")) | F.col("bare2").startswith(F.col("bare")))
-    heads = same.select("doc_id", "no").distinct().withColumn("headed", F.lit(True))
-    return rows.join(heads, ["doc_id", "no"], "left").withColumn("is_header", F.coalesce("headed", F.lit(False))).drop("headed")
+    can = F.col("top") & (F.length("s") <= 100)
+    bare = F.when(can, F.when(~F.col("s").rlike("^(?:#|\\||<|[-*+•] |[0-9]+[.)、] )") & ~F.col("s").rlike("[.。;；,，:：!！?？]$"), bare))
+    rows = rows.withColumn("bare", bare).withColumn("bare", F.when(F.length("bare") >= 4, F.col("bare")))
+    # sorted, what begins with a line stands right behind it
+    by = Window.partitionBy("doc_id").orderBy("bare")
+    rows = rows.withColumn("after", F.lead("bare").over(by)).withColumn("twice", (F.lag("bare").over(by) == F.col("bare")) | (F.lead("bare").over(by) == F.col("bare")))
+    begins = F.when((F.col("after") != F.col("bare")) & F.col("after").startswith(F.col("bare")), F.col("bare"))
+    rows = rows.withColumn("begins", F.collect_set(begins).over(Window.partitionBy("doc_id")))
+    headed = F.col("twice") | F.exists("begins", lambda b: F.col("bare").startswith(b))
+    return rows.withColumn("is_header", F.coalesce(headed, F.lit(False))).select("doc_id", "no", "s", "head", "is_number", "is_header")
 
 
-def reflow(marked: DataFrame) -> DataFrame:
-    """(doc_id, no, s, next_s, par, cut_word): the lines that stay, each with its paragraph's number, the line after it in the paragraph and, if it ends in a hyphen before a letter, the two parts that meet.
+def reflowed(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, has_header, has_number): documents as paragraphs with a blank line between them, without what the pages added; CUT stands where a line's end cut a word.
 
     A blank line ends a paragraph unless it stands at a page break. In a text
     whose lines are wrapped a line is followed by the next one in its
     paragraph; in others, and around headings, tables and lists, each line is
     a paragraph.
     """
+    rows = marked_lines(documents)
     w = Window.partitionBy("doc_id").orderBy("no")
-    whole = Window.partitionBy("doc_id")
     gone = F.col("is_header") | (F.col("is_number") & (F.col("head") == ""))
-    rows = marked.withColumn("gone", gone)
+    rows = rows.withColumn("gone", gone).withColumn("g", F.when(F.col("s") != "", gone))
     # blank lines beside what went away are the page break's own
-    seen_gone = F.last(F.when(F.col("s") != "", F.col("gone")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    next_gone = F.first(F.when(F.col("s") != "", F.col("gone")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("blank", (F.col("s") == "") & ~F.coalesce(seen_gone, F.lit(False)) & ~F.coalesce(next_gone, F.lit(False)))
-    rows = rows.withColumn("blanks", F.sum(F.col("blank").cast("int")).over(w))
-    rows = rows.where((F.col("s") != "") & ~F.col("gone"))
-    shape = F.col("s").rlike("^(?:#{1,6} |\\||<|[-*+•] |[0-9]+[.)、] )")
-    width = F.max(F.when(~shape, F.length("s"))).over(whole)
-    rows = rows.withColumn("shape", shape).withColumn("width", width)
-    before = F.lag(F.struct("blanks", "shape", "s")).over(w)
-    joins = (F.col("width") <= 110) & ~F.col("shape") & ~before["shape"] & (before["blanks"] == F.col("blanks")) & ((F.length(before["s"]) >= 0.6 * F.col("width")) | before["s"].rlike("-$"))
-    rows = rows.withColumn("par", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(w))
-    inside = Window.partitionBy("doc_id", "par").orderBy("no")
-    rows = rows.withColumn("next_s", F.lead("s").over(inside))
-    left, right = F.regexp_extract("s", "([\\p{L}\\p{M}]+(?:-[\\p{L}\\p{M}]+)*)-$", 1), F.regexp_extract("next_s", "^([\\p{Ll}\\p{M}]+)", 1)
-    whole_word = F.when((left != "") & (right != ""), F.struct(left.alias("left"), right.alias("right")))
-    return rows.select("doc_id", "no", "s", "next_s", "par", whole_word.alias("cut_word"))
-
-
-def paragraphs(flowed: DataFrame, hyphens: DataFrame) -> DataFrame:
-    """(doc_id, par, text): the paragraphs of reflow's lines; hyphens (left, right) are the compounds that keep their hyphen."""
-    keeps = hyphens.select(F.struct("left", "right").alias("cut_word"), F.lit(True).alias("keeps"))
-    rows = flowed.join(keeps, "cut_word", "left")
-    end, begin = F.substring("s", -1, 1), F.substring("next_s", 1, 1)
+    near = lambda f: F.coalesce(F.expr(f"{f}(g) ignore nulls over (partition by doc_id order by no)"), F.lit(False))
+    rows = rows.withColumn("blank", (F.col("s") == "") & ~near("lag") & ~near("lead"))
+    rows = rows.withColumn("blanks", F.sum(F.col("blank").cast("int")).over(w)).withColumn("stays", (F.col("s") != "") & ~F.col("gone"))
+    own = Window.partitionBy("doc_id", "stays")
+    rows = rows.withColumn("shape", F.col("stays") & F.col("s").rlike(_SHAPE))
+    rows = rows.withColumn("width", F.max(F.when(~F.col("shape"), F.length("s"))).over(own))
+    before = F.lag(F.struct("blanks", "shape", "s")).over(own.orderBy("no"))
+    joins = (F.col("width") <= 110) & ~F.col("shape") & ~before["shape"] & (before["blanks"] == F.col("blanks")) & ((F.length(before["s"]) >= 0.6 * F.col("width")) | before["s"].endswith("-"))
+    rows = rows.withColumn("joins", F.coalesce(joins, F.lit(False)))
+    after = F.lead(F.struct("joins", F.substring("s", 1, 1).alias("c"))).over(own.orderBy("no"))
+    rows = rows.withColumn("on", F.coalesce(after["joins"], F.lit(False))).withColumn("next_c", after["c"])
+    end = F.substring("s", -1, 1)
     ideo = f"[{_CJK}\\u3000-\\u303f\\uff00-\\uffef]"
     # a text in ideographs is wrapped anywhere, also inside its few words of letters
-    own = F.length(F.regexp_replace("s", f"[^{_CJK}]", "")) * 3 > F.length("s")
+    mostly = F.length(F.regexp_replace("s", f"[^{_CJK}]", "")) * 3 > F.length("s")
     piece = (
-        F.when(F.col("next_s").isNull(), F.col("s"))
-        .when(F.col("cut_word").isNotNull() & F.col("keeps").isNull(), F.expr("substring(s, 1, length(s) - 1)"))
-        .when(F.col("cut_word").isNotNull(), F.col("s"))
-        .when(end.rlike(ideo) | begin.rlike(ideo) | own, F.col("s"))
+        F.when(~F.col("on"), F.concat("s", F.lit("\n\n")))
+        .when((end == "-") & F.col("s").rlike("[\\p{L}\\p{M}]-$") & F.col("next_c").rlike("[\\p{Ll}\\p{M}]"), F.concat(F.expr("substring(s, 1, length(s) - 1)"), F.lit(CUT)))
+        .when(end.rlike(ideo) | F.col("next_c").rlike(ideo) | mostly, F.col("s"))
         .otherwise(F.concat("s", F.lit(" ")))
     )
-    parts = rows.withColumn("piece", piece).groupBy("doc_id", "par").agg(F.sort_array(F.collect_list(F.struct("no", "piece"))).alias("p"))
-    return parts.select("doc_id", "par", F.array_join(F.col("p.piece"), "").alias("text"))
+    parts = F.sort_array(F.collect_list(F.when(F.col("stays"), F.struct("no", piece.alias("piece")))))
+    whole = rows.groupBy("doc_id").agg(parts.alias("p"), F.max("is_header").alias("has_header"), F.max("is_number").alias("has_number"))
+    return whole.select("doc_id", F.rtrim(F.array_join(F.col("p.piece"), ""), F.lit("\n ")).alias("text"), "has_header", "has_number")
 
 
-def kept_hyphens(flowed: DataFrame) -> DataFrame:
-    """(left, right) of cut words that all texts write with a hyphen more often than in one."""
-    ends = flowed.where("cut_word is not null").select("cut_word.left", "cut_word.right").distinct()
-    ends = ends.withColumn("joined", F.lower(F.concat("left", "right"))).withColumn("dashed", F.lower(F.concat("left", F.lit("-"), "right")))
-    words = flowed.select(F.explode(F.regexp_extract_all("s", F.lit("([\\p{L}\\p{M}]+(?:-[\\p{L}\\p{M}]+)*)"), F.lit(1))).alias("w")).select(F.lower("w").alias("w"))
-    asked = ends.select(F.explode(F.array("joined", "dashed")).alias("w")).distinct()
-    n = words.join(asked, "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
-    both = ends.join(n.select(F.col("w").alias("joined"), F.col("n").alias("nj")), "joined", "left").join(n.select(F.col("w").alias("dashed"), F.col("n").alias("nd")), "dashed", "left")
-    return both.where(F.coalesce("nd", F.lit(0)) > F.coalesce("nj", F.lit(0))).select("left", "right")
+def skeleton(word: str) -> str:
+    """What a scanner makes of a word's strokes."""
+    s = word.lower().translate(_STROKES)
+    # letters made of letters: what came out is split on
+    return s.replace("li", "ii").replace("cl", "ci")
 
 
-def _skeleton(word: Column) -> Column:
-    s = F.lower(word)
-    for c, strokes in STROKES.items():
-        s = F.replace(s, F.lit(c), F.lit(strokes))
-    # letters made of letters: what came out is split on
-    return F.replace(F.replace(s, F.lit("li"), F.lit("ii")), F.lit("cl"), F.lit("ci"))
+_STROKES = str.maketrans(STROKES)
+
+
+def _is_word(t: str) -> bool:
+    return 2 <= len(t) <= 40 and not t.isdigit() and any("a" <= c <= "z" or "A" <= c <= "Z" for c in t)
+
+
+def _tokens(text: str) -> list[str]:
+    """Words, ideographs and breaks of a text; a number that an ideograph parts from the name behind it is no part of the name."""
+    found = TOKEN.findall(text) if text.isascii() else None
+    if found is not None:
+        return [t or "\n" for t in found]
+    out, last = [], ""
+    for m in TOKEN.finditer(text):
+        t = m[0]
+        if m[1] and last and last != "\n" and "㐀" <= last <= "鿿" and t[0].isdigit():
+            t = re.sub("^[0-9]+(?=[A-Z])", "", t)
+        out.append("\n" if t[0] == "\n" else t)
+        last = t
+    return out
+
 
+def _may_read(word: str, right: str) -> bool:
+    """Whether right can be what was read as word, for two forms of one skeleton."""
+    if word.lower() == right.lower() or re.search("[0-9|!]", right):
+        return False
+    return not word[0].isalpha() or word[0].isupper() == right[0].isupper()
 
-def misread_words(texts: DataFrame, ratio: int = 8) -> DataFrame:
-    """(doc_id, word, right_word): words of letters of texts (doc_id, par, text) that are a scanner's reading of another.
+
+def _spots(text: str) -> list[str]:
+    """Three characters around each sign that has look-alikes; paragraphs begin with ^ and end with $, numbers are one #."""
+    if text.isascii():
+        return []
+    return _SPOT.findall("^" + re.sub("[0-9]+", "#", text).replace("\n\n", "$\n\n^") + "$")
+
+
+_COUNTS = "kind string, word string, skeleton string, right_word string, n bigint, m bigint"
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """(kind, word, skeleton, right_word, n, m) of texts (doc_id, text), added up by batches.
+
+    w: a word, how often it stands and in how many texts; h: a compound with
+    hyphens, lower case; s: a spot; g: a pair of forms of one skeleton in one
+    text of which right_word stands there more often: n texts.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            known: dict[str, str | None] = {}
+            n, df, dashed, spots, pairs = Counter(), Counter(), Counter(), Counter(), Counter()
+            for text in p["text"]:
+                text = text.replace(CUT, "")
+                own = Counter(_tokens(text))
+                groups: dict[str, list[str]] = {}
+                for t in own:
+                    s = known.get(t, "")
+                    if s == "":
+                        s = known[t] = skeleton(t) if _is_word(t) else None
+                    if s is not None:
+                        groups.setdefault(s, []).append(t)
+                for s, ws in groups.items():
+                    for w in ws:
+                        n[w] += own[w]
+                        df[w] += 1
+                    if len(ws) > 1:
+                        pairs.update((w, r) for w in ws for r in ws if own[r] > own[w] and _may_read(w, r))
+                dashed.update(d.lower() for d in _DASHED.findall(text)) if "-" in text else None
+                spots.update(_spots(text))
+            rows = [("w", w, known[w], None, k, df[w]) for w, k in n.items()] + [("h", w, None, None, k, 0) for w, k in dashed.items()]
+            rows += [("s", w, None, None, k, 0) for w, k in spots.items()] + [("g", w, None, r, k, 0) for (w, r), k in pairs.items()]
+            yield pd.DataFrame(rows, columns=["kind", "word", "skeleton", "right_word", "n", "m"])
+
+    made = texts.select("text").mapInPandas(run, _COUNTS)
+    return keep(made.groupBy("kind", "word", "right_word").agg(F.first("skeleton", ignorenulls=True).alias("skeleton"), F.sum("n").alias("n"), F.sum("m").alias("m")))
+
+
+def _hashes(rows: DataFrame, *columns: str) -> DataFrame:
+    """(h): hashes of the words in columns, or of the pairs they make."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            h = np.zeros(len(p), np.uint64)
+            for c in columns:
+                h = mix(h + np.array([filters.hash_of(w) for w in p[c]], np.uint64))
+            yield pd.DataFrame({"h": h.view(np.int64)})
+
+    return rows.select(*columns).mapInPandas(run, "h bigint")
+
+
+def _sides(found: list[str]) -> list[tuple[str, str, str]]:
+    """(word, side, neighbour) of a text's words: neighbours by their skeletons, as they may be misread themselves, numbers as #; breaks are none."""
+    by = ["#" if t.isdigit() else skeleton(t) if _is_word(t) else t for t in found]
+    return [(t, "<" + by[i - 1] if i else "\n", ">" + by[i + 1] if i + 1 < len(by) else "\n") for i, t in enumerate(found)]
+
+
+def misread(texts: DataFrame, counts: DataFrame, ratio: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(words, signs): (doc_id, word, right_word) and (doc_id, spot, right_spot) of texts (doc_id, text) that are a scanner's reading of others.
 
     A form is misread if its skeleton group has a form, alike in its first
     letter's case, that occurs at least `ratio` times as often in all texts
-    and next to one of the word's neighbours, or that the same text has more
-    often while few others have it.
+    and next to one of the word's neighbours, or if in most of the texts that
+    hold it the other stands more often, although few texts have the other at
+    all. A sign between two others is misread
+    if all texts have one of its look-alikes there `ratio` times as often.
     """
-    found = F.regexp_extract_all("text", F.lit("([\\p{L}\\p{M}\\p{N}|!]+(?:-[\\p{L}\\p{M}\\p{N}]+)*)"), F.lit(1))
-    words = texts.withColumn("w", F.filter(F.flatten(F.transform(found, lambda x: F.split(x, "-"))), lambda x: ~x.rlike(f"[{_CJK}]") & (F.length(x) <= 40)))
-    at = words.select("doc_id", "par", F.posexplode("w").alias("i", "word"), "w")
-    pair = at.select("doc_id", "word", F.try_element_at("w", F.col("i")).alias("_x"), F.when(F.col("i") > 0, F.try_element_at("w", F.col("i"))).alias("prev"), F.try_element_at("w", F.col("i") + 2).alias("next")).drop("_x")
-    # names stand inside ideographs without neighbours of letters; they still count in their text
-    inner = F.regexp_extract_all("text", F.lit(f"([A-Za-z\\u00c0-\\u024f0-9|!]{{2,}})(?=[{_CJK}])"), F.lit(1))
-    beside = texts.select("doc_id", F.explode(inner).alias("word")).where("word rlike '[A-Za-z]'").select("doc_id", F.regexp_replace("word", "^[0-9]+(?=[A-Z])", "").alias("word"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast("string").alias("next"))
-    mixed = pair.where(~F.col("word").rlike(f"[{_CJK}]")).unionByName(beside)
-    used = mixed.where("word rlike '[A-Za-z]' and length(word) >= 2")
-    used = cut(used.withColumns({side: _skeleton(F.col(side)) for side in ("prev", "next")}))
-    per_text = used.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    forms = per_text.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
-    forms = cut(forms.withColumn("skeleton", _skeleton(F.col("word"))))
-    rare, other = forms.select("skeleton", "word", "n", "df"), forms.select("skeleton", F.col("word").alias("right_word"), F.col("n").alias("rn"), F.col("df").alias("rdf"))
+    forms = counts.where("kind = 'w'").select("skeleton", "word", "n", F.col("m").alias("df"))
     case = lambda c: F.substring(c, 1, 1).rlike("\\p{Lu}")
     letter = F.substring("word", 1, 1).rlike("\\p{L}")
-    options = rare.join(other, "skeleton").where("lower(word) <> lower(right_word) and rn > n and not right_word rlike '[0-9|!]'").where(~letter | (case("word") == case("right_word")))
-    common = options.where(F.col("rn") >= ratio * F.col("n")).select("word", "right_word", "rn")
-    near = used.join(common, "word").select("doc_id", "word", "right_word", "rn", "prev", "next")
-    # both forms' counts beside the same neighbours, these by their skeletons as they may be misread themselves; a common word of its own is used to its place
-    sides = []
-    for side in ("prev", "next"):
-        asked = near.where(F.col(side).isNotNull()).select(F.explode(F.array("right_word", "word")).alias("form"), F.col(side).alias("by")).distinct()
-        n = used.where(F.col(side).isNotNull()).groupBy(F.col("word").alias("form"), F.col(side).alias("by")).agg(F.count("*").alias("m"))
-        sides.append((side, cut(n.join(asked, ["form", "by"], "left_semi"))))
-    backed = near
-    for form in ("right_word", "word"):
-        for side, n in sides:
-            backed = backed.join(n.select(F.col("form").alias(form), F.col("by").alias(side), F.col("m").alias(f"{side}_{form}")), [form, side], "left")
-    count = lambda form: F.coalesce(f"prev_{form}", F.lit(0)) + F.coalesce(f"next_{form}", F.lit(0))
-    backed = backed.where((count("right_word") > 0) & (count("right_word") >= ratio / 2 * count("word"))).select("doc_id", "word", "right_word", "rn")
-    own = per_text.select("doc_id", F.col("word").alias("right_word"), F.col("n").alias("on"))
-    in_text = per_text.join(options.where("df <= 2").select("word", "right_word", "rn"), "word").join(own, ["doc_id", "right_word"]).where("on > n").select("doc_id", "word", "right_word", "rn")
-    best = backed.unionByName(in_text).groupBy("doc_id", "word").agg(F.max_by("right_word", F.struct("rn", "right_word")).alias("right_word"))
-    return best
-
-
-def misread_signs(texts: DataFrame, ratio: int = 8) -> DataFrame:
-    """(doc_id, spot, right_spot): three characters of ideographic texts whose middle one is a scanner's reading of another, by how often all texts have either between the same neighbours."""
-    signs = "".join(dict.fromkeys("".join(ALIKE)))
-    groups = [g for g in ALIKE]
-    heads = {c: g[0] for g in reversed(groups) for c in g}
-    text = F.concat(F.lit("^"), F.regexp_replace("text", "[0-9]+", "#"), F.lit("$"))
-    spots = texts.select("doc_id", F.explode(F.regexp_extract_all(text, F.lit(f"(?=(.[{signs}].))"), F.lit(1))).alias("spot"))
-    norm = lambda c: F.translate(c, "".join(heads), "".join(heads.values()))
-    spots = cut(spots.groupBy("doc_id", "spot").agg(F.count("*").alias("k")))
-    forms = spots.groupBy("spot").agg(F.sum("k").alias("n")).withColumn("group", norm(F.col("spot"))).withColumn("c", F.substring("spot", 2, 1))
+    other = forms.select("skeleton", F.col("word").alias("right_word"), F.col("n").alias("rn"), F.col("df").alias("rdf")).where("not right_word rlike '[0-9|!]'")
+    options = forms.join(other, "skeleton").where("lower(word) <> lower(right_word) and rn > n").where(~letter | (case("word") == case("right_word")))
+    local = counts.where("kind = 'g'").select("word", "right_word", F.col("n").alias("beside"))
+    # forms of one text: in half of the word's texts at least, and far more often than chance brings them together
+    drawn = (F.col("beside") * 2 >= F.col("df")) & (F.col("beside") * texts.count() >= 4 * F.col("df") * F.col("rdf"))
+    options = options.join(local, ["word", "right_word"], "left").select("word", "right_word", "rn", (F.col("rn") >= ratio * F.col("n")).alias("common"), F.coalesce(drawn, F.lit(False)).alias("local"))
+    options = cut(options.where("common or local"))
+    fixes = cut(_sign_fixes(counts.where("kind = 's'").select(F.col("word").alias("spot"), "n"), ratio))
+    doubtful = filters.build(_hashes(options.select("word").distinct().union(fixes.select("spot")), "word"))
+    kept = texts.sparkSession.sparkContext.broadcast(doubtful)
+    kind = dict(texts.dtypes)["doc_id"]
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            holds: dict[str, bool] = {}
+
+            def test(words: set[str]) -> None:
+                new = [w for w in words if w not in holds]
+                hit = set(filters.may_hold(kept.value, mix(np.array([filters.hash_of(w) for w in new], np.uint64))).tolist()) if new else ()
+                holds.update((w, i in hit) for i, w in enumerate(new))
+
+            rows = []
+            for key, text in zip(p["doc_id"], p["text"]):
+                text = text.replace(CUT, "")
+                found = _tokens(text)
+                own = Counter(found)
+                test({t for t in own if _is_word(t)})
+                asked = {t for t in own if holds.get(t)}
+                if asked:
+                    sides = Counter((t, s) for t, a, b in _sides(found) if t in asked for s in (a, b))
+                    groups: dict[str, list[str]] = {}
+                    for t in own:
+                        if _is_word(t):
+                            groups.setdefault(skeleton(t), []).append(t)
+                    for t in asked:
+                        better = [r for r in groups[skeleton(t)] if own[r] > own[t] and _may_read(t, r)]
+                        rows.append((key, "w", t, [s for (w, s) in sides if w == t and s[-1] != "\n"], better))
+                spots = set(_spots(text))
+                test(spots)
+                rows += [(key, "s", s, [], []) for s in spots if holds[s]]
+            yield pd.DataFrame(rows, columns=["doc_id", "kind", "word", "sides", "better"])
+
+    found = keep(texts.select("doc_id", "text").mapInPandas(look, f"doc_id {kind}, kind string, word string, sides array<string>, better array<string>"))
+    words = found.where("kind = 'w'").join(options, "word")
+    in_text = words.where(F.col("local") & F.array_contains("better", F.col("right_word"))).select("doc_id", "word", "right_word", "rn")
+    near = words.where("common").select("doc_id", "word", "right_word", "rn", F.explode("sides").alias("side"))
+    # both forms' counts beside the same neighbours; a common word of its own is used to its place
+    asked = near.select(F.explode(F.array("right_word", "word")).alias("word"), "side").distinct()
+    beside = _beside(texts, asked)
+    count = lambda c: beside.select(F.col("word").alias(c), "side", F.col("n").alias(f"n_{c}"))
+    backed = near.join(count("right_word"), ["right_word", "side"], "left").join(count("word"), ["word", "side"], "left")
+    backed = backed.groupBy("doc_id", "word", "right_word", "rn").agg(F.sum("n_right_word").alias("r"), F.sum("n_word").alias("k")).where(F.col("r") >= ratio / 2 * F.coalesce("k", F.lit(0)))
+    best = backed.select("doc_id", "word", "right_word", "rn").unionByName(in_text).groupBy("doc_id", "word").agg(F.max_by("right_word", F.struct("rn", "right_word")).alias("right_word"))
+    signs = found.where("kind = 's'").select("doc_id", F.col("word").alias("spot")).join(fixes, "spot").select("doc_id", "spot", "right_spot")
+    return best, signs
+
+
+def _beside(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(word, side, n): how often texts have the words of asked (word, side) beside those neighbours."""
+    asked = cut(asked)
+    kept = texts.sparkSession.sparkContext.broadcast(filters.build(_hashes(asked, "word", "side")))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            number: dict[str, int] = {}
+            hashes: list[int] = []
+            pairs = []
+            for text in p["text"]:
+                for t, a, b in _sides(_tokens(text.replace(CUT, ""))):
+                    if not _is_word(t):
+                        continue
+                    for x in (t, a, b):
+                        if x not in number:
+                            number[x] = len(hashes)
+                            hashes.append(filters.hash_of(x))
+                    pairs += ((number[t], number[a]), (number[t], number[b]))
+            if not pairs:
+                continue
+            at, h = np.array(pairs), np.array(hashes, np.uint64)
+            at = at[filters.may_hold(kept.value, mix(mix(h[at[:, 0]]) + h[at[:, 1]]))]
+            at, n = np.unique(at, axis=0, return_counts=True)
+            names = np.array(list(number), dtype=object)
+            yield pd.DataFrame({"word": names[at[:, 0]], "side": names[at[:, 1]], "n": n})
+
+    got = texts.select("text").mapInPandas(look, "word string, side string, n bigint")
+    return cut(got.join(asked, ["word", "side"], "left_semi").groupBy("word", "side").agg(F.sum("n").alias("n")))
+
+
+def _sign_fixes(spots: DataFrame, ratio: int) -> DataFrame:
+    """(spot, right_spot) for spots (spot, n) of which another look-alike is by far the usual one."""
+    norm = F.translate("spot", "".join(_HEADS), "".join(_HEADS.values()))
+    forms = spots.withColumn("group", norm).withColumn("c", F.substring("spot", 2, 1))
     by_sign = forms.groupBy("group", "c").agg(F.sum("n").alias("n"))
     top = by_sign.groupBy("group").agg(F.max(F.struct("n", "c")).alias("top")).select("group", F.col("top.n").alias("most"), F.col("top.c").alias("right"))
     wrong = forms.join(by_sign.select("group", "c", F.col("n").alias("all_n")), ["group", "c"]).join(top, "group").where((F.col("c") != F.col("right")) & (F.col("most") >= ratio * F.col("all_n")))
-    fixes = wrong.select("spot", F.concat(F.substring("spot", 1, 1), F.col("right"), F.substring("spot", 3, 1)).alias("right_spot"))
-    return spots.join(fixes, "spot").select("doc_id", "spot", "right_spot")
+    return wrong.select("spot", F.concat(F.substring("spot", 1, 1), F.col("right"), F.substring("spot", 3, 1)).alias("right_spot"))
 
 
-def _parts(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    marked = cut(marked_lines(documents))
-    flowed = cut(reflow(marked))
-    hyphens = cut(kept_hyphens(flowed))
-    return marked, flowed, hyphens, cut(paragraphs(flowed, hyphens))
+def cut_words(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, left, right, keeps): the words that line ends cut in texts; keeps: whether all texts write it with a hyphen more often than in one."""
+    word = "[\\p{L}\\p{M}]+(?:-[\\p{L}\\p{M}]+)*"
+    found = texts.where(F.col("text").contains(CUT)).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({word}{CUT}[\\p{{Ll}}\\p{{M}}]+)"), F.lit(1))).alias("x"))
+    ends = found.select("doc_id", F.split_part("x", F.lit(CUT), F.lit(1)).alias("left"), F.split_part("x", F.lit(CUT), F.lit(2)).alias("right"))
+    ends = ends.withColumn("joined", F.lower(F.concat("left", "right"))).withColumn("dashed", F.lower(F.concat("left", F.lit("-"), "right")))
+    one = counts.where("kind = 'w'").groupBy(F.lower("word").alias("joined")).agg(F.sum("n").alias("nj"))
+    two = counts.where("kind = 'h'").select(F.col("word").alias("dashed"), F.col("n").alias("nd"))
+    asked = ends.groupBy("joined", "dashed").agg(F.count("*").alias("cuts"))
+    # the cut words themselves were counted in one
+    known = asked.join(two, "dashed").join(one, "joined", "left").where(F.col("nd") > F.coalesce("nj", F.lit(0)) - F.col("cuts"))
+    return ends.join(known.select("joined", "dashed", F.lit(True).alias("keeps")), ["joined", "dashed"], "left").select("doc_id", "left", "right", F.coalesce("keeps", F.lit(False)).alias("keeps"))
+
+
+def _parts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    texts = keep(reflowed(documents))
+    return texts, counted(texts)
 
 
 def defects(documents: DataFrame) -> DataFrame:
@@ -217,14 +377,13 @@ def defects(documents: DataFrame) -> DataFrame:
     Null ids, null and empty contents have none; of a repeated doc_id the
     smallest content counts.
     """
-    marked, flowed, hyphens, texts = _parts(documents)
-    broken = flowed.where("cut_word is not null").select("doc_id", "cut_word.left", "cut_word.right").join(hyphens, ["left", "right"], "left_anti")
+    texts, counts = _parts(documents)
+    words, signs = misread(texts, counts)
     found = [
-        (broken, "broken_word"),
-        (misread_words(texts), "misread"),
-        (misread_signs(texts), "misread"),
-        (marked.where("is_header"), "running_header"),
-        (marked.where("is_number"), "page_number"),
+        (cut_words(texts, counts).where("not keeps"), "broken_word"),
+        (words.select("doc_id").union(signs.select("doc_id")), "misread"),
+        (texts.where("has_header"), "running_header"),
+        (texts.where("has_number"), "page_number"),
     ]
     out = None
     for rows, name in found:
@@ -233,24 +392,38 @@ def defects(documents: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _mended(text: str, fixes: dict[str, str], spots: list[tuple[str, str]], keeps: set[str]) -> str:
+    if CUT in text:
+        text = re.sub(f"([^\\W\\d_]+){CUT}([^\\W\\d_]+)", lambda m: m[1] + ("-" if f"{m[1]}-{m[2]}".lower() in keeps else "") + m[2], text).replace(CUT, "")
+    if fixes:
+
+        def word(m: re.Match) -> str:
+            bare = m[0].lstrip("0123456789")
+            return fixes.get(m[0]) or (m[0][: -len(bare)] + fixes[bare] if bare in fixes else m[0])
+
+        text = re.sub(f"[{_LETTERS}]+", word, text)
+    for spot, right in spots:
+        # a spot's edges are contexts: # any number, ^ and $ a paragraph's begin and end
+        left = {"#": "(?<=[0-9])", "^": "(?:(?<=\n\n)|(?<![\\s\\S]))"}.get(spot[0], f"(?<={re.escape(spot[0])})")
+        after = {"#": "(?=[0-9])", "$": "(?=\n\n|\\Z)"}.get(spot[2], f"(?={re.escape(spot[2])})")
+        text = re.sub(left + re.escape(spot[1]) + after, right[1], text)
+    return text
+
+
 def repaired(documents: DataFrame) -> DataFrame:
     """(doc_id, text): documents in continuous paragraphs, without what the pages added or spoiled."""
-    _, _, _, texts = _parts(documents)
-    words = misread_words(texts).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "right_word"))).alias("fixes"))
-    signs = misread_signs(texts).groupBy("doc_id").agg(F.collect_list(F.struct("spot", "right_spot")).alias("spots"))
-    rows = texts.join(words, "doc_id", "left").join(signs, "doc_id", "left")
-    # words are replaced token by token; the split keeps every character
-    parts = F.split("text", "(?<=[\\p{L}\\p{M}\\p{N}|!])(?![\\p{L}\\p{M}\\p{N}|!])|(?<![\\p{L}\\p{M}\\p{N}|!])(?=[\\p{L}\\p{M}\\p{N}|!])")
-    fixed = F.when(F.col("fixes").isNull(), F.col("text")).otherwise(F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at("fixes", p), p)), ""))
-    rows = rows.withColumn("text", fixed)
-    # digits in a spot are masked, so its pattern takes any number there
-    spotted = F.when(F.col("spots").isNull(), F.col("text")).otherwise(F.aggregate("spots", F.col("text"), lambda t, s: F.when(s["spot"].rlike("[#^$]"), F.regexp_replace(t, F.concat(_context(F.substring(s["spot"], 1, 1), True), F.substring(s["spot"], 2, 1), _context(F.substring(s["spot"], 3, 1), False)), F.substring(s["right_spot"], 2, 1))).otherwise(F.replace(t, s["spot"], s["right_spot"]))))
-    rows = rows.withColumn("text", spotted)
-    whole = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("par", "text"))).alias("p"))
-    return whole.select("doc_id", F.array_join(F.col("p.text"), "\n\n").alias("text"))
-
-
-def _context(c: Column, before: bool) -> Column:
-    quoted = F.regexp_replace(c, "([\\\\.\\[\\]{}()*+?|])", "\\\\$1")
-    edge = F.when(c == "#", "[0-9]").when(c == "^", "^").when(c == "$", "$").otherwise(quoted)
-    return F.concat(F.lit("(?<=" if before else "(?="), edge, F.lit(")"))
+    texts, counts = _parts(documents)
+    words, signs = misread(texts, counts)
+    fixes = words.groupBy("doc_id").agg(F.collect_list(F.struct("word", "right_word")).alias("fixes"))
+    spots = signs.groupBy("doc_id").agg(F.collect_list(F.struct("spot", "right_spot")).alias("spots"))
+    keeps = cut_words(texts, counts).where("keeps").groupBy("doc_id").agg(F.collect_set(F.lower(F.concat("left", F.lit("-"), "right"))).alias("keeps"))
+
+    @F.pandas_udf("string")
+    def mend(text: pd.Series, fixes: pd.Series, spots: pd.Series, keeps: pd.Series) -> pd.Series:
+        pairs = lambda xs, a, b: [(x[a], x[b]) for x in xs] if xs is not None else []
+        return pd.Series([_mended(t, dict(pairs(f, "word", "right_word")), pairs(s, "spot", "right_spot"), set(k) if k is not None else set()) for t, f, s, k in zip(text, fixes, spots, keeps)])
+
+    rows = texts.join(fixes, "doc_id", "left").join(spots, "doc_id", "left").join(keeps, "doc_id", "left")
+    touched = F.col("fixes").isNotNull() | F.col("spots").isNotNull() | F.col("text").contains(CUT)
+    done = rows.where(touched).select("doc_id", mend("text", "fixes", "spots", "keeps").alias("text"))
+    return done.unionByName(rows.where(~touched).select("doc_id", "text"))
