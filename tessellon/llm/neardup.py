@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellon.llm import groups, tokens
-from tessellon.plans.lineage import cut, is_small
+from tessellon.plans.lineage import cut, is_small, keep
 
-#: 64-bit words of an odd sketch.
-WORDS = 8
+#: 64-bit words of an odd sketch, and the MinHash samples folded into it.
+WORDS, SAMPLES = 8, 160
 
 
 def _sets(texts: list[str], width: int, chars: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -63,13 +63,32 @@ def _typed_sets(texts: list[str], width: int, by_script: bool) -> tuple[np.ndarr
     return run, owner
 
 
+def _least(elements: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
+    """k MinHash samples of each set; sets are taken a few at a time, so that their elements stay in the processor's cache."""
+    rng = np.random.default_rng(41)
+    factor = rng.integers(1, 1 << 31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    addend = rng.integers(0, 1 << 32, k, dtype=np.uint32)
+    x = (elements >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(begin), k), np.uint32)
+    ends = np.append(begin[1:], len(x))
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(ends, begin[i] + 16_384, "right")))
+        part, at = x[begin[i] : ends[j - 1]], begin[i:j] - begin[i]
+        scratch = np.empty(len(part), np.uint32)
+        for s in range(k):
+            np.multiply(part, factor[s], out=scratch)
+            scratch += addend[s]
+            out[i:j, s] = np.minimum.reduceat(scratch, at)
+        i = j
+    return out
+
+
 def sketches(rows: DataFrame, width: int, bands: int, band_rows: int, by_script: bool) -> DataFrame:
-    """rows (field, key, text) as (id, field, key, text_hash, n, class_a, class_b, bands, odd); texts without a token drop out. Nothing of the text itself stays."""
+    """rows (field, key, text) as (id, field, key, text_hash, n, class_a, class_b, bands, o0, o1, ...); texts without a token drop out. Nothing of the text itself stays."""
     k = bands * band_rows
-    schema = "id bigint, field string, key string, text_hash bigint, n int, class_a bigint, class_b bigint, bands array<int>, odd array<bigint>"
-    rng = np.random.default_rng(41)
-    factor = rng.integers(1, 1 << 62, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    addend = rng.integers(0, 1 << 62, k, dtype=np.uint64)
+    odd_columns = [f"o{i}" for i in range(WORDS)]
+    schema = "id bigint, field string, key string, text_hash bigint, n int, class_a bigint, class_b bigint, bands array<int>, " + ", ".join(f"{c} bigint" for c in odd_columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -79,16 +98,11 @@ def sketches(rows: DataFrame, width: int, bands: int, band_rows: int, by_script:
             if not len(owner):
                 continue
             ids, begin = np.unique(owner, return_index=True)
-            least = np.empty((len(ids), k), np.uint64)
-            scratch = np.empty(len(elements), np.uint64)
-            for i in range(k):
-                np.multiply(elements, factor[i], out=scratch)
-                scratch += addend[i]
-                least[:, i] = np.minimum.reduceat(scratch, begin)
-            least >>= np.uint64(24)
+            least = _least(elements, begin, k).astype(np.uint64)
             place = tokens.mix(least + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             parity = np.zeros((len(ids), 64 * WORDS), np.uint8)
-            np.add.at(parity, (np.arange(len(ids))[:, None], (place % np.uint64(64 * WORDS)).astype(np.int64)), 1)
+            some = place[:, : min(k, SAMPLES)]
+            np.add.at(parity, (np.arange(len(ids))[:, None], (some % np.uint64(64 * WORDS)).astype(np.int64)), 1)
             odd = np.packbits(parity & 1, axis=1).view(np.int64)
             total = np.zeros((len(ids), bands), np.uint64)
             for j in range(band_rows):
@@ -99,8 +113,8 @@ def sketches(rows: DataFrame, width: int, bands: int, band_rows: int, by_script:
             yield pd.DataFrame({
                 "id": kept["id"].to_numpy(), "field": kept["field"].to_numpy(), "key": kept["key"].to_numpy(), "text_hash": kept["text_hash"].to_numpy(),
                 "n": np.diff(np.append(begin, len(elements))), "class_a": class_a.view(np.int64), "class_b": class_b.view(np.int64),
-                "bands": list((total >> np.uint64(32)).astype(np.uint32).view(np.int32)), "odd": list(odd),
-            })
+                "bands": list((total >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+            } | {c: odd[:, i] for i, c in enumerate(odd_columns)})
 
     return identified(rows).mapInPandas(run, schema)
 
@@ -112,9 +126,9 @@ def identified(rows: DataFrame) -> DataFrame:
 
 
 def _estimate(k: int) -> Column:
-    """Similarity from the odd sketches oa and ob of k samples each."""
+    """Similarity from the odd sketches a0, a1, ... and b0, b1, ... of k samples each."""
     n = 64 * WORDS
-    differ = sum((F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(WORDS)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(WORDS)), F.lit(0))
     apart = F.log(F.greatest(F.lit(1.0) - differ * (2.0 / n), F.lit(1e-3))) * (-n / 2.0)
     return F.lit(1.0) - apart / (2.0 * k)
 
@@ -131,21 +145,23 @@ def classes_and_links(rows: DataFrame, at_least: float = 0.8, width: int = 5, ba
     sketch's estimate may lie under at_least.
     """
     k = bands * band_rows
-    made = cut(sketches(rows, width, bands, band_rows, by_script))
+    made = keep(sketches(rows, width, bands, band_rows, by_script))
     chosen = cut(made.groupBy("id").agg(F.min(F.struct("text_hash", "class_a", "class_b", "field", "key")).alias("c")).select("id", "c.*"))
     reps = chosen.groupBy("field", "class_a", "class_b").agg(F.min_by(F.struct("id", "key", "text_hash"), "key").alias("r"))
     # small numbers for the classes: they make up half of the banded rows
     reps = cut(reps.select("field", "class_a", "class_b", F.col("r.key").alias("rep"), F.col("r.id").alias("id"), F.col("r.text_hash").alias("_h"), F.monotonically_increasing_id().alias("no")))
     members = chosen.select("field", "key", "class_a", "class_b").join(reps.select("field", "class_a", "class_b", "rep"), ["field", "class_a", "class_b"]).select("field", "key", "rep")
     asked = reps.select("id", "_h", "no")
-    own = made.select("id", "text_hash", "field", "n", "bands", "odd").join(asked, "id").where("text_hash = _h").dropDuplicates(["id"])
-    banded = own.select("no", "n", F.posexplode("bands").alias("place", "hash"), "field").select("no", "n", F.xxhash64("field", "place", "hash").alias("band"))
-    a, b = banded.select(F.col("no").alias("a"), F.col("n").alias("na"), "band"), banded.select(F.col("no").alias("b"), F.col("n").alias("nb"), "band")
+    odd = [f"o{i}" for i in range(WORDS)]
+    own = cut(made.select("id", "text_hash", "field", "n", "bands", *odd).join(asked, "id").where("text_hash = _h").dropDuplicates(["id"]))
+    banded = own.select("no", F.posexplode("bands").alias("place", "hash"), "field").select("no", F.xxhash64("field", "place", "hash").alias("band"))
+    # a band of one text pairs nothing; the others meet with their sketches, so that no pair travels before it is estimated
+    shared = banded.withColumn("texts", F.count("*").over(Window.partitionBy("band"))).where("texts > 1").select("no", "band")
+    met = shared.join(own.select("no", "n", *odd), "no")
+    side = lambda x: met.select("band", F.col("no").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{x}{i}") for i, c in enumerate(odd)])
     fits = (F.col("na") >= F.ceil(F.col("nb") * (at_least - 1e-9))) & (F.col("nb") >= F.ceil(F.col("na") * (at_least - 1e-9)))
-    pairs = a.join(b, "band").where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct()
-    odd = own.select("no", "odd")
-    near = pairs.join(odd.select(F.col("no").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("no").alias("b"), F.col("odd").alias("ob")), "b")
-    near = cut(near.where(_estimate(k) >= at_least - slack).select("a", "b"))
+    pairs = side("a").join(side("b"), "band").where(F.col("a") < F.col("b")).where(fits).where(_estimate(min(k, SAMPLES)) >= at_least - slack)
+    near = cut(pairs.select("a", "b").distinct())
     # what the sketches leave is compared by the texts themselves
     ends = near.select(F.explode(F.array("a", "b")).alias("no")).distinct().join(asked, "no")
     ends = F.broadcast(cut(ends)) if is_small(ends, 1_000_000) else ends
@@ -154,15 +170,20 @@ def classes_and_links(rows: DataFrame, at_least: float = 0.8, width: int = 5, ba
 
     @F.pandas_udf("double")
     def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
+        # a text that stands in several pairs is taken apart once
         n = len(x)
-        run, owner = _typed_sets([*x, *y], width, by_script)
-        size = np.bincount(owner, minlength=2 * n)
-        pair = owner % n if n else owner
+        place, texts = pd.factorize(np.array([*x, *y], dtype=object))
+        run, owner = _typed_sets(list(texts), width, by_script)
+        size = np.bincount(owner, minlength=len(texts))
+        begin = np.cumsum(size) - size
+        count = size[place]
+        at = np.repeat(begin[place], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        run, pair = run[at], np.repeat(np.arange(2 * n) % max(n, 1), count)
         order = np.lexsort((run, pair))
         run, pair = run[order], pair[order]
         same = (run[1:] == run[:-1]) & (pair[1:] == pair[:-1])
         common = np.bincount(pair[1:][same], minlength=n)
-        return pd.Series(common / np.maximum(size[:n] + size[n:] - common, 1))
+        return pd.Series(common / np.maximum(count[:n] + count[n:] - common, 1))
 
     both = both.withColumn("similarity", similarity("ta.text", "tb.text")).where(F.col("similarity") >= at_least)
     ka, kb = F.col("ta.key"), F.col("tb.key")

@@ -53,7 +53,7 @@ def edited_contents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     """Classes and links of contents that share half of their runs of three tokens."""
     info = table(spark, folder, "document_info").select(F.lit("info").alias("field"), F.col("doc_id").alias("key"), F.col("content").alias("text"))
     kids = child_texts(spark, folder).select(F.lit("child").alias("field"), F.col("id").alias("key"), "text")
-    return neardup.classes_and_links(info.unionByName(kids), at_least=0.5, width=3, bands=60, band_rows=3)
+    return neardup.classes_and_links(info.unionByName(kids), at_least=0.5, width=3, bands=100, band_rows=4)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
