@@ -41,8 +41,9 @@ _SHAPE = "^(?:#{1,6} |\\||<|[-*+•] |[0-9]+[.)、] )"
 CUT = ""
 _LETTERS = "0-9A-Za-z|!À-ÖØ-öø-ʯ̀-ԯԱ-᳿Ḁ-῿"
 _IDEO = "㐀-䶿一-鿿"
-#: Words, single ideographs and line breaks; the first group holds a word.
-TOKEN = re.compile(f"([{_LETTERS}]+)|[{_IDEO}]|\n+")
+#: Words, single ideographs and line breaks; a number between an ideograph and a name is a word of its own.
+_WORD = f"(?<=[{_IDEO}])[0-9]+(?=[A-Z])|[{_LETTERS}]+"
+TOKEN = re.compile(f"{_WORD}|[{_IDEO}]|\n")
 _DASHED = re.compile(f"[{_LETTERS}]+(?:-[{_LETTERS}]+)+")
 _SIGNS = "".join(dict.fromkeys("".join(ALIKE)))
 _HEADS = {c: g[0] for g in reversed(ALIKE) for c in g}
@@ -152,19 +153,37 @@ def _is_word(t: str) -> bool:
     return 2 <= len(t) <= 40 and not t.isdigit() and any("a" <= c <= "z" or "A" <= c <= "Z" for c in t)
 
 
-def _tokens(text: str) -> list[str]:
-    """Words, ideographs and breaks of a text; a number that an ideograph parts from the name behind it is no part of the name."""
-    found = TOKEN.findall(text) if text.isascii() else None
-    if found is not None:
-        return [t or "\n" for t in found]
-    out, last = [], ""
-    for m in TOKEN.finditer(text):
-        t = m[0]
-        if m[1] and last and last != "\n" and "㐀" <= last <= "鿿" and t[0].isdigit():
-            t = re.sub("^[0-9]+(?=[A-Z])", "", t)
-        out.append("\n" if t[0] == "\n" else t)
-        last = t
-    return out
+class _Words(dict):
+    """Numbers for the tokens of a batch, with what is known of each."""
+
+    def __init__(self):
+        super().__init__()
+        self.names: list[str] = []
+        self.skeletons: list[str | None] = []
+
+    def __missing__(self, t: str) -> int:
+        self[t] = n = len(self.names)
+        self.names.append(t)
+        self.skeletons.append(skeleton(t) if _is_word(t) else None)
+        return n
+
+    def add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all tokens, number of the text of each); a break stands between texts."""
+        found = [[self[t] for t in TOKEN.findall(x + "\n")] for x in texts]
+        n = [len(x) for x in found]
+        return np.array([t for x in found for t in x], np.int64), np.repeat(np.arange(len(found)), n)
+
+    def is_word(self) -> np.ndarray:
+        return np.array([s is not None for s in self.skeletons], bool)
+
+    def hashes(self, before: str = "") -> np.ndarray:
+        """Hashes of the tokens or, with a mark of the side, of what they are as neighbours: skeletons, as they may be misread themselves, and numbers as #."""
+        if not before:
+            return np.array([filters.hash_of(t) for t in self.names], np.uint64)
+        return np.array([filters.hash_of(before + by) for by in self.neighbours()], np.uint64)
+
+    def neighbours(self) -> list[str]:
+        return ["#" if t.isdigit() else t if s is None else s for t, s in zip(self.names, self.skeletons)]
 
 
 def _may_read(word: str, right: str) -> bool:
@@ -181,6 +200,22 @@ def _spots(text: str) -> list[str]:
     return _SPOT.findall("^" + re.sub("[0-9]+", "#", text).replace("\n\n", "$\n\n^") + "$")
 
 
+def _rivals(words: _Words, text: np.ndarray, word: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(text, word, right word): forms of one skeleton in one text of which the right one stands there more often; text, word and n say how often each text holds each word."""
+    order_of = {s: i for i, s in enumerate(dict.fromkeys(s for s in words.skeletons if s is not None))}
+    of = np.array([order_of.get(s, -1) for s in words.skeletons], np.int64)
+    key = text * (len(order_of) + 1) + of[word]
+    order = np.argsort(key, kind="stable")
+    key, text, word, n = key[order], text[order], word[order], n[order]
+    first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.empty(0, np.int64)
+    last = np.append(first[1:], len(key))
+    for a, b in zip(first[last - first > 1], last[last - first > 1]):
+        for i in range(a, b):
+            for j in range(a, b):
+                if n[j] > n[i] and _may_read(words.names[word[i]], words.names[word[j]]):
+                    yield int(text[i]), int(word[i]), int(word[j])
+
+
 _COUNTS = "kind string, word string, skeleton string, right_word string, n bigint, m bigint"
 
 
@@ -194,28 +229,19 @@ def counted(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            known: dict[str, str | None] = {}
-            n, df, dashed, spots, pairs = Counter(), Counter(), Counter(), Counter(), Counter()
-            for text in p["text"]:
-                text = text.replace(CUT, "")
-                own = Counter(_tokens(text))
-                groups: dict[str, list[str]] = {}
-                for t in own:
-                    s = known.get(t, "")
-                    if s == "":
-                        s = known[t] = skeleton(t) if _is_word(t) else None
-                    if s is not None:
-                        groups.setdefault(s, []).append(t)
-                for s, ws in groups.items():
-                    for w in ws:
-                        n[w] += own[w]
-                        df[w] += 1
-                    if len(ws) > 1:
-                        pairs.update((w, r) for w in ws for r in ws if own[r] > own[w] and _may_read(w, r))
-                dashed.update(d.lower() for d in _DASHED.findall(text)) if "-" in text else None
-                spots.update(_spots(text))
-            rows = [("w", w, known[w], None, k, df[w]) for w, k in n.items()] + [("h", w, None, None, k, 0) for w, k in dashed.items()]
-            rows += [("s", w, None, None, k, 0) for w, k in spots.items()] + [("g", w, None, r, k, 0) for (w, r), k in pairs.items()]
+            plain = [t.replace(CUT, "") for t in p["text"]]
+            words = _Words()
+            token, text = words.add(plain)
+            keep_it = words.is_word()[token]
+            size = max(len(words.names), 1)
+            held, n = np.unique(text[keep_it] * size + token[keep_it], return_counts=True)
+            word = held % size
+            total, df = np.bincount(word, weights=n, minlength=size).astype(np.int64), np.bincount(word, minlength=size)
+            rows = [("w", words.names[i], words.skeletons[i], None, int(total[i]), int(df[i])) for i in np.nonzero(df)[0].tolist()]
+            pairs = Counter((words.names[w], words.names[r]) for _, w, r in _rivals(words, held // size, word, n))
+            dashed = Counter(d.lower() for t in plain if "-" in t for d in _DASHED.findall(t))
+            spots = Counter(s for t in plain for s in _spots(t))
+            rows += [("h", w, None, None, k, 0) for w, k in dashed.items()] + [("s", w, None, None, k, 0) for w, k in spots.items()] + [("g", w, None, r, k, 0) for (w, r), k in pairs.items()]
             yield pd.DataFrame(rows, columns=["kind", "word", "skeleton", "right_word", "n", "m"])
 
     made = texts.select("text").mapInPandas(run, _COUNTS)
@@ -235,12 +261,6 @@ def _hashes(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(*columns).mapInPandas(run, "h bigint")
 
 
-def _sides(found: list[str]) -> list[tuple[str, str, str]]:
-    """(word, side, neighbour) of a text's words: neighbours by their skeletons, as they may be misread themselves, numbers as #; breaks are none."""
-    by = ["#" if t.isdigit() else skeleton(t) if _is_word(t) else t for t in found]
-    return [(t, "<" + by[i - 1] if i else "\n", ">" + by[i + 1] if i + 1 < len(by) else "\n") for i, t in enumerate(found)]
-
-
 def misread(texts: DataFrame, counts: DataFrame, ratio: int = 8) -> tuple[DataFrame, DataFrame]:
     """(words, signs): (doc_id, word, right_word) and (doc_id, spot, right_spot) of texts (doc_id, text) that are a scanner's reading of others.
 
@@ -268,32 +288,29 @@ def misread(texts: DataFrame, counts: DataFrame, ratio: int = 8) -> tuple[DataFr
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            holds: dict[str, bool] = {}
-
-            def test(words: set[str]) -> None:
-                new = [w for w in words if w not in holds]
-                hit = set(filters.may_hold(kept.value, mix(np.array([filters.hash_of(w) for w in new], np.uint64))).tolist()) if new else ()
-                holds.update((w, i in hit) for i, w in enumerate(new))
-
+            plain = [t.replace(CUT, "") for t in p["text"]]
+            words = _Words()
+            token, text = words.add(plain)
+            doubted = np.zeros(len(words.names), bool)
+            doubted[filters.may_hold(kept.value, mix(words.hashes()))] = True
+            doubted &= words.is_word()
+            size = max(len(words.names), 1)
             rows = []
-            for key, text in zip(p["doc_id"], p["text"]):
-                text = text.replace(CUT, "")
-                found = _tokens(text)
-                own = Counter(found)
-                test({t for t in own if _is_word(t)})
-                asked = {t for t in own if holds.get(t)}
-                if asked:
-                    sides = Counter((t, s) for t, a, b in _sides(found) if t in asked for s in (a, b))
-                    groups: dict[str, list[str]] = {}
-                    for t in own:
-                        if _is_word(t):
-                            groups.setdefault(skeleton(t), []).append(t)
-                    for t in asked:
-                        better = [r for r in groups[skeleton(t)] if own[r] > own[t] and _may_read(t, r)]
-                        rows.append((key, "w", t, [s for (w, s) in sides if w == t and s[-1] != "\n"], better))
-                spots = set(_spots(text))
-                test(spots)
-                rows += [(key, "s", s, [], []) for s in spots if holds[s]]
+            held, n = np.unique(text[words.is_word()[token]] * size + token[words.is_word()[token]], return_counts=True)
+            better: dict[tuple[int, int], list[str]] = {}
+            some = np.isin(held // size, text[doubted[token]])
+            for t, w, r in _rivals(words, held[some] // size, held[some] % size, n[some]):
+                better.setdefault((t, w), []).append(words.names[r])
+            by, keys = words.neighbours(), p["doc_id"].tolist()
+            sides: dict[tuple[int, int], set[str]] = {}
+            at = np.nonzero(doubted[token])[0]
+            ends = (np.maximum(at - 1, 0), np.minimum(at + 1, max(len(token) - 1, 0)))
+            for t, w, a, b in zip(text[at].tolist(), token[at].tolist(), token[ends[0]].tolist(), token[ends[1]].tolist()):
+                sides.setdefault((t, w), set()).update(x for x in ("<" + by[a], ">" + by[b]) if x[1] != "\n")
+            rows = [(keys[t], "w", words.names[w], sorted(s), better.get((t, w), [])) for (t, w), s in sides.items()]
+            spots = [(t, s) for t, x in enumerate(plain) for s in set(_spots(x))]
+            hit = filters.may_hold(kept.value, mix(np.array([filters.hash_of(s) for _, s in spots], np.uint64))).tolist() if spots else []
+            rows += [(keys[spots[i][0]], "s", spots[i][1], [], []) for i in hit]
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "word", "sides", "better"])
 
     found = keep(texts.select("doc_id", "text").mapInPandas(look, f"doc_id {kind}, kind string, word string, sides array<string>, better array<string>"))
@@ -318,27 +335,20 @@ def _beside(texts: DataFrame, asked: DataFrame) -> DataFrame:
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            number: dict[str, int] = {}
-            hashes: list[int] = []
-            pairs = []
-            for text in p["text"]:
-                for t, a, b in _sides(_tokens(text.replace(CUT, ""))):
-                    if not _is_word(t):
-                        continue
-                    for x in (t, a, b):
-                        if x not in number:
-                            number[x] = len(hashes)
-                            hashes.append(filters.hash_of(x))
-                    pairs += ((number[t], number[a]), (number[t], number[b]))
-            if not pairs:
+            words = _Words()
+            token, _ = words.add([t.replace(CUT, "") for t in p["text"]])
+            if len(token) < 2:
                 continue
-            at, h = np.array(pairs), np.array(hashes, np.uint64)
-            at = at[filters.may_hold(kept.value, mix(mix(h[at[:, 0]]) + h[at[:, 1]]))]
-            at, n = np.unique(at, axis=0, return_counts=True)
-            names = np.array(list(number), dtype=object)
-            yield pd.DataFrame({"word": names[at[:, 0]], "side": names[at[:, 1]], "n": n})
-
-    got = texts.select("text").mapInPandas(look, "word string, side string, n bigint")
+            own, is_word = mix(words.hashes()), words.is_word()
+            names = np.array(words.names, dtype=object)
+            by = np.array(words.neighbours(), dtype=object)
+            for mark, form, near in (("<", token[1:], token[:-1]), (">", token[:-1], token[1:])):
+                form, near = form[is_word[form]], near[is_word[form]]
+                left = filters.may_hold(kept.value, mix(own[form] + words.hashes(mark)[near]))
+                pair, n = np.unique(form[left] * len(names) + near[left], return_counts=True)
+                yield pd.DataFrame({"word": names[pair // len(names)], "side": mark + by[pair % len(names)], "n": n})
+
+    got = texts.select("text").mapInPandas(look, "word string, side string, n bigint").where("side not in ('<\n', '>\n')")
     return cut(got.join(asked, ["word", "side"], "left_semi").groupBy("word", "side").agg(F.sum("n").alias("n")))
 
 
@@ -396,12 +406,7 @@ def _mended(text: str, fixes: dict[str, str], spots: list[tuple[str, str]], keep
     if CUT in text:
         text = re.sub(f"([^\\W\\d_]+){CUT}([^\\W\\d_]+)", lambda m: m[1] + ("-" if f"{m[1]}-{m[2]}".lower() in keeps else "") + m[2], text).replace(CUT, "")
     if fixes:
-
-        def word(m: re.Match) -> str:
-            bare = m[0].lstrip("0123456789")
-            return fixes.get(m[0]) or (m[0][: -len(bare)] + fixes[bare] if bare in fixes else m[0])
-
-        text = re.sub(f"[{_LETTERS}]+", word, text)
+        text = re.sub(_WORD, lambda m: fixes.get(m[0], m[0]), text)
     for spot, right in spots:
         # a spot's edges are contexts: # any number, ^ and $ a paragraph's begin and end
         left = {"#": "(?<=[0-9])", "^": "(?:(?<=\n\n)|(?<![\\s\\S]))"}.get(spot[0], f"(?<={re.escape(spot[0])})")
