@@ -66,8 +66,13 @@ def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return h.view(np.int64), doc[start], sentence[start], start, length, codes
 
 
-def vocabulary(rows: DataFrame, least: int, most: float, max_terms: int) -> pd.DataFrame:
-    """(h, term, df), most frequent first: the terms of rows (text) that at least `least` texts hold, at most the part `most` of all, and of those the max_terms most frequent (the size of the model). df counts all texts."""
+def vocabulary(rows: DataFrame, least: int, rare: float, most: float) -> pd.DataFrame:
+    """(h, term, df), most frequent first: the terms of rows (text) that at least `least` texts hold and the part `rare` of all, and at most the part `most`. df counts all texts.
+
+    What a model of topics can say of a term rests on the texts that hold it;
+    the part, the same at every size, bounds the model: with d different terms
+    in the mean text there are d / rare terms at most.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -88,8 +93,8 @@ def vocabulary(rows: DataFrame, least: int, most: float, max_terms: int) -> pd.D
 
     counted = cut(rows.mapInPandas(count, "h bigint, term string, df bigint").groupBy("h").agg(F.min("term").alias("term"), F.sum("df").alias("df")).where(F.col("df") >= least))
     n = counted.where("term = ''").agg(F.sum("df")).first()[0] or 0
-    kept = counted.where((F.col("term") != "") & (F.col("df") <= max(least, most * n)))
-    return kept.orderBy(F.desc("df"), "term").limit(max_terms).toPandas()
+    kept = counted.where((F.col("term") != "") & (F.col("df") >= rare * n) & (F.col("df") <= max(least, most * n)))
+    return kept.orderBy(F.desc("df"), "term").toPandas()
 
 
 def encode(rows: DataFrame, vocab: pd.DataFrame) -> DataFrame:
@@ -155,17 +160,23 @@ def _infer(p: pd.DataFrame, log_beta: np.ndarray, alpha: float, steps: int = 6)
     return terms, np.repeat(np.arange(len(sizes)), sizes), owner, q
 
 
-def _summed(parts: DataFrame, k: int, v: int) -> np.ndarray:
-    """The sum of parts (row int, sums array<double>) as a matrix of k rows of v; added up in two rounds, so that no task holds more than the square root of the parts."""
+#: Parts of a sum that one task adds up.
+FAN_IN = 32
+
+
+def _summed(parts: DataFrame, tasks: int, k: int, v: int) -> np.ndarray:
+    """The sum of parts (row int, sums array<double>), one for each row and task, as a matrix of k rows of v; added up in as many rounds as it takes for no task to hold more than FAN_IN parts of a row."""
 
     def add(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"row": [key[0]], "sums": [np.sum(np.stack(p["sums"].to_numpy()), axis=0)]})
+        return pd.DataFrame({"row": [key[0]], "slot": [key[1]], "sums": [np.sum(np.stack(p["sums"].to_numpy()), axis=0)]})
 
-    some = parts.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(16)))
-    halves = some.groupBy("row", "slot").applyInPandas(add, "row int, sums array<double>")
+    left = parts.withColumn("slot", F.spark_partition_id())
+    while tasks > 1:
+        left = left.withColumn("slot", F.floor(F.col("slot") / FAN_IN).cast("int")).groupBy("row", "slot").applyInPandas(add, "row int, slot int, sums array<double>")
+        tasks = -(-tasks // FAN_IN)
     out = np.zeros((k, v))
-    for r in halves.groupBy("row").applyInPandas(add, "row int, sums array<double>").toLocalIterator():
-        out[r["row"]] = r["sums"]
+    for r in left.toLocalIterator():
+        out[r["row"]] += r["sums"]
     return out
 
 
@@ -193,7 +204,9 @@ def fit(coded: DataFrame, labels: DataFrame, vocab: pd.DataFrame, areas: list[st
                 sums[row] += np.bincount(terms, minlength=v)
         yield pd.DataFrame({"row": np.arange(len(areas)), "sums": list(sums)})
 
-    seen = _summed(coded.select("doc_id", "terms").join(marked, "doc_id").select("row", "terms").mapInPandas(label_counts, "row int, sums array<double>"), len(areas), v) if areas else np.zeros((0, v))
+    tasks = coded._jdf.rdd().getNumPartitions()
+    shuffled = max(tasks, int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    seen = _summed(coded.select("doc_id", "terms").join(marked, "doc_id").select("row", "terms").mapInPandas(label_counts, "row int, sums array<double>"), shuffled, len(areas), v) if areas else np.zeros((0, v))
     rng = np.random.default_rng(seed)
     df = vocab["df"].to_numpy(float)
     common = df / df.sum()
@@ -223,7 +236,7 @@ def fit(coded: DataFrame, labels: DataFrame, vocab: pd.DataFrame, areas: list[st
                     sums[i] += np.bincount(terms[some], weights=part[sentence[some]], minlength=v)
             yield pd.DataFrame({"row": np.arange(k), "sums": list(sums)})
 
-        lam = eta + _summed(coded.select("terms", "sizes").mapInPandas(learn, "row int, sums array<double>"), k, v)
+        lam = eta + _summed(coded.select("terms", "sizes").mapInPandas(learn, "row int, sums array<double>"), tasks, k, v)
     beta = lam / lam.sum(1, keepdims=True)
     base = lam.sum(0) / lam.sum()
     weight = beta * np.log(beta / base)
@@ -259,7 +272,7 @@ def shares(coded: DataFrame, model: Model, alpha: float = 0.1) -> DataFrame:
     return coded.mapInPandas(run, schema)
 
 
-def area_shares(documents: DataFrame, areas: DataFrame, labels: DataFrame, least: int = 4, most: float = 0.3, max_terms: int = 30_000, **model) -> DataFrame:
+def area_shares(documents: DataFrame, areas: DataFrame, labels: DataFrame, least: int = 4, rare: float = 2e-5, most: float = 0.3, **model) -> DataFrame:
     """(doc_id, area, share) of documents (doc_id, text): the part of each document's sentences in each of areas (area), learned with labels (doc_id, area).
 
     Null and empty texts have no row; nor have texts without a known term.
@@ -268,7 +281,7 @@ def area_shares(documents: DataFrame, areas: DataFrame, labels: DataFrame, least
     """
     names = sorted(r["area"] for r in areas.where("area is not null").select("area").distinct().toLocalIterator())
     rows = documents.select("doc_id", "text").where("doc_id is not null and text <> ''")
-    vocab = vocabulary(rows.select("text"), least, most, max_terms)
+    vocab = vocabulary(rows.select("text"), least, rare, most)
     coded = cut(encode(rows, vocab))
     if not names or not len(vocab):
         return documents.sparkSession.createDataFrame([], f"doc_id {dict(documents.dtypes)['doc_id']}, area string, share double")
