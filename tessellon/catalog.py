@@ -461,14 +461,8 @@ def _contents(spark, folder) -> DataFrame:
     return rows.select(F.element_at("metadata", "dataset_id").alias("folder"), F.col("doc_id").alias("filename"), "content").dropDuplicates(["folder", "filename"])
 
 
-@query("WITH f AS (SELECT DISTINCT metadata['dataset_id'] AS folder, doc_id AS k, left(content, 5000) AS t FROM document_info WHERE length(content) > 50 AND metadata['dataset_id'] IS NOT NULL), g AS (SELECT folder, k, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS s FROM f), j AS (SELECT a.folder, a.k AS a, b.k AS b, len(list_intersect(a.s, b.s)) AS c, len(a.s) + len(b.s) AS n FROM g a JOIN g b ON a.folder = b.folder AND a.k < b.k AND len(a.s) >= 0.7 * len(b.s) AND len(b.s) >= 0.7 * len(a.s)) SELECT folder, a, b, round(c / (n - c), 6) AS similarity FROM j WHERE c / (n - c) >= 0.7")
+@query("WITH f AS (SELECT DISTINCT metadata['dataset_id'] AS folder, doc_id AS k, content AS t FROM document_info WHERE length(content) > 50 AND metadata['dataset_id'] IS NOT NULL), g AS (SELECT folder, k, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS s FROM f), j AS (SELECT a.folder, a.k AS a, b.k AS b, len(list_intersect(a.s, b.s)) AS c, len(a.s) + len(b.s) AS n FROM g a JOIN g b ON a.folder = b.folder AND a.k < b.k AND len(a.s) >= 0.7 * len(b.s) AND len(b.s) >= 0.7 * len(a.s)) SELECT folder, a, b, round(c / (n - c), 6) AS similarity FROM j WHERE c / (n - c) >= 0.7")
 def trigram_jaccard_pairs(spark, folder):
-    """Contents of one dataset that share most of the three-character runs of their first 5,000 characters, as the SQL says."""
-    return versions.similar_contents(_contents(spark, folder), first=5000)
-
-
-@query()
-def trigram_jaccard_pairs_whole(spark, folder):
     """Contents of one dataset that share most of their three-character runs, over the whole texts."""
     return versions.similar_contents(_contents(spark, folder))
 
@@ -488,18 +482,11 @@ def alias_pairs_cosine(spark, folder):
 # --- entities ---------------------------------------------------------------
 
 
-@query("WITH t AS (SELECT DISTINCT term, standard FROM (SELECT lower(alias) AS term, standard FROM terms_seed UNION ALL SELECT lower(standard), standard FROM terms_seed) WHERE length(term) >= 2), d AS (SELECT DISTINCT doc_id, lower(content) AS c FROM document_info WHERE length(content) >= 2) SELECT doc_id, standard, sum(n)::BIGINT AS n FROM (SELECT doc_id, standard, len(list_filter(range(1, length(c) + 1), lambda i: substr(c, i, length(term)) = term)) AS n FROM d JOIN t ON contains(c, term)) GROUP BY ALL HAVING sum(n) > 0")
+@query("WITH t AS (SELECT DISTINCT term, standard FROM (SELECT lower(alias) AS term, standard FROM terms_seed UNION ALL SELECT lower(standard), standard FROM terms_seed) WHERE term <> ''), d AS (SELECT DISTINCT doc_id, lower(content) AS c FROM document_info WHERE content <> '') SELECT doc_id, standard, sum(n)::BIGINT AS n FROM (SELECT doc_id, standard, len(list_filter(range(1, length(c) + 1), lambda i: substr(c, i, length(term)) = term)) AS n FROM d JOIN t ON contains(c, term)) GROUP BY ALL HAVING sum(n) > 0")
 def dictionary_entities(spark, folder):
-    """Mentions of the dictionary's terms of two characters and more in all contents, as the SQL says."""
-    rows = table(spark, folder, "document_info").select("doc_id", "content").distinct()
-    return entities.dictionary_hits(rows, table(spark, folder, "terms_seed"), "doc_id")
-
-
-@query()
-def dictionary_entities_whole(spark, folder):
     """Mentions of all the dictionary's terms, those of one character too, in all contents."""
     rows = table(spark, folder, "document_info").select("doc_id", "content").distinct()
-    return entities.dictionary_hits(rows, table(spark, folder, "terms_seed"), "doc_id", shortest=1)
+    return entities.dictionary_hits(rows, table(spark, folder, "terms_seed"), "doc_id")
 
 
 @query()

@@ -68,6 +68,7 @@ TABLE_TYPES = {
     "对比表": ["对比", "比较", "规格对比", "型号对比"],
     "指标表": ["指标", "性能指标", "技术指标", "试验指标"],
 }
+# Formats by suffix, and abbreviations that are no names of models.
 FORMATS = {".pdf": "pdf", ".doc": "doc", ".docx": "docx", ".ppt": "ppt", ".pptx": "pptx", ".xls": "xls", ".xlsx": "xlsx", ".csv": "csv", ".md": "md"}
 ABBREVIATIONS = ["API", "CPU", "GPU", "DNA", "RNA", "CEO", "CTO", "COO", "PDF", "MD"]
 

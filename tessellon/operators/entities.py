@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,25 +30,66 @@ def domain_type(c, words: dict[str, list[str]] | None = None):
     return out
 
 
-def dictionary_hits(texts: DataFrame, terms: DataFrame, key: str = "chunk_id", text: str = "content", shortest: int = 2) -> DataFrame:
-    """(key, standard, n): how often each standard's aliases, and the standard itself, occur in each text; case aside, overlapping occurrences count.
+#: Terms that a dictionary held by every task may have; larger ones are joined.
+MOST_TERMS = 1_000_000
+
+
+def dictionary_hits(texts: DataFrame, terms: DataFrame, key: str = "chunk_id", text: str = "content", most: int = MOST_TERMS) -> DataFrame:
+    """(key, standard, n): how often each standard's aliases, and the standard itself, occur in each text; case aside, overlapping occurrences count, terms of one character too.
 
-    terms: (alias, standard); those of fewer than `shortest` characters are left out. Terms are grouped by their first two characters
-    and joined with the positions of texts that begin alike, so the cost is
-    that of the text, not of text times dictionary. Terms of one character
-    are joined with single characters.
+    terms: (alias, standard). Spots are found by their first two characters,
+    so the cost is that of the text, not of text times dictionary. A
+    dictionary of up to `most` terms goes to the tasks; a larger one is joined
+    with the spots, with the same result.
     """
     both = terms.select(F.lower("alias").alias("term"), "standard").union(terms.select(F.lower("standard"), "standard")).where("term <> ''").distinct()
-    two = both.where(F.length("term") >= max(shortest, 2)).select(F.substring("term", 1, 2).alias("head"), "term", "standard")
+    low = texts.select(key, F.lower(F.col(text)).alias("t")).where("t <> ''")
+    found = _spotted(low, both, key) if is_small(both, most) else _joined_spots(low, both, key)
+    return found.groupBy(key, "standard").agg(F.sum("n").alias("n"))
+
+
+def _spotted(low: DataFrame, both: DataFrame, key: str) -> DataFrame:
+    """(key, standard, n) with the dictionary in every task."""
+    by_head: dict[int, list[tuple[str, str]]] = {}
+    singles: dict[str, list[str]] = {}
+    for term, standard in both.toPandas().itertuples(index=False):
+        if len(term) == 1:
+            singles.setdefault(term, []).append(standard)
+        else:
+            by_head.setdefault(ord(term[0]) << 21 | ord(term[1]), []).append((term, standard))
+    heads = np.array(sorted(by_head), np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            rows = []
+            for k, t in zip(p[key], p["t"]):
+                codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                pairs = codes[:-1] << 21 | codes[1:]
+                n: Counter = Counter()
+                if len(heads):
+                    near = np.minimum(np.searchsorted(heads, pairs), len(heads) - 1)
+                    for i in np.nonzero(heads[near] == pairs)[0].tolist():
+                        n.update(standard for term, standard in by_head[int(pairs[i])] if t.startswith(term, i))
+                for c, standards in singles.items():
+                    if m := t.count(c):
+                        n.update({s: m for s in standards})
+                rows += [(k, s, m) for s, m in n.items()]
+            yield pd.DataFrame(rows, columns=[key, "standard", "n"])
+
+    return low.mapInPandas(run, f"{key} {dict(low.dtypes)[key]}, standard string, n bigint")
+
+
+def _joined_spots(low: DataFrame, both: DataFrame, key: str) -> DataFrame:
+    """(key, standard, n) by a join of the texts' spots with a dictionary of any size."""
+    two = both.where("length(term) >= 2").select(F.substring("term", 1, 2).alias("head"), "term", "standard")
     heads = two.groupBy("head").agg(F.max(F.length("term")).alias("longest"))
-    low = texts.select(key, X.characters(F.lower(F.col(text))).alias("t"))
-    pairs = F.zip_with("t", F.slice("t", 2, 1_000_000_000), lambda a, b: F.concat(a, b))
-    spots = low.where("size(t) >= 2").select(key, "t", F.posexplode(pairs).alias("i", "head")).where("head is not null").join(F.broadcast(heads) if is_small(heads, 100_000) else heads, "head")
-    found = spots.select(key, "head", F.array_join(F.slice("t", F.col("i") + 1, F.col("longest")), "").alias("rest")).join(two, "head").where(F.col("rest").startswith(F.col("term")))
-    found = found.select(key, "standard")
-    if shortest < 2:
-        found = found.unionByName(low.select(key, F.explode("t").alias("term")).join(both.where("length(term) = 1"), "term").select(key, "standard"))
-    return found.groupBy(key, "standard").agg(F.count("*").alias("n"))
+    longest = two.agg(F.max(F.length("term")).alias("most"))
+    signs = low.crossJoin(F.broadcast(longest)).select(key, "most", X.characters("t").alias("t"))
+    # a spot takes with it what the longest term can cover, not the text
+    spots = signs.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.array_join(F.slice("t", i, F.coalesce("most", F.lit(1))), ""))).alias("rest"))
+    found = spots.withColumn("head", F.substring("rest", 1, 2)).join(heads, "head").join(two, "head").where(F.col("rest").startswith(F.col("term"))).select(key, "standard")
+    single = spots.select(key, F.substring("rest", 1, 1).alias("term")).join(both.where("length(term) = 1"), "term").select(key, "standard")
+    return found.unionByName(single).withColumn("n", F.lit(1))
 
 
 def pattern_hits(texts: DataFrame, key: str = "chunk_id", text: str = "content", projects: tuple[str, ...] = PROJECTS) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellon.functions import text as X
 from tessellon.plans.lineage import cut
 
+# Fixed value: types of pages that the graph does not show.
 HIDDEN = ["query"]
 
 
@@ -78,83 +76,58 @@ def propagate(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return label
 
 
-def _louvain(nodes: list, edges: list[tuple]) -> dict:
-    """Communities of greatest modularity by Louvain's moves, nodes in order."""
-    member = {n: n for n in nodes}
-    adj: dict = defaultdict(lambda: defaultdict(float))
-    for a, b, w in edges:
-        adj[a][b] += w
-        adj[b][a] += w
-    total = sum(w for _, _, w in edges)
-    if not total:
-        return member
-    level_nodes, level_adj = list(nodes), adj
-    loops: dict = defaultdict(float)
-    while True:
-        home = {n: n for n in level_nodes}
-        deg = {n: sum(level_adj[n].values()) + 2 * loops[n] for n in level_nodes}
-        sums = dict(deg)
-        moved_any = False
-        for _ in range(50):
-            moved = False
-            for n in level_nodes:
-                own = home[n]
-                sums[own] -= deg[n]
-                link: dict = defaultdict(float)
-                for m, w in level_adj[n].items():
-                    link[home[m]] += w
-                best, gain = own, link[own] - sums[own] * deg[n] / (2 * total)
-                for c in sorted(link):
-                    g = link[c] - sums[c] * deg[n] / (2 * total)
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                sums[best] += deg[n]
-                if best != own:
-                    home[n], moved, moved_any = best, True, True
-            if not moved:
-                break
-        if not moved_any:
-            return member
-        member = {n: home[c] for n, c in member.items()}
-        nxt: dict = defaultdict(lambda: defaultdict(float))
-        new_loops: dict = defaultdict(float)
-        for n in level_nodes:
-            new_loops[home[n]] += loops[n]
-            for m, w in level_adj[n].items():
-                if home[n] == home[m]:
-                    new_loops[home[n]] += w / 2
-                else:
-                    nxt[home[n]][home[m]] += w
-        level_nodes, level_adj, loops = sorted(set(home.values())), nxt, new_loops
-
-
-def louvain(nodes: DataFrame, edges: DataFrame, max_edges: int = 200_000) -> DataFrame:
-    """(id, community): Louvain communities inside each connected component (modularity never joins components).
-
-    A component of up to max_edges edges is one task; larger ones are given to
-    label propagation, so no task holds an unbounded group.
+def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 12, rounds: int = 16) -> DataFrame:
+    """(id, community): communities of great modularity by Louvain's moves and contractions, distributed and the same for graphs of any size.
+
+    In a round each node of one half, drawn by hash, moves to the neighbouring
+    community of greatest gain, ties going to the smaller name; the halves
+    alternate, or neighbours would swap for ever. When both halves rest, the
+    communities become the nodes of the next level. A community is named by
+    one of its nodes; nodes without an edge are communities of their own.
     """
-    roots = components(edges.select(F.col("source").alias("a"), F.col("target").alias("b")))
-    placed = edges.join(roots.withColumnRenamed("id", "source"), "source")
-    sized = placed.groupBy("root").agg(F.count("*").alias("n"))
-    small = placed.join(sized.where(F.col("n") <= max_edges), "root").select("root", "source", "target", "weight")
+    plain = edges.where("source <> target").select("source", "target", F.col("weight").cast("double").alias("w"))
+    arcs = cut(plain.select(F.col("source").alias("u"), F.col("target").alias("v"), "w").union(plain.select("target", "source", "w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
+    total = arcs.agg(F.sum("w")).first()[0] or 0.0
+    member = cut(nodes.select("id").distinct().withColumn("community", F.col("id")))
+    for level in range(levels if total else 0):
+        state = cut(arcs.groupBy("u").agg(F.sum("w").alias("degree")).withColumn("c", F.col("u")))
+        between = arcs.where("u <> v")
+        rested = moves = 0
+        for i in range(rounds):
+            sums = state.groupBy("c").agg(F.sum("degree").alias("all"))
+            links = between.join(state.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("link"))
+            # its own community always stands for choice, also without a link to it
+            offered = links.unionByName(state.select("u", "c", F.lit(0.0).alias("link"))).groupBy("u", "c").agg(F.sum("link").alias("link")).join(sums, "c").join(state.withColumnRenamed("c", "own"), "u")
+            others = F.col("all") - F.when(F.col("c") == F.col("own"), F.col("degree")).otherwise(0.0)
+            gain = F.round(F.col("link") - others * F.col("degree") / total, 9)
+            best = offered.withColumn("gain", gain).groupBy("u", "own", "degree").agg(F.max("gain").alias("most"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stays"), F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("b"))
+            turn = F.pmod(F.xxhash64("u", F.lit(level)), F.lit(2)) == i % 2
+            moved = turn & (F.col("most") > F.col("stays"))
+            state = cut(best.select("u", "degree", F.when(moved, F.col("b.c")).otherwise(F.col("own")).alias("c"), moved.alias("moved")))
+            n = state.where("moved").count()
+            state = state.drop("moved")
+            moves, rested = moves + n, 0 if n else rested + 1
+            if rested == 2:
+                break
+        if not moves:
+            break
+        home = state.select("u", "c")
+        member = cut(member.join(home.select(F.col("u").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community")))
+        arcs = cut(arcs.join(home.select("u", F.col("c").alias("cu")), "u").join(home.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
+    return member
 
-    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(set(p["source"]) | set(p["target"]))
-        got = _louvain(ids, sorted(zip(p["source"], p["target"], p["weight"])))
-        return pd.DataFrame({"id": list(got), "community": list(got.values())})
 
-    kind = dict(edges.dtypes)["source"]
-    done = small.groupBy("root").applyInPandas(run, f"id {kind}, community {kind}")
-    big = placed.join(sized.where(F.col("n") > max_edges), "root").select("source", "target", "weight")
-    if not big.isEmpty():
-        done = done.unionByName(propagate(big))
-    alone = nodes.select("id").distinct().join(done.select("id"), "id", "left_anti").withColumn("community", F.col("id"))
-    return done.unionByName(alone)
+def modularity(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(modularity): of communities (id, community) over undirected edges (source, target, weight)."""
+    one = edges.where("source <> target").join(members.select(F.col("id").alias("source"), F.col("community").alias("cs")), "source").join(members.select(F.col("id").alias("target"), F.col("community").alias("ct")), "target")
+    ends = one.select(F.explode(F.array("cs", "ct")).alias("c"), "weight").groupBy("c").agg(F.sum("weight").alias("d"))
+    inside = one.agg(F.sum("weight").alias("m"), F.sum(F.when(F.col("cs") == F.col("ct"), F.col("weight")).otherwise(0.0)).alias("inner"))
+    # no edge has no modularity; both sides are one row
+    return ends.agg(F.sum(F.col("d") * F.col("d")).alias("dd")).crossJoin(inside).select(F.round(F.col("inner") / F.col("m") - F.col("dd") / (4.0 * F.col("m") * F.col("m")), 6).alias("modularity"))
 
 
 def community_stats(members: DataFrame, edges: DataFrame, labels: DataFrame, degree: DataFrame) -> DataFrame:
-    """(community, number, n_nodes, cohesion, top_nodes): communities of members (id, community) by size; cohesion is the part of possible inner edges that exist, 0 for one node; the five labels (id, label) of highest degree (id, link_count)."""
+    """(community, n_nodes, cohesion, top_nodes): communities of members (id, community) by size; cohesion is the part of possible inner edges that exist, 0 for one node; the five labels (id, label) of highest degree (id, link_count)."""
     size = members.groupBy("community").agg(F.count("*").alias("n_nodes"))
     s, t = members.select(F.col("id").alias("source"), F.col("community").alias("cs")), members.select(F.col("id").alias("target"), F.col("community").alias("ct"))
     inner = edges.join(s, "source").join(t, "target").where("cs = ct").groupBy(F.col("cs").alias("community")).agg(F.count("*").alias("n_inner"))
@@ -164,10 +137,18 @@ def community_stats(members: DataFrame, edges: DataFrame, labels: DataFrame, deg
     rows = size.join(inner, "community", "left").join(tops, "community", "left")
     possible = F.col("n_nodes") * (F.col("n_nodes") - 1) / 2
     rows = rows.withColumn("cohesion", F.when(F.col("n_nodes") > 1, F.round(F.coalesce("n_inner", F.lit(0)) / possible, 6)).otherwise(0.0))
-    # one row for each community: the numbering needs a global order, by range partitions and their offsets
     return rows.select("community", "n_nodes", "cohesion", "top_nodes")
 
 
+def numbered(stats: DataFrame) -> DataFrame:
+    """stats (community, n_nodes, ...) with `number` from 0, the largest first, equals by name; ranks inside ranges of the order plus the ranges' offsets, so no task gets all rows."""
+    ranged = cut(stats.repartitionByRange(F.desc("n_nodes"), "community").withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # one row for each range
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("n_nodes"), "community"))
+    return ranged.withColumn("_r", own).join(F.broadcast(before), "_p").withColumn("number", F.col("_before") + F.col("_r") - 1).drop("_p", "_r", "_before")
+
+
 def build(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes with link_count, undirected edges) of pages (id, path, text)."""
     nodes = cut(nodes_of(pages))

@@ -11,12 +11,14 @@ from tessellon.functions import text as X
 QUESTION_ZH = "是*(怎么办|什么样的|哪家|一下|那家|请问|啥样|咋样了|什么时候|何时|何地|何人|是否|是不是|多少|哪里|怎么|哪儿|怎么样|如何|哪些|是啥|啥是|啊|吗|呢|吧|咋|什么|有没有|呀|谁|哪位|哪个)是*"
 QUESTION_EN = "(^| )(what|who|how|which|where|why)('re|'s)? "
 FILLERS_EN = "(^| )('s|'re|is|are|were|was|do|does|did|don't|doesn't|didn't|has|have|be|there|you|me|your|my|mine|just|please|may|i|should|would|wouldn't|will|won't|done|go|for|with|so|the|a|an|by|i'm|it's|he's|she's|they|they're|you're|as|by|on|in|at|up|out|down|of|to|or|and|if) "
-STOP_WORDS = (
-    "您 你 我 他 她 它 这 那 我们 的 了 在 是 就 有 于 及 即 为 最 从 以 将 与 吧 中 又 还 把 被 让 给 对 向 往 到 得 地 和 或 但 而 且 还是 个 只 件 条 种 些 很 也 都 颗 家 款 次 "
-    "可以 能 会 要 需 需要 应该 写 写一下 来 去 采用 发射 号 大于 小于 等于 相关 关于 比较 介绍 说明 描述 信息 简单 推荐 分别 适合 具体 主要 问题 解决 即可 一段话 一下 一个 一段 一段时间 一款 哪种 或者 哪几种 "
-    "几家 几次 几种 超过 翻译成 以内 之前 颗卫星 支持 使用 包括 提供 实现 进行 具备 满足 达到 包含 "
-    "the and for are not but was has all can did may who why how out its let say our use"
-).split()
+STOP_WORDS = [
+    "您", "你", "我", "他", "她", "它", "这", "那", "我们", "的", "了", "在", "是", "就", "有", "于", "及", "即", "为", "最", "从", "以", "将", "与", "吧", "中", "又", "还", "把",
+    "被", "让", "给", "对", "向", "往", "到", "得", "地", "和", "或", "但", "而", "且", "还是", "个", "只", "件", "条", "种", "些", "很", "也", "都", "颗", "家", "款", "次",
+    "可以", "能", "会", "要", "需", "需要", "应该", "写", "写一下", "来", "去", "采用", "发射", "号", "大于", "小于", "等于", "相关", "关于", "比较", "介绍", "说明", "描述", "信息", "简单",
+    "推荐", "分别", "适合", "具体", "主要", "问题", "解决", "即可", "一段话", "一下", "一个", "一段", "一段时间", "一款", "哪种", "或者", "哪几种", "几家", "几次", "几种", "超过", "翻译成", "以内",
+    "之前", "颗卫星", "支持", "使用", "包括", "提供", "实现", "进行", "具备", "满足", "达到", "包含", "the", "and", "for", "are", "not", "but", "was", "has", "all", "can",
+    "did", "may", "who", "why", "how", "out", "its", "let", "say", "our", "use",
+]
 SERIES = ["g", "x", "nx", "r", "rh"]
 HIGH, MEDIUM, LOW = 3.0, 1.5, 0.5
 

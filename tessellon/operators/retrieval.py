@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellon.functions import text as X
-from tessellon.functions import vectors as V
-from tessellon.plans.lineage import is_small
+from tessellon.plans.lineage import cut, is_small
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -73,14 +72,15 @@ def bm25(queries: DataFrame, index: DataFrame, keep: Column | None = None, field
     rows are scored, not the statistics. Repeated query terms count by weight.
     """
     fields = fields or {"content": 1.0}
-    terms = queries.groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
+    terms = cut(queries.groupBy("query_id", "term").agg(F.sum("weight").alias("weight")))
     wanted = small(terms.select("term").distinct())
     scored = None
     for field, boost in fields.items():
-        toks = index.select(key, X.tokens(F.col(field)).alias("t"), *([keep.alias("_keep")] if keep is not None else [F.lit(True).alias("_keep")]))
-        stats = toks.agg(F.sum(F.when(F.size("t") > 0, 1).otherwise(0)).alias("n_docs"), (F.sum(F.when(F.size("t") > 0, F.size("t")).otherwise(0)) / F.sum(F.when(F.size("t") > 0, 1).otherwise(0))).alias("avgdl"))
-        hit = toks.where("size(t) > 0").select(key, "_keep", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
-        tf = hit.groupBy(key, "_keep", "term", "dl").agg(F.count("*").alias("tf"))
+        toks = index.select(key, X.tokens(F.col(field)).alias("t"), (keep if keep is not None else F.lit(True)).alias("_keep")).where("size(t) > 0")
+        stats = toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avgdl"))
+        # what is asked for is counted once; the rest of the corpus leaves no row
+        hit = toks.select(key, "_keep", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
+        tf = cut(hit.groupBy(key, "_keep", "term", "dl").agg(F.count("*").alias("tf")))
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
         idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         s = boost * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -91,43 +91,61 @@ def bm25(queries: DataFrame, index: DataFrame, keep: Column | None = None, field
     return scored.join(small(terms), "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("s") * F.col("weight")), 6).alias("score"))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, key: str = "chunk_id", floor: float = 0.0, k: int | None = None, most_queries: int = 2_000) -> DataFrame:
+#: Vectors that go to the tasks as one matrix; more of them go in several passes.
+BLOCK = 2_000
+
+
+def _blocks(vectors: DataFrame, size: int) -> Iterator[pd.DataFrame]:
+    """The rows of vectors in frames of about `size`, by a hash of their first column."""
+    rows = cut(vectors)
+    n = -(-rows.count() // size)
+    for i in range(n):
+        yield rows.where(F.pmod(F.xxhash64(rows.columns[0]), F.lit(n)) == i).toPandas()
+
+
+def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of length 1 as rows, which of the given ones they are): without those of no finite length above 0."""
+    x = np.array(vectors.tolist(), dtype=np.float64)
+    norms = np.linalg.norm(x, axis=1)
+    good = np.nonzero(np.isfinite(norms) & (norms > 0))[0]
+    return x[good] / norms[good, None], good
+
+
+def knn(queries: DataFrame, vectors: DataFrame, key: str = "chunk_id", floor: float = 0.0, k: int | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, key, score): (1 + cosine) / 2 of every query (query_id, query_vec) and row of vectors (key, vec) with a cosine of `floor` at least; null and zero vectors and other lengths take no part.
 
-    Up to most_queries queries go to the tasks as a matrix, which is multiplied
-    with each batch; with k only rows that can be among a query's k best leave
-    a batch (equals included). More queries are joined instead.
+    Queries go to the tasks in matrices of `block`, each of which is
+    multiplied with the vectors' batches; with k only rows that can be among a
+    query's k best leave a batch (equals included).
     """
-    asked = queries.where(F.col("query_vec").isNotNull()).withColumn("_qn", V.norm(F.col("query_vec"))).where("_qn > 0")
-    ok = vectors.where(F.col("vec").isNotNull())
-    if not is_small(asked, most_queries):
-        pairs = ok.withColumn("_n", V.norm(F.col("vec"))).where("_n > 0").join(asked, F.size("vec") == F.size("query_vec"))
-        cos = F.round(V.dot(F.col("vec"), F.col("query_vec")) / (F.col("_n") * F.col("_qn")), 6)
-        return pairs.withColumn("cos", cos).where(F.col("cos") >= floor).select("query_id", key, F.round((1 + F.col("cos")) / 2, 6).alias("score"))
-    rows = asked.select("query_id", "query_vec").toPandas()
-    by_size = {n: g for n, g in rows.groupby(rows["query_vec"].map(len))}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            sizes = p["vec"].map(len)
-            for n, g in by_size.items():
-                q = np.array(g["query_vec"].tolist(), dtype=np.float64)
-                ids, qids = p[key].to_numpy()[sizes == n], g["query_id"].to_numpy()
-                if not len(ids):
-                    continue
-                x = np.array(p["vec"][sizes == n].tolist(), dtype=np.float64)
-                norms = np.linalg.norm(x, axis=1)
-                good = np.isfinite(norms) & (norms > 0)
-                x, ids = x[good] / norms[good, None], ids[good]
-                cos = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ x.T, 6)
-                keep = cos >= floor
-                if k is not None and cos.shape[1] > k:
-                    keep &= cos >= -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
-                i, j = np.nonzero(keep)
-                yield pd.DataFrame({"query_id": qids[i], key: ids[j], "cos": cos[i, j]})
-
+    asked = queries.where(F.col("query_vec").isNotNull()).select("query_id", "query_vec")
+    ok = vectors.where(F.col("vec").isNotNull()).select(key, "vec")
     types = dict(queries.dtypes) | {key: dict(vectors.dtypes)[key]}
-    found = ok.select(key, "vec").mapInPandas(run, f"query_id {types['query_id']}, {key} {types[key]}, cos double")
+    schema = f"query_id {types['query_id']}, {key} {types[key]}, cos double"
+    found = None
+    for rows in _blocks(asked, block):
+        by_size = {n: (g["query_id"].to_numpy(), *_unit(g["query_vec"])) for n, g in rows.groupby(rows["query_vec"].map(len))}
+
+        def run(batches: Iterator[pd.DataFrame], by_size: dict = by_size) -> Iterator[pd.DataFrame]:
+            for p in batches:
+                sizes = p["vec"].map(len)
+                for n, (qids, q, asks) in by_size.items():
+                    own = p[sizes == n]
+                    if not len(own) or not len(q):
+                        continue
+                    x, good = _unit(own["vec"])
+                    ids = own[key].to_numpy()[good]
+                    cos = np.round(q @ x.T, 6)
+                    fits = cos >= floor
+                    if k is not None and cos.shape[1] > k:
+                        fits &= cos >= -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
+                    i, j = np.nonzero(fits)
+                    yield pd.DataFrame({"query_id": qids[asks[i]], key: ids[j], "cos": cos[i, j]})
+
+        part = ok.mapInPandas(run, schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], schema)
     return found.select("query_id", key, F.round((1 + F.col("cos")) / 2, 6).alias("score"))
 
 
@@ -165,7 +183,7 @@ def hybrid(terms: DataFrame, vectors: DataFrame | None, index: DataFrame, option
 
 def search(terms: DataFrame, vectors: DataFrame | None, index: DataFrame, options: Options = Options()) -> DataFrame:
     """hybrid's hits with the index's columns, without low-quality contents and scores under min_score."""
-    hits = hybrid(terms, vectors, index, options)
+    hits = cut(hybrid(terms, vectors, index, options))
     rows = index.select("chunk_id", "doc_id", "content", "doc_title", "dataset_id", "chunk_type", "doc_hash", "parent_id").join(small(hits), "chunk_id")
     rows = rows.where(~X.is_low_quality("content"))
     return rows.where(F.col("score") >= options.min_score) if options.min_score > 0 else rows
@@ -197,6 +215,7 @@ def expand(hits: DataFrame, index: DataFrame, siblings: int = 0) -> DataFrame:
     child stays, followed by up to `siblings` neighbours on either side. Hits
     whose parent is not in the index stay as they are.
     """
+    hits = cut(hits)
     parents = index.where("chunk_type = 'parent'").select(F.col("chunk_id").alias("parent_id")).distinct()
     known = hits.join(parents.withColumn("_there", F.lit(True)).join(small(hits.select("parent_id").distinct()), "parent_id", "left_semi"), "parent_id", "left")
     group = Window.partitionBy("query_id", "parent_id")
@@ -248,9 +267,9 @@ def context(hits: DataFrame, budget: int = 10_000, notes: DataFrame | None = Non
 def union_cut(lists: DataFrame, top_k: int) -> DataFrame:
     """lists (query_id, part, chunk_id, rank) of several rewritings of each query as one: of each rewriting the first max(1, top_k // n), the first occurrence of a chunk counting."""
     n = lists.groupBy("query_id").agg(F.countDistinct("part").alias("_n"))
-    cut = lists.join(small(n), "query_id").where(F.col("rank") < F.greatest(F.lit(1), F.floor(F.lit(top_k) / F.col("_n"))))
+    first_of = lists.join(small(n), "query_id").where(F.col("rank") < F.greatest(F.lit(1), F.floor(F.lit(top_k) / F.col("_n"))))
     w = Window.partitionBy("query_id", "chunk_id").orderBy("part", "rank")
-    first = cut.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    first = first_of.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     place = Window.partitionBy("query_id").orderBy("part", "rank")
     return first.withColumn("position", F.row_number().over(place) - 1).select("query_id", "chunk_id", "part", "position")
 
@@ -268,12 +287,25 @@ def accumulate(seen: DataFrame, fresh: DataFrame) -> DataFrame:
     return seen.unionByName(fresh.join(seen.select("chunk_id"), "chunk_id", "left_anti").dropDuplicates(["chunk_id"]), allowMissingColumns=True)
 
 
-def semantic_new(seen: DataFrame, fresh: DataFrame, above: float = 0.92) -> DataFrame:
-    """fresh (chunk_id, vec) without those whose cosine with a row of seen (chunk_id, vec) exceeds `above`; rows without a usable vector stay."""
-    s = seen.where("vec is not null").select(F.col("vec").alias("_sv"), V.norm(F.col("vec")).alias("_sn")).where("_sn > 0")
-    f = fresh.withColumn("_fn", V.norm(F.col("vec")))
-    near = f.where("_fn > 0").join(small(s, 2_000), F.size("vec") == F.size("_sv")).where(V.dot(F.col("vec"), F.col("_sv")) / (F.col("_fn") * F.col("_sn")) > above).select("chunk_id").distinct()
-    return fresh.join(near, "chunk_id", "left_anti")
+def semantic_new(seen: DataFrame, fresh: DataFrame, above: float = 0.92, block: int = BLOCK) -> DataFrame:
+    """fresh (chunk_id, vec) without those whose cosine with a row of seen (chunk_id, vec) exceeds `above`; rows without a usable vector stay. What was seen goes to the tasks in matrices of `block`."""
+    kind = dict(fresh.dtypes)["chunk_id"]
+    rest = fresh
+    for rows in _blocks(seen.where("vec is not null").select("chunk_id", "vec"), block):
+        by_size = {n: _unit(g["vec"])[0] for n, g in rows.groupby(rows["vec"].map(len))}
+
+        def run(batches: Iterator[pd.DataFrame], by_size: dict = by_size) -> Iterator[pd.DataFrame]:
+            for p in batches:
+                sizes = p["vec"].map(len)
+                for n, q in by_size.items():
+                    own = p[sizes == n]
+                    if len(own) and len(q):
+                        x, good = _unit(own["vec"])
+                        yield pd.DataFrame({"chunk_id": own["chunk_id"].to_numpy()[good[(x @ q.T).max(1, initial=-1.0) > above]]})
+
+        near = fresh.where("vec is not null").select("chunk_id", "vec").mapInPandas(run, f"chunk_id {kind}").distinct()
+        rest = rest.join(near, "chunk_id", "left_anti")
+    return rest
 
 
 def sources(hits: DataFrame, n: int = 150) -> DataFrame:

@@ -11,7 +11,7 @@ from tessellon.functions import text as X
 
 _FILTER = re.compile(r"^(.+?)\s*(<=|>=|==|!=|<|>)\s*(.*)$")
 _LIMIT = re.compile(r"^\s*(<=|>=|<|>|==)\s*([\d.]+)")
-#: Parameters with units: the names that ask for them, the words in parameter names, and the unit.
+# Parameters with units, the words that ask for them and stand in parameter names, and the unit.
 MEASURES = {"weight": (("重量", "weight"), "kg"), "power": (("功耗", "power"), "W"), "compute": (("算力", "compute", "tops"), "TOPS")}
 
 
@@ -77,7 +77,7 @@ def constrained(measured: DataFrame, limits: dict[str, str]) -> DataFrame:
     for name, limit in limits.items():
         key = next((k for k, (words, _) in MEASURES.items() if name.lower() in words or name == k), None)
         m = _LIMIT.match(limit)
-        if key and m:
+        if key and m and re.fullmatch(r"\d+\.?\d*|\.\d+", m[2]):
             c, n = F.col(key), float(m[2])
             rows = rows.where(F.coalesce({"<": c < n, "<=": c <= n, ">": c > n, ">=": c >= n, "==": c == n}[m[1]], F.lit(True)))
     return rows

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessellon.functions import text as X
 
+# Types of pages.
 PAGE_TYPES = ["source", "entity", "concept", "comparison", "synthesis", "query", "overview"]
 
 
@@ -76,8 +77,11 @@ def without_reviews(c: Column | str) -> Column:
 
 
 def merge_pages(old: DataFrame, new: DataFrame, combine: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
-    """(path, text): pages (path, text) of both; where both have a path, front matter of the old with the sources of either and both bodies, or what `combine` makes of the bodies unless it is less than half as long as the old one."""
-    n = new.groupBy("path").agg(F.max("text").alias("_new"))
+    """(path, text): pages (path, text) of both; where both have a path, front matter of the old with the sources of either and both bodies, or what `combine` makes of the bodies unless it is less than half as long as the old one. Several new pages of one path become one first: the front matter of the first in order of text, with the sources and bodies of all."""
+    every = lambda c: F.transform(F.sort_array(F.collect_set("text")), c)
+    n = new.where("text is not null").groupBy("path").agg(F.min("text").alias("_first"), F.count_distinct("text").alias("_n"), F.array_distinct(F.flatten(every(lambda t: X.front_list(t, "sources")))).alias("_s"), F.array_join(every(X.page_body), "\n\n").alias("_b"))
+    whole = F.concat(F.lit("---\n"), X.strip(F.regexp_replace(X.front_matter("_first"), "(?m)^sources:.*$\\n?", "")), F.lit("\nsources: ["), F.array_join("_s", ", "), F.lit("]\n---\n\n"), F.col("_b"))
+    n = n.select("path", F.when(F.col("_n") == 1, F.col("_first")).otherwise(whole).alias("_new"))
     both = old.join(n, "path", "full_outer")
     sources = F.array_join(F.array_distinct(F.concat(X.front_list("text", "sources"), X.front_list("_new", "sources"))), ", ")
     head = F.regexp_replace(X.front_matter("text"), "(?m)^sources:.*$\\n?", "")

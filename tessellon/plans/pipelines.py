@@ -19,7 +19,10 @@ def ingest(scanned: DataFrame, cache: DataFrame | None = None, versions: DataFra
     rows = files.not_cached(scanned, cache) if cache is not None else scanned
     rows = files.with_source_keys(rows, versions) if versions is not None else rows.withColumn("filename", F.regexp_extract("relative", "([^/]*)$", 1)).withColumn("source_key", F.lit(None).cast("string"))
     text = files.to_markdown(rows).where("status = 'ok'")
-    docs = rows.join(text.select("path", "markdown"), "path").select(X.short_hash("markdown").alias("doc_id"), X.clean("markdown").alias("content"), X.stem("filename").alias("doc_title"), "dataset_id", "source_key", "filename").dropDuplicates(["doc_id"])
+    # a text is a document of each dataset that has it; of equal files of one dataset the first by name counts
+    docs = rows.join(text.select("path", "markdown"), "path").withColumn("doc_id", X.short_hash(F.concat_ws("\n", "dataset_id", "markdown")))
+    docs = index.newest(docs.select("doc_id", "markdown", "dataset_id", "source_key", "filename", "path"), "doc_id", [F.col("filename"), F.col("path")])
+    docs = docs.select("doc_id", X.clean("markdown").alias("content"), X.stem("filename").alias("doc_title"), "dataset_id", "source_key", "filename")
     made = chunking.chunk(docs.select("doc_id", "content")).withColumn("embedding_vector", F.pandas_udf(embed or interfaces.hashed_embedder(), "array<float>")("content"))
     full = made.join(docs.drop("content"), "doc_id")
     full = full.withColumn("created_at", F.current_timestamp()).withColumn("summary", F.lit(None).cast("string")).withColumn("primary_entity", F.lit(None).cast("string"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -17,13 +18,13 @@ SUFFIXES = ["pdf", "doc", "docx", "ppt", "pptx", "xls", "xlsx", "csv", "md"]
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, relative, dataset_id, format, content, file_size, modified): the files below root, the first folder being the dataset; temporary and hidden files are left out, each relative path comes once."""
+    """(path, relative, dataset_id, format, content, file_size, modified): the files below root, the first folder being the dataset; temporary and hidden files are left out. A path below one root is unique, so nothing is shuffled."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     name = F.regexp_extract("path", "([^/]*)$", 1)
-    relative = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").replace(".", "\\.") + "/", "")
+    relative = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.rstrip("/")) + "/", "")
     rows = files.select("path", relative.alias("relative"), X.file_format("path").alias("format"), "content", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
     keep = ~name.startswith("~$") & ~name.startswith(".") & F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1)).isin(SUFFIXES)
-    return rows.where(keep).withColumn("dataset_id", F.when(F.instr("relative", "/") > 0, F.split("relative", "/")[0]).otherwise("default")).dropDuplicates(["relative"])
+    return rows.where(keep).withColumn("dataset_id", F.when(F.instr("relative", "/") > 0, F.split("relative", "/")[0]).otherwise("default"))
 
 
 def version_map(spark: SparkSession, path: str) -> DataFrame:
@@ -32,7 +33,7 @@ def version_map(spark: SparkSession, path: str) -> DataFrame:
     try:
         raw = spark.read.text(path, wholetext=True)
         pairs = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("filename", "source_key"))
-        return pairs.where("source_key is not null") if pairs.limit(1).count() >= 0 else pairs
+        return pairs.where("source_key is not null")
     except Exception as e:  # noqa: BLE001 - as stated: no file, no versions
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             return spark.createDataFrame([], schema)

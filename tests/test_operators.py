@@ -38,7 +38,7 @@ def test_expand(spark):
 def test_knn_joined_and_multiplied_agree(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("z", [0.0, 0.0]), ("n", None), ("l", [1.0])], "chunk_id string, vec array<float>")
     q = spark.createDataFrame([(1, [1.0, 1.0]), (2, [-1.0, 0.0]), (3, None)], "query_id int, query_vec array<float>")
-    small, large = retrieval.knn(q, v), retrieval.knn(q, v, most_queries=0)
+    small, large = retrieval.knn(q, v), retrieval.knn(q, v, block=1)
     assert rows(small, "query_id", "chunk_id", "score") == rows(large, "query_id", "chunk_id", "score") == [(1, "a", 0.853554), (1, "b", 0.853554), (2, "b", 0.5)]
 
 
@@ -93,7 +93,37 @@ def test_louvain_and_propagation_split_two_cliques(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcdwxyz!"], "id string")
     got = dict(rows(graph.louvain(nodes, edges), "id", "community"))
     assert len({got[x] for x in "abcd"}) == len({got[x] for x in "wxyz"}) == 1 and got["a"] != got["w"] and got["!"] == "!"
-    assert graph.louvain(nodes, edges, max_edges=1).count() == 9
+    assert graph.louvain(nodes, edges.limit(0)).count() == 9 and graph.louvain(nodes.limit(0), edges.limit(0)).count() == 0
+    by_spread = dict(rows(graph.propagate(edges), "id", "community"))
+    assert set(by_spread) == set("abcdwxyz")
+    assert graph.modularity(graph.louvain(nodes, edges), edges).first()[0] == pytest.approx(12 / 13 - 0.5, abs=1e-6)
+
+
+def test_louvain_comes_near_the_best_split(spark):
+    # a ring of eight cliques: the best split is the cliques, and the links between them are few
+    e = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "abcdefgh" for i in range(6) for j in range(i + 1, 6)] + [(f"{a}0", f"{b}1", 1.0) for a, b in zip("abcdefgh", "bcdefgha")]
+    edges = spark.createDataFrame(e, "source string, target string, weight double")
+    nodes = spark.createDataFrame([(f"{g}{i}",) for g in "abcdefgh" for i in range(6)], "id string")
+    got = graph.louvain(nodes, edges)
+    assert got.groupBy("community").count().where("count = 6").count() == 8
+    stats = graph.numbered(got.groupBy("community").agg(F.count("*").alias("n_nodes")))
+    assert rows(stats, "number") == [(i,) for i in range(8)]
+
+
+def test_many_queries_go_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    q, v = rng.standard_normal((5000, 8)), rng.standard_normal((50, 8))
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id int, query_vec array<double>")
+    stored = spark.createDataFrame([(f"v{i:02d}", x.tolist()) for i, x in enumerate(v)], "chunk_id string, vec array<double>")
+    got = {(r["query_id"], r["chunk_id"]) for r in retrieval.top(retrieval.knn(asked, stored, k=3, floor=-1.0), 3).collect()}
+    cos = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+    assert got == {(i, f"v{j:02d}") for i in range(5000) for j in np.argsort(-cos[i])[:3]}
+    fresh = asked.select(F.col("query_id").alias("chunk_id"), F.col("query_vec").alias("vec"))
+    seen = stored.select(F.col("chunk_id"), "vec")
+    left = {r["chunk_id"] for r in retrieval.semantic_new(seen, fresh, 0.8, block=20).collect()}
+    assert left == {i for i in range(5000) if cos[i].max() <= 0.8}
 
 
 def test_org_groups_chain(spark):
@@ -112,7 +142,11 @@ def test_cooperation_is_merged_without_order(spark):
 def test_dictionary_counts_overlaps(spark):
     df = spark.createDataFrame([("c", "aaaa Bob"), ("d", None)], "chunk_id string, content string")
     terms = spark.createDataFrame([("aa", "A"), ("bob", "Robert")], "alias string, standard string")
-    assert rows(entities.dictionary_hits(df, terms), "standard", "n") == [("A", 3), ("Robert", 1)]
+    # a standard is a term itself, here of one character
+    assert rows(entities.dictionary_hits(df, terms), "standard", "n") == [("A", 7), ("Robert", 1)]
+    more = terms.union(spark.createDataFrame([("a", "One"), ("aaaa bob", "Long")], "alias string, standard string"))
+    exp = [("A", 7), ("Long", 1), ("One", 4), ("Robert", 1)]
+    assert rows(entities.dictionary_hits(df, more), "standard", "n") == rows(entities.dictionary_hits(df, more, most=0), "standard", "n") == exp
 
 
 def test_versions_by_name_and_content(spark):
@@ -137,6 +171,8 @@ def test_pages_merge(spark):
     old = spark.createDataFrame([("a", "---\ntitle: A\nsources: [s1]\n---\n\nold"), ("b", "only old")], "path string, text string")
     new = spark.createDataFrame([("a", "---\nsources: [s1, s2]\n---\n\nnew"), ("c", "only new")], "path string, text string")
     got = dict(rows(wiki.merge_pages(old, new), "path", "text"))
+    twice = dict(rows(wiki.merge_pages(old.limit(0), new.union(spark.createDataFrame([("c", "more new")], "path string, text string"))), "path", "text"))
+    assert "only new" in twice["c"] and "more new" in twice["c"] and twice["a"].endswith("new")
     assert got["a"] == "---\ntitle: A\nsources: [s1, s2]\n---\n\nold\n\nnew" and got["b"] == "only old" and got["c"] == "only new"
 
 
@@ -184,11 +220,51 @@ def test_files_to_contexts(spark, tmp_path):
 def test_stream_ingest(spark, tmp_path):
     schema = "chunk_id string, content string, ingested_at int"
     src, target = str(tmp_path / "in"), str(tmp_path / "out")
+    run = lambda: ingest.ingest_chunks(ingest.stream(spark, src, schema, 1), target, str(tmp_path / "cp"), compact_every=2).awaitTermination()
     spark.createDataFrame([("a", "old", 1), ("b", "b", 1)], schema).coalesce(1).write.parquet(src)
-    ingest.ingest_chunks(ingest.stream(spark, src, schema, 1), target, str(tmp_path / "cp")).awaitTermination()
-    spark.createDataFrame([("a", "new", 2)], schema).coalesce(1).write.mode("append").parquet(src)
-    ingest.ingest_chunks(ingest.stream(spark, src, schema, 1), target, str(tmp_path / "cp")).awaitTermination()
+    run()
+    for i in range(2, 6):
+        spark.createDataFrame([("a", f"new{i}", i)], schema).coalesce(1).write.mode("append").parquet(src)
+        run()
+    assert rows(ingest.read_index(spark, target), "chunk_id", "content") == [("a", "new5"), ("b", "b")]
+    kept = os.listdir(target)
+    assert "base-000000000003" in kept and "delta-000000000000" not in kept
+
+
+def test_stream_ingest_survives_a_crash_between_writes(spark, tmp_path):
+    schema = "chunk_id string, content string, ingested_at int"
+    target = str(tmp_path / "out")
+    one = spark.createDataFrame([("a", "old", 1), ("b", "b", 1)], schema)
+    two = spark.createDataFrame([("a", "new", 2)], schema)
+    ingest.write_batch(one, 0, target)
+    # a delta whose write broke off has no mark of its end, and so has a base
+    ingest.write_batch(two, 1, target, compact_every=2)
+    os.remove(f"{target}/base-000000000001/_SUCCESS")
     assert rows(ingest.read_index(spark, target), "chunk_id", "content") == [("a", "new"), ("b", "b")]
+    os.remove(f"{target}/delta-000000000001/_SUCCESS")
+    assert rows(ingest.read_index(spark, target), "chunk_id", "content") == [("a", "old"), ("b", "b")]
+    # the batch comes again after the restart
+    ingest.write_batch(two, 1, target, compact_every=2)
+    ingest.write_batch(two, 1, target, compact_every=2)
+    assert rows(ingest.read_index(spark, target), "chunk_id", "content") == [("a", "new"), ("b", "b")]
+
+
+def test_stream_ingest_flips_versions(spark, tmp_path):
+    schema = "chunk_id string, doc_id string, dataset_id string, source_key string, content string, is_latest boolean, ingested_at int"
+    target = str(tmp_path / "out")
+    ingest.write_batch(spark.createDataFrame([("a", "d1", "s", "k", "1", True, 1), ("x", "d9", "s", None, "9", True, 1)], schema), 0, target)
+    ingest.write_batch(spark.createDataFrame([("b", "d2", "s", "k", "2", True, 2)], schema), 1, target)
+    assert rows(ingest.read_index(spark, target), "chunk_id", "is_latest") == [("a", False), ("b", True), ("x", True)]
+
+
+def test_entities_are_merged_as_they_come(spark, tmp_path):
+    schema = "entity_name string, entity_type string, frequency bigint, source_docs array<string>, source_chunks array<string>"
+    target = str(tmp_path / "out")
+    first = spark.createDataFrame([("A", "ORG", 2, ["d1"], ["c1"]), ("B", None, 1, None, [])], schema)
+    for n in (0, 0, 1):
+        ingest.fold_batch(first, n, target, ingest.merged_entities)
+    got = {r["entity_name"]: (r["frequency"], r["source_docs"]) for r in ingest.read_state(spark, target).collect()}
+    assert got == {"A": (4, ["d1"]), "B": (2, [])}
 
 
 def test_types_and_patterns(spark):
