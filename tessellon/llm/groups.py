@@ -25,7 +25,8 @@ def _decompose(arcs: DataFrame, level: int, rate: float, rounds: int) -> DataFra
         if i and i % 2 == 0:
             state = cut(state)  # small plans of one shape keep the driver small
         told = arcs.join(state, "u").select(F.col("v").alias("u"), (F.col("at") + 1.0).alias("at"), "c")
-        state = state.unionByName(told).groupBy("u").agg(F.min(F.struct("at", "c")).alias("s")).select("u", "s.at", "s.c")
+        # numbers only, so that this is a hash aggregate; of two that come at one time either will do
+        state = state.unionByName(told).groupBy("u").agg(F.min_by("c", "at").alias("c"), F.min("at").alias("at")).select("u", "at", "c")
     return state.select(F.col("u").alias("v"), "c")
 
 
