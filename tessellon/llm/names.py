@@ -64,10 +64,11 @@ def _bare(s: str) -> str:
 
 
 class Parser:
-    """Names to their parts. short: short forms to standards (lower case); places: place names that stand before or in brackets after a Chinese name; given: known given names."""
+    """Names to their parts. short: short forms to standards (lower case); places: place names of two or three signs that stand before or in brackets after a Chinese name; given: known given names."""
 
     def __init__(self, short: dict[str, str], places: set[str]):
         self.short = short
+        self.general = {g: FORMS.get(g, "") for g in [*FORMS, *FIELDS] if len(g) > 3}
         self.given = {v for v in short.values()} | {k for k in short if "." not in k}
         self.places = places
 
@@ -117,15 +118,18 @@ class Parser:
                 rest.append(w)
         proper = []
         for w in rest:
-            like = max(FORMS | dict.fromkeys(FIELDS, ""), key=lambda g: ratio(w, g) if len(g) > 3 else 0.0)
-            if len(w) > 3 and ratio(w, like) >= 0.83:
+            # what is far from w in length cannot reach the ratio
+            near = [g for g in self.general if 0.7 <= len(g) / len(w) <= 1.42] if len(w) > 3 else []
+            like = max(near, key=lambda g: ratio(w, g), default="")
+            if like and ratio(w, like) >= 0.83:
                 if like in FORMS:
                     form = form or FORMS[like]
                 else:
                     field = like
             else:
                 proper.append(w)
-        core = max(proper, key=len, default="")
+        # a name of general words alone is told apart by all of them
+        core = max(proper, key=len, default="") or " ".join(sorted(words))
         return {"core": core, "unit": unit, "field": field, "form": form}
 
     def _han(self, text: str) -> dict:
@@ -144,9 +148,9 @@ class Parser:
             if text.endswith(f) and len(text) >= len(f) + 2:
                 field, text = f, text[: -len(f)]
                 break
-        for p in self.places:
-            if text.startswith(p) and len(text) >= len(p) + 3:
-                text = text[len(p) :]
+        for n in (3, 2):
+            if text[:n] in self.places and len(text) >= n + 3:
+                text = text[n:]
                 break
         return {"core": text, "unit": unit, "field": field, "form": form}
 
@@ -174,11 +178,6 @@ class Parser:
 _PARTS = "kind string, core string, given string, initial string, unit string, field string, form string, han boolean"
 
 
-def _suffixes(token: Column, least: int) -> Column:
-    n = F.length(token)
-    return F.when(n >= least, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - least + 1)), lambda i: F.substring(token, i, n))).otherwise(F.array().cast("array<string>"))
-
-
 def _shortened(core: str) -> list[str]:
     """The core with as many letters left out, in every way, as a ratio of 0.85 allows either side (0.74 between cores of one length); three at most."""
     n = len(core)
@@ -244,9 +243,10 @@ def _alike(a: dict, b: dict, least: float) -> bool:
 def linked(forms: DataFrame, least: float) -> DataFrame:
     """(a, b): forms of one name, by comparing those that share a suffix key."""
     keys = cut(blocks(forms))
+    tasks = max(forms.sparkSession.sparkContext.defaultParallelism, int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pairs = keys.withColumnRenamed("form", "a").join(keys.withColumnRenamed("form", "b"), "key").where("a < b").select("a", "b").distinct()
     parts = F.struct("kind", "core", "given", "unit", "field", "form_kind", "han")
-    pairs = pairs.join(forms.select(F.col("form").alias("a"), parts.alias("pa")), "a").join(forms.select(F.col("form").alias("b"), parts.alias("pb")), "b")
+    pairs = pairs.join(forms.select(F.col("form").alias("a"), parts.alias("pa")), "a").join(forms.select(F.col("form").alias("b"), parts.alias("pb")), "b").repartition(tasks, "a", "b")
 
     @F.pandas_udf("boolean")
     def alike(pa: pd.DataFrame, pb: pd.DataFrame) -> pd.Series:
@@ -266,12 +266,20 @@ def entity_groups(entities: DataFrame, seed: DataFrame, least: float = 0.85) ->
     """
     rows = entities.where("entity_id is not null and entity_name is not null and (entity_type is null or entity_type in ('ORG', 'PERSON'))")
     one = rows.groupBy("entity_id").agg(F.min("entity_name").alias("name"), F.min("entity_type").alias("type"), F.array_distinct(F.flatten(F.collect_set("aliases"))).alias("aliases"))
-    written = cut(one.select("entity_id", "type", F.explode(F.concat(F.array(F.struct(F.col("name").alias("text"), F.lit(False).alias("alias"))), F.transform(F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a.isNotNull() & (F.trim(a) != "")), lambda a: F.struct(a.alias("text"), F.lit(True).alias("alias"))))).alias("w")).select("entity_id", "type", "w.text", "w.alias"))
+    spark = entities.sparkSession
+    written = one.select("entity_id", "type", F.explode(F.concat(F.array(F.struct(F.col("name").alias("text"), F.lit(False).alias("alias"))), F.transform(F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a.isNotNull() & (F.trim(a) != "")), lambda a: F.struct(a.alias("text"), F.lit(True).alias("alias"))))).alias("w")).select("entity_id", "type", "w.text", "w.alias")
+    # names are short, so size alone would leave them to a few tasks
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    written = cut(written.repartition(tasks, "entity_id"))
     scores = glyphs.learn(written)
     clean = cut(glyphs.forms(written, scores).select("entity_id", "type", "alias", F.col("form").alias("text")))
     # the tables of short forms and of place names are small vocabularies, not rows of the corpus
     short = {r["alias"].lower().strip("."): r["standard"].lower() for r in seed.where("alias is not null and standard is not null").distinct().toLocalIterator()}
-    places = {r["p"] for r in clean.select(F.explode(F.regexp_extract_all("text", F.lit("[(（]([\\u4e00-\\u9fff]{2,3})[)）]"), F.lit(1))).alias("p")).groupBy("p").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p").limit(5_000).toLocalIterator()}
+    # a place is what a thousandth of all bracketed places or more name, so there are a thousand at most
+    said = clean.select(F.explode(F.regexp_extract_all("text", F.lit("[(（]([\\u4e00-\\u9fff]{2,3})[)）]"), F.lit(1))).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    said = cut(said)
+    all_said = said.agg(F.sum("n")).first()[0] or 0
+    places = {r["p"] for r in said.where(F.col("n") >= 0.001 * all_said).toLocalIterator()}
     parser = Parser(short, places)
 
     @F.pandas_udf(_PARTS)
