@@ -145,19 +145,25 @@ def classes_and_links(rows: DataFrame, at_least: float = 0.8, width: int = 5, ba
     sketch's estimate may lie under at_least.
     """
     k = bands * band_rows
-    made = keep(sketches(rows, width, bands, band_rows, by_script))
-    chosen = cut(made.groupBy("id").agg(F.min(F.struct("text_hash", "class_a", "class_b", "field", "key")).alias("c")).select("id", "c.*"))
-    reps = chosen.groupBy("field", "class_a", "class_b").agg(F.min_by(F.struct("id", "key", "text_hash"), "key").alias("r"))
-    # small numbers for the classes: they make up half of the banded rows
-    reps = cut(reps.select("field", "class_a", "class_b", F.col("r.key").alias("rep"), F.col("r.id").alias("id"), F.col("r.text_hash").alias("_h"), F.monotonically_increasing_id().alias("no")))
-    members = chosen.select("field", "key", "class_a", "class_b").join(reps.select("field", "class_a", "class_b", "rep"), ["field", "class_a", "class_b"]).select("field", "key", "rep")
+    # small numbers for the rows: they make up half of what is banded
+    made = keep(sketches(rows, width, bands, band_rows, by_script).withColumn("no", F.monotonically_increasing_id()))
+    chosen = keep(made.groupBy("id").agg(F.min(F.struct("text_hash", "class_a", "class_b", "field", "key", "no")).alias("c"), F.count("*").alias("times")).select("id", "c.*", "times"))
+    classes = chosen.groupBy("field", "class_a", "class_b").agg(F.min_by(F.struct("id", "key", "text_hash", "no"), "key").alias("r"), F.sum("times").alias("copies"))
+    reps = keep(classes.select("field", "class_a", "class_b", "copies", F.col("r.key").alias("rep"), F.col("r.id").alias("id"), F.col("r.text_hash").alias("_h"), F.col("r.no").alias("no")))
+    members = keep(chosen.select("field", "key", "class_a", "class_b").join(reps.select("field", "class_a", "class_b", "rep"), ["field", "class_a", "class_b"]).select("field", "key", "rep"))
     asked = reps.select("id", "_h", "no")
     odd = [f"o{i}" for i in range(WORDS)]
-    own = cut(made.select("id", "text_hash", "field", "n", "bands", *odd).join(asked, "id").where("text_hash = _h").dropDuplicates(["id"]))
-    banded = own.select("no", F.posexplode("bands").alias("place", "hash"), "field").select("no", F.xxhash64("field", "place", "hash").alias("band"))
+    # of classes of many copies only the representative is banded; the few copies of others fall away when sketches are added
+    hot = reps.where(F.col("copies") > 16).select("class_a").distinct()
+    hot = F.broadcast(hot) if is_small(hot, 100_000) else hot
+    alone = made.join(hot, "class_a", "left_semi").join(asked.select("no"), "no", "left_semi").select("no", "field", "bands")
+    spread = made.join(hot, "class_a", "left_anti").select("no", "field", "bands").unionByName(alone)
+    # the band's place and 32 bits of its hash in one number
+    hashed = F.col("hash").bitwiseXOR(F.hash("field")).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
+    banded = spread.select("no", F.posexplode("bands").alias("place", "hash"), "field").select("no", F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(hashed).alias("band"))
     # a band of one text pairs nothing; the others meet with their sketches, so that no pair travels before it is estimated
-    shared = banded.withColumn("texts", F.count("*").over(Window.partitionBy("band"))).where("texts > 1").select("no", "band")
-    met = shared.join(own.select("no", "n", *odd), "no")
+    shared = keep(banded.withColumn("texts", F.count("*").over(Window.partitionBy("band"))).where("texts > 1").select("no", "band"))
+    met = shared.join(keep(made.select("no", "n", *odd).join(asked.select("no"), "no")), "no")
     side = lambda x: met.select("band", F.col("no").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{x}{i}") for i, c in enumerate(odd)])
     fits = (F.col("na") >= F.ceil(F.col("nb") * (at_least - 1e-9))) & (F.col("nb") >= F.ceil(F.col("na") * (at_least - 1e-9)))
     pairs = side("a").join(side("b"), "band").where(F.col("a") < F.col("b")).where(fits).where(_estimate(min(k, SAMPLES)) >= at_least - slack)
@@ -166,7 +172,7 @@ def classes_and_links(rows: DataFrame, at_least: float = 0.8, width: int = 5, ba
     ends = near.select(F.explode(F.array("a", "b")).alias("no")).distinct().join(asked, "no")
     ends = F.broadcast(cut(ends)) if is_small(ends, 1_000_000) else ends
     texts = identified(rows).join(ends, "id").where("text_hash = _h").groupBy("no").agg(F.min(F.struct("key", "field", "text")).alias("t")).withColumnRenamed("no", "id")
-    both = near.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    both = near.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").where("ta.field = tb.field")
 
     @F.pandas_udf("double")
     def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
