@@ -325,9 +325,7 @@ def file_kinds(spark, folder):
 @query("SELECT doc_id, unnest(range(0, len(s))) AS position, unnest(s) AS sentence FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?])[ \\t\\n\\r\\f\\x0B\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)")
 def sentence_split(spark, folder):
     """The sentences of all texts."""
-    text = F.split("text", "(?U)(?<=[。！？.!?])\\s+")
-    s = F.filter(F.transform(text, X.strip), lambda x: x != "")
-    return table(spark, folder, "documents").select("doc_id", F.posexplode(s).alias("position", "sentence"))
+    return table(spark, folder, "documents").select("doc_id", F.posexplode(X.sentences("text")).alias("position", "sentence"))
 
 
 # --- the index --------------------------------------------------------------

@@ -325,7 +325,7 @@ def tokens(c: Column | str) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """Cut after marks of a sentence's end; empty ones are left out."""
-    return F.filter(F.transform(F.split(col(c), "(?<=[。！？.!?])\\s+"), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(col(c), "(?U)(?<=[。！？.!?])\\s+"), strip), lambda s: s != "")
 
 
 # --- pages ------------------------------------------------------------------

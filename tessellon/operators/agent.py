@@ -6,9 +6,11 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellon.functions import text as X
+from tessellon.operators import queries as Q
 from tessellon.operators import retrieval as R
 
 #: Names of tools that models may use for the same thing.
@@ -88,6 +90,37 @@ def grouped_terms(groups: list[list[str]], spark) -> DataFrame:
     """(query_id, term, weight): each group of terms as one query of equal weights."""
     rows = [(i, t) for i, g in enumerate(groups) for t in g]
     df = spark.createDataFrame(rows, "query_id int, phrase string")
-    from tessellon.functions import text as X
-
     return df.select("query_id", F.explode(X.tokens("phrase")).alias("term")).groupBy("query_id", "term").agg(F.lit(1.0).alias("weight"))
+
+
+def global_rerank(gathered: DataFrame, scorer=None, expanded: int = 10) -> DataFrame:
+    """gathered hits (query_id, query, chunk_id, content, rank) of all steps reranked together, with position and whether they are among the first `expanded`, whose parents are to be shown; the rest stays as it is."""
+    ranked = R.rerank(gathered, scorer, R.Options(top_k=100))
+    return ranked.withColumn("expanded", F.col("position") < expanded)
+
+
+def synthesis(gathered: DataFrame, limit: int = 16_000) -> DataFrame:
+    """(query_id, context): gathered contents (query_id, content, position), numbered, as one text cut at `limit` characters."""
+    parts = gathered.select("query_id", "position", F.concat(F.lit("["), (F.col("position") + 1).cast("string"), F.lit("] "), F.coalesce("content", F.lit(""))).alias("part"))
+    # a part that begins beyond the limit is never gathered
+    w = Window.partitionBy("query_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    near = parts.withColumn("_before", F.coalesce(F.sum(F.length("part") + 2).over(w), F.lit(0))).where(F.col("_before") < limit)
+    whole = near.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "part"))), lambda s: s["part"]), "\n\n").alias("context"))
+    return whole.select("query_id", F.substring("context", 1, limit).alias("context"))
+
+
+def vector_search(asked: DataFrame, rows: DataFrame, embed, generate=None, scorer=None, options: R.Options = R.Options(), n: int = 1) -> DataFrame:
+    """The agent's search by meaning: hypothetical answers to each query (query_id, query), the mean of their vectors, the nearest chunks of rows, reranked."""
+    near = rows.where(R.searchable(options)).select("chunk_id", F.col("embedding_vector").alias("vec"))
+    vectors = Q.hypothetical_vectors(asked, embed, generate, n)
+    hits = R.top(R.knn(vectors, near, k=2 * options.top_k), 2 * options.top_k)
+    shown = hits.join(rows.select("chunk_id", "content", "parent_id", "chunk_type"), "chunk_id").join(asked, "query_id")
+    return R.rerank(shown, scorer, options)
+
+
+def term_search(groups: DataFrame, rows: DataFrame, scorer=None, options: R.Options = R.Options()) -> DataFrame:
+    """The agent's search by words: groups (group_id, terms array) of equal terms, each searched by BM25 in one plan, in the order of the groups, with the group's rank."""
+    terms = groups.select(F.col("group_id").alias("query_id"), F.explode("terms").alias("phrase")).select("query_id", F.explode(X.tokens("phrase")).alias("term")).distinct().withColumn("weight", F.lit(1.0))
+    hits = R.top(R.bm25(terms, rows, R.searchable(options), {"content": 1.0, "doc_title": 2.0}), options.top_k)
+    shown = hits.join(rows.select("chunk_id", "content", "parent_id", "chunk_type"), "chunk_id").join(groups.select(F.col("group_id").alias("query_id"), F.array_join("terms", " ").alias("query")), "query_id")
+    return R.rerank(shown, scorer, options).orderBy("query_id", "position")

@@ -44,3 +44,8 @@ def streaks(events: DataFrame, key: str, order: list[str], what: str, least: int
     new = F.coalesce((F.col(what) != F.lag(what).over(w)).cast("int"), F.lit(1))
     numbered = events.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
     return numbered.groupBy(key, "_run", what).agg(F.min(order[0]).alias("started"), F.count("*").alias("n")).where(F.col("n") >= least).select(key, what, "started", "n")
+
+
+def usage(steps: DataFrame, key: str, *counters: str) -> DataFrame:
+    """(key, counters...): what steps used, added up; a null counts as nothing."""
+    return steps.groupBy(key).agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in counters])

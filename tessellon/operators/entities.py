@@ -233,3 +233,8 @@ def owned_by(models: DataFrame, groups: DataFrame) -> DataFrame:
 def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, kind, n): how many nodes and edges of each kind."""
     return nodes.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("node").alias("part"), "kind", "n").unionByName(edges.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("edge").alias("part"), "kind", "n"))
+
+
+def partners(sets: DataFrame, primary: str) -> DataFrame:
+    """(chunk_id, others) of sets (chunk_id, orgs): all organisations of a chunk but `primary`."""
+    return sets.select("chunk_id", F.array_except("orgs", F.array(F.lit(primary))).alias("others")).where("size(others) > 0")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessellon.functions import text as X
 
@@ -102,3 +103,10 @@ def titles(index: DataFrame) -> DataFrame:
 
 def counts(index: DataFrame, by: list[str]) -> DataFrame:
     return index.groupBy(*by).agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+def aligned(rows: DataFrame, schema: str) -> DataFrame:
+    """rows in the columns of `schema`, a DDL string: missing ones null, others cast; columns that the schema doesn't know stay behind them, so a schema only grows."""
+    wanted = StructType.fromDDL(schema)
+    known = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted]
+    return rows.select(*known, *[c for c in rows.columns if c not in wanted.names])

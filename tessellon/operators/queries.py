@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellon.functions import text as X
+from tessellon.functions import vectors as V
 
 # Question phrases, stop words and series that stay although short.
 QUESTION_ZH = "是*(怎么办|什么样的|哪家|一下|那家|请问|啥样|咋样了|什么时候|何时|何地|何人|是否|是不是|多少|哪里|怎么|哪儿|怎么样|如何|哪些|是啥|啥是|啊|吗|呢|吧|咋|什么|有没有|呀|谁|哪位|哪个)是*"
@@ -115,3 +119,58 @@ def hypothetical(queries: DataFrame, generate=None, n: int = 1) -> DataFrame:
         raise ValueError("n must lie in 1..3")
     rows = queries.select("query_id", F.col("query").alias("text"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
     return rows if generate is None else rows.withColumn("text", F.pandas_udf(generate, "string")("text", "part"))
+
+
+def hypothetical_vectors(queries: DataFrame, embed, generate=None, n: int = 1) -> DataFrame:
+    """(query_id, query_vec): the mean vector of n hypothetical answers to each query, embedded by embed(texts)."""
+    made = hypothetical(queries, generate, n).withColumn("vec", F.pandas_udf(embed, "array<float>")("text"))
+    return V.mean_vector(made, "query_id", "vec").withColumnRenamed("vec", "query_vec")
+
+
+def phrases_of(clauses: DataFrame) -> DataFrame:
+    """(query_id, phrase array, boost): the phrases among clauses, as their tokens in order."""
+    rows = clauses.where(F.col("layer").isin("phrase", "synonym_phrase")).select("query_id", X.tokens(F.col("term")).alias("phrase"), "boost")
+    return rows.where("size(phrase) >= 2")
+
+
+def words_of(clauses: DataFrame) -> DataFrame:
+    """(query_id, term, weight): the tokens of the clauses that are no phrases, with their boosts."""
+    return query_terms(clauses.where(~F.col("layer").isin("phrase", "synonym_phrase")))
+
+
+def protected(c: Column | str, terms: list[str], function) -> Column:
+    """function(text) with the occurrences of terms left as they are, the longest first; they stand aside under signs for private use meanwhile."""
+    marks = {t: f"\ue100{chr(0xE200 + i)}\ue101" for i, t in enumerate(sorted(set(terms), key=lambda t: (-len(t), t)))}
+    text = X.col(c)
+    for t, m in marks.items():
+        text = F.replace(text, F.lit(t), F.lit(m))
+    text = function(text)
+    for t, m in marks.items():
+        text = F.replace(text, F.lit(m), F.lit(t))
+    return text
+
+
+def segmented(queries: DataFrame, terms: DataFrame, text: str = "query") -> DataFrame:
+    """(query_id, position, term): the tokens of queries with runs of ideographs cut, from the left, into the longest words of the dictionary terms (alias, standard) and what lies between them."""
+    words = sorted({w.lower() for r in terms.select("alias", "standard").distinct().toLocalIterator() for w in (r[0], r[1]) if w and len(w) >= 2}, key=lambda w: (-len(w), w))
+    pattern = re.compile("|".join(map(re.escape, words))) if words else None
+
+    @F.pandas_udf("array<string>")
+    def cut_up(column: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[str]:
+            out: list[str] = []
+            for token in (t or "").split():
+                if pattern is None or not re.search("[\u4e00-\u9fff]", token):
+                    out.append(token)
+                    continue
+                at = 0
+                for m in pattern.finditer(token):
+                    out += [token[at : m.start()], m[0]]
+                    at = m.end()
+                out.append(token[at:])
+            return [x for x in out if x]
+
+        return column.map(one)
+
+    rows = queries.select("query_id", F.posexplode(cut_up(query_text(F.col(text)))).alias("position", "term"))
+    return rows.where(keep_token(F.col("term")))

@@ -311,3 +311,41 @@ def semantic_new(seen: DataFrame, fresh: DataFrame, above: float = 0.92, block:
 def sources(hits: DataFrame, n: int = 150) -> DataFrame:
     """hits with a snippet of n characters instead of their content."""
     return hits.withColumn("snippet", X.snippet("content", n)).drop("content")
+
+
+def by_content(hits: DataFrame) -> DataFrame:
+    """(query_id, content, chunk_id): the chunk that each text of hits (query_id, content, chunk_id, rank) stands for; of equal texts the last ranked."""
+    return hits.groupBy("query_id", "content").agg(F.max_by("chunk_id", "rank").alias("chunk_id"))
+
+
+def phrases(wanted: DataFrame, index: DataFrame, key: str = "chunk_id", text: str = "content", slop: int = 2) -> DataFrame:
+    """wanted (query_id, phrase array, ...) with the keys of index's texts that hold the phrase's words in order, with at most `slop` other words between neighbours; each text once for a phrase.
+
+    Only positions of wanted words leave the corpus. The words of a phrase are
+    joined one after the other, each keeping the earliest place reached.
+    """
+    asked = cut(wanted.where("size(phrase) > 0").withColumn("_id", F.monotonically_increasing_id()))
+    words = small(asked.select(F.explode("phrase").alias("term")).distinct())
+    toks = index.select(key, F.posexplode(X.tokens(F.col(text))).alias("_at", "term"))
+    places = cut(toks.join(words, "term", "left_semi"))
+    longest = asked.agg(F.max(F.size("phrase"))).first()[0] or 0
+    reached, ended = None, None
+    for i in range(longest):
+        term = asked.where(F.size("phrase") > i).select("_id", F.element_at("phrase", i + 1).alias("term"))
+        here = places.join(small(term), "term").select("_id", key, "_at")
+        if reached is not None:
+            before = reached.withColumnRenamed("_at", "_before")
+            here = here.join(before, ["_id", key]).where(F.col("_at").between(F.col("_before") + 1, F.col("_before") + 1 + slop)).select("_id", key, "_at").distinct()
+        reached = here
+        done = reached.join(small(asked.where(F.size("phrase") == i + 1).select("_id")), "_id", "left_semi").select("_id", key).distinct()
+        ended = done if ended is None else ended.unionByName(done)
+    if ended is None:
+        return asked.drop("_id").join(index.select(key).limit(0), F.lit(False))
+    return asked.join(ended, "_id").drop("_id")
+
+
+def with_phrases(scored: DataFrame, found: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """scored (query_id, key, score) with the boosts of the phrases found (query_id, key, boost) added; a text that only phrases found counts too."""
+    extra = found.groupBy("query_id", key).agg(F.sum("boost").alias("_boost"))
+    both = scored.join(extra, ["query_id", key], "full_outer")
+    return both.select("query_id", key, F.round(F.coalesce("score", F.lit(0.0)) + F.coalesce("_boost", F.lit(0.0)), 6).alias("score"))

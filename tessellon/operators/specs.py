@@ -125,3 +125,28 @@ def fill_empty(filled: DataFrame, known: DataFrame, key: list[str]) -> DataFrame
     both = a.join(b, key, "full_outer")
     merged = F.map_zip_with(F.coalesce("_a", none), F.coalesce("_b", none), lambda k, x, y: F.when((x.isNull()) | (x == ""), F.coalesce(y, x)).otherwise(x))
     return both.select(*key, merged.alias("params"), F.greatest("_ca", "_cb").alias("confidence"))
+
+
+def formatted(specs: DataFrame, first: list[str]) -> DataFrame:
+    """(category, text): a category's models numbered by series, parameters with a value only, those of `first` before the others, the rest by name."""
+    w = Window.partitionBy("category", "series").orderBy("model")
+    shown = F.filter(F.col("shown"), lambda s: s["value"] != "")
+    line = F.concat(F.col("n").cast("string"), F.lit(". "), F.col("model"), F.lit(": "), F.array_join(F.transform(shown, lambda s: F.concat(s["name"], F.lit(" "), s["value"])), "; "))
+    rows = required_first(specs, first).withColumn("n", F.row_number().over(w)).select("category", "series", "n", line.alias("line"))
+    by_series = rows.groupBy("category", "series").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]), "\n").alias("lines"))
+    block = F.concat(F.lit("### "), F.coalesce("series", F.lit("")), F.lit("\n"), F.col("lines"))
+    texts = by_series.groupBy("category").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("series", block.alias("block")))), lambda s: s["block"]), "\n").alias("blocks"))
+    return texts.select("category", F.concat(F.lit("## "), F.col("category"), F.lit("\n"), F.col("blocks")).alias("text"))
+
+
+def entries_of(raw: DataFrame) -> DataFrame:
+    """(kind, name, n) of two-level specifications (category, entries), entries being a list of (name, count) or a map of names to counts."""
+    if dict(raw.dtypes)["entries"].startswith("map"):
+        return raw.select(F.col("category").alias("kind"), F.explode("entries").alias("name", "n"))
+    return raw.select(F.col("category").alias("kind"), F.explode("entries").alias("e")).select("kind", "e.name", F.col("e.count").alias("n"))
+
+
+def counted_names(entries: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(kind, name, n, position): entries of some names, or of all, the largest count of a kind first."""
+    rows = entries.where(F.col("name").isin(names)) if names is not None else entries
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "name")) - 1)

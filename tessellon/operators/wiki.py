@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellon.functions import text as X
+from tessellon.plans.lineage import cut
 
 # Types of pages.
 PAGE_TYPES = ["source", "entity", "concept", "comparison", "synthesis", "query", "overview"]
@@ -124,3 +125,35 @@ def parsed(pages: DataFrame) -> DataFrame:
     """pages (path, text) as (path, kind, title, tags, related, sources, body); an unknown kind is null."""
     kind = X.front_value("text", "type")
     return pages.select("path", F.when(kind.isin(PAGE_TYPES), kind).alias("kind"), X.front_value("text", "title").alias("title"), *[X.front_list("text", k).alias(k) for k in ("tags", "related", "sources")], X.page_body("text").alias("body"))
+
+
+def write_rule(path: Column | str) -> Column:
+    """How a page that a model wrote goes into the wiki: an index or log page is appended to, an overview replaced, others merged."""
+    name = F.regexp_extract(X.col(path), "([^/]*)$", 1)
+    return F.when(name.isin("index.md", "log.md"), "append").when(name == "overview.md", "replace").otherwise("merge")
+
+
+def take_in(pages: DataFrame, written: DataFrame, combine: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
+    """pages (path, text) after the pages that replies wrote (path, text), each by its write_rule."""
+    ruled = written.where("path <> '' and text <> ''").withColumn("rule", write_rule("path"))
+    merged = merge_pages(pages, ruled.where("rule = 'merge'").select("path", "text"), combine)
+    added = ruled.where("rule = 'append'").groupBy("path").agg(F.array_join(F.sort_array(F.collect_set("text")), "\n").alias("_more"))
+    over = ruled.where("rule = 'replace'").groupBy("path").agg(F.max("text").alias("_over"))
+    both = merged.join(added, "path", "full_outer").join(over, "path", "full_outer")
+    longer = F.when(F.col("text").isNotNull() & F.col("_more").isNotNull(), F.concat(F.regexp_replace("text", "\\n+\\z", ""), F.lit("\n"), F.col("_more")))
+    return both.select("path", F.coalesce("_over", longer, "text", "_more").alias("text"))
+
+
+def ingest_sources(pages: DataFrame, sources: list[tuple[str, str]], ask: Callable[[str, str, dict[str, str]], str], done: set[str] = frozenset()) -> tuple[DataFrame, list[str]]:
+    """(pages, names): the wiki after sources (name, text), one after another as each sees what those before it wrote; those in `done` are passed over. ask(name, text, known index lines) replies with FILE blocks. A source is one reply, so this loop grows with the sources, not with the wiki."""
+    spark = pages.sparkSession
+    taken = []
+    for name, text in sources:
+        if name in done:
+            continue
+        known = {r["path"]: r["text"] for r in pages.where(write_rule("path") == "append").toLocalIterator()}
+        made = parse_files(ask(name, text, known))
+        log = [("log.md", f"- [ingest] {name}")]
+        pages = cut(take_in(pages, spark.createDataFrame([*made, *log], "path string, text string")))
+        taken.append(name)
+    return pages, taken

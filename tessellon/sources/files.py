@@ -97,11 +97,64 @@ def _docx_to_markdown(data: bytes) -> str:
     return "\n\n".join(x for x in lines if x)
 
 
+def _pptx_to_markdown(data: bytes) -> str:
+    import xml.etree.ElementTree as ET
+
+    a = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+    out = []
+    with zipfile.ZipFile(io.BytesIO(repair_zip(data))) as z:
+        slides = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
+        for no, name in slides:
+            lines = ["".join(t.text or "" for t in p.iter(f"{a}t")).strip() for p in ET.fromstring(z.read(name)).iter(f"{a}p")]
+            lines = [x for x in lines if x]
+            out.append(f"# {lines[0]}" if lines else f"# {no}")
+            out += lines[1:]
+    return "\n\n".join(out)
+
+
+def _xlsx_to_markdown(data: bytes) -> str:
+    import xml.etree.ElementTree as ET
+
+    m = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(repair_zip(data))) as z:
+        names = z.namelist()
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in si.iter(f"{m}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{m}si")]
+        titles = [s.get("name") for s in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{m}sheet")] if "xl/workbook.xml" in names else []
+        sheets = sorted((int(k[1]), n) for n in names if (k := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
+        out = []
+        for i, (_, name) in enumerate(sheets):
+            rows = []
+            for row in ET.fromstring(z.read(name)).iter(f"{m}row"):
+                cells: dict[int, str] = {}
+                for c in row.iter(f"{m}c"):
+                    at = 0
+                    for letter in re.match("[A-Z]*", c.get("r") or "")[0]:
+                        at = at * 26 + ord(letter) - 64
+                    v, inline = c.find(f"{m}v"), c.find(f"{m}is")
+                    text = "".join(t.text or "" for t in inline.iter(f"{m}t")) if inline is not None else (v.text or "" if v is not None else "")
+                    if c.get("t") == "s" and text:
+                        text = shared[int(text)]
+                    cells[at - 1 if at else len(cells)] = " ".join(text.split()).replace("|", "\\|")
+                if any(cells.values()):
+                    rows.append(cells)
+            if not rows:
+                continue
+            width = max(max(r) for r in rows) + 1
+            line = lambda r: "| " + " | ".join(r.get(j, "") for j in range(width)) + " |"
+            title = titles[i] if i < len(titles) else str(i + 1)
+            out.append("\n".join([f"## {title}", "", line(rows[0]), "|" + " --- |" * width, *map(line, rows[1:])]))
+    return "\n\n".join(out)
+
+
 #: Converters by format, in the order in which they are tried; callers add their own for formats that need outside programs.
 CONVERTERS: dict[str, list[Callable[[bytes], str]]] = {
     "md": [lambda b: b.decode("utf-8-sig", "replace")],
     "csv": [_csv_to_markdown],
     "docx": [_docx_to_markdown],
+    "pptx": [_pptx_to_markdown],
+    "xlsx": [_xlsx_to_markdown],
 }
 
 
