@@ -21,34 +21,51 @@ from pyspark.sql import functions as F
 
 from tessellon.llm.tokens import IGNORABLE
 
-# Letters of the Greek and Cyrillic scripts that look like the Latin letter under them.
-EXACT = dict(zip(
-    "АВЕКМНОРСТУХЅІЈаеорсухѕіјһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧο",
-    "ABEKMHOPCTYXSIJaeopcyxsijhdqwABEZHIKMNOPTYXo",
-))
-# Letters that only resemble the Latin one; considered inside tokens that hold other Latin letters.
-NEAR = dict(zip("ανρυικкткгпцьпҮҒγτϲϳɑɡı", "avpuikktkrnybnYFytcjagi"))
+# Letters of several scripts that look the same; of each group the Latin one comes first.
+GROUPS = (
+    "AАΑᎪ", "BВΒᏴ", "CСϹᏟ", "EЕΕᎬ", "HНΗᎻ", "IІΙӀ", "JЈᎫ", "KКΚᏦ", "LᏞ", "MМΜᎷ", "NΝ", "OОΟՕ", "PРΡᏢ", "SЅՏᏚ", "TТΤᎢ", "UՍ", "VѴᏙ", "WԜᎳ", "XХΧ", "YҮΥУ", "ZΖᏃ",
+    "aа", "cсϲ", "dԁ", "eе", "gց", "hһհ", "iі", "jјϳ", "lӏ", "nո", "oоοօ", "pр", "qԛզ", "sѕ", "uս", "vѵ", "wԝ", "xх", "yу", "GԌᏀ",
+)
+# Letters that only resemble each other; considered inside tokens that mix scripts.
+RESEMBLING = ("aαɑ", "vν", "pρ", "uυ", "iιı", "kкκ", "tтτ", "rг", "nпц", "bь", "FҒ", "yγү", "gɡԍ", "xχ", "eє")
+# Latin letters that look like usual Greek or Cyrillic ones, so that they are no evidence of their script.
+SHARED = "aceiopsxyjvABCEHIJKMNOPSTXYZ"
+#: Letters of other scripts with the Latin one that looks the same.
+EXACT = {c: g[0] for g in GROUPS for c in g[1:]}
+ALIKE: dict[str, str] = {}
+for _g in GROUPS:
+    ALIKE |= {c: _g.replace(c, "") for c in _g}
+NEAR: dict[str, str] = {}
+for _g in RESEMBLING:
+    for _c in _g:
+        NEAR[_c] = NEAR.get(_c, "") + _g.replace(_c, "")
 #: Compatibility forms that look like what they stand for.
 _SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<compat>", "<noBreak>")
 _SPACES = "               　"
 #: Texts without any of these are in their form already but for compatibility punctuation.
 SUSPECT = "[^\\x00-\\x7e\\u4e00-\\u9fff\\u3001\\u3002\\u300a-\\u3011\\uff08\\uff09\\uff0c\\uff1a\\uff1b\\uff01\\uff1f\\u2014\\u2018\\u2019\\u201c\\u201d\\u2026]"
-#: Log price of a change of script inside a token and of taking a letter for another.
-SCRIPT_CHANGE, SUBSTITUTION = 7.0, 1.0
+#: Log prices: a change of script inside a token, taking a letter for another, for one that only resembles it; leaving the one script that all of a token is written in; a script that nothing else in the text is written in.
+SCRIPT_CHANGE, SUBSTITUTION, RESEMBLANCE, LEAVING, STRANGER = 7.0, 1.0, 2.0, 4.0, 9.0
 _EDGE = "\x02"
 
 
 def _script(c: str) -> str:
+    """The script of a letter: l, g, c, a for Armenian, k for Cherokee."""
     o = ord(c)
     if 0x370 <= o <= 0x3FF or 0x1F00 <= o <= 0x1FFF:
         return "g"
     if 0x400 <= o <= 0x52F:
         return "c"
+    if 0x530 <= o <= 0x58F:
+        return "a"
+    if 0x13A0 <= o <= 0x13FF:
+        return "k"
     return "l"
 
 
-#: Letters of the scripts that the lattice knows.
-TOKEN = re.compile("[A-Za-zÀ-ɏɐ-ʯͰ-ϿЀ-ԯḀ-῿]+")
+_LETTER = "A-Za-zÀ-ɏɐ-ʯͰ-ϿЀ-ԯ԰-֏Ꭰ-ᏽḀ-῿"
+#: Tokens of letters of the scripts that the lattice knows.
+TOKEN = re.compile(f"[{_LETTER}]+")
 
 
 def stands_in(c: str) -> str | None:
@@ -95,20 +112,36 @@ class Scores:
         return s
 
 
-def token_form(token: str, scores: Scores) -> str:
-    """The best path through the token's lattice."""
-    latin = any(_script(c) == "l" for c in token)
+def scripts_of(text: str) -> frozenset[str]:
+    """The scripts of which the text has letters that look like those of no other."""
+    return frozenset(_script(c) for c in set(text) if c.isalpha() and ord(c) < 0x2000 and (c not in SHARED if c.isascii() else c not in ALIKE and c not in NEAR))
+
+
+def in_doubt(token: str) -> bool:
+    """Whether any letter of the token could stand for another: those of other scripts, those of mixed tokens."""
+    scripts = {_script(c) for c in token}
+    if len(scripts) > 1:
+        return any(c in ALIKE or c in NEAR for c in token)
+    return any(c in EXACT for c in token)
+
+
+def token_form(token: str, scores: Scores, known: frozenset[str] = frozenset()) -> str:
+    """The best path through the token's lattice: each letter as it stands or as a look-alike, under the pair scores, a price for each change of script, and the scripts `known` from the rest of the text."""
+    scripts = {_script(c) for c in token}
+    own = next(iter(scripts)) if len(scripts) == 1 else ""
     paths: list[tuple[float, str]] = [(0.0, "")]
     for c in token:
-        options = [(c, 0.0)]
-        if c in EXACT:
-            options.append((EXACT[c], SUBSTITUTION))
-        elif c in NEAR and latin and len(token) > 1:
-            options.append((NEAR[c], 2 * SUBSTITUTION))
+        options = [(c, 0.0)] + [(o, SUBSTITUTION) for o in ALIKE.get(c, "")]
+        if not own and len(token) > 1:
+            options += [(o, RESEMBLANCE) for o in NEAR.get(c, "")]
         best: dict[str, tuple[float, str]] = {}
         for value, path in paths:
             for o, price in options:
                 s = value + scores.step(path[-1] if path else _EDGE, o) - price
+                if not path:
+                    # a script that the text uses nowhere else, or that is not the token's, is unlikely from the start
+                    s -= STRANGER if known and _script(o) not in known else 0.0
+                    s -= LEAVING if own and _script(o) != own and (not known or own in known) else 0.0
                 if o not in best or s > best[o][0]:
                     best[o] = (s, path + o)
         paths = list(best.values())
@@ -121,7 +154,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size = 0x2000
         letter = np.zeros(0x110000, bool)
-        letter[[i for i in range(size) if TOKEN.match(chr(i))]] = True
+        letter[[i for i in range(size) if re.match(f"[{_LETTER}]", chr(i))]] = True
         for p in batches:
             joined = "\n" + "\n".join(p["text"]).translate(dict.fromkeys(map(ord, IGNORABLE)))
             joined = unicodedata.normalize("NFKC", joined).lower() + "\n"
@@ -141,6 +174,10 @@ def learn(rows: DataFrame) -> Scores:
     return Scores({r["pair"]: r["n"] for r in pair_counts(rows).toLocalIterator()})
 
 
+#: What a text must hold for any of its tokens to be in doubt.
+_DOUBT = re.compile(f"[{''.join(c for c in EXACT)}{''.join(c for c in NEAR if not c.isascii())}]")
+
+
 def form_of(text: str, scores: Scores) -> tuple[str, list[str]]:
     """(form, kinds of stand-ins found) of a text."""
     kinds = {k for c in set(text) if (k := stands_in(c))}
@@ -148,8 +185,9 @@ def form_of(text: str, scores: Scores) -> tuple[str, list[str]]:
     if any(unicodedata.combining(c) for c in seen) and unicodedata.normalize("NFC", seen) != seen:
         kinds.add("combining")
     form = unicodedata.normalize("NFKC", seen)
-    if any(c in EXACT or c in NEAR for c in set(form)):
-        fixed = TOKEN.sub(lambda m: token_form(m[0], scores) if any(c in EXACT or c in NEAR for c in m[0]) else m[0], form)
+    if _DOUBT.search(form):
+        known = scripts_of(form)
+        fixed = TOKEN.sub(lambda m: token_form(m[0], scores, known) if in_doubt(m[0]) else m[0], form)
         if fixed != form:
             kinds.add("look_alike")
             form = fixed

@@ -202,6 +202,26 @@ def test_forms_of_look_alikes(spark):
         glyphs.forms(df.withColumn("form", F.lit("")))
 
 
+def test_look_alikes_go_both_ways():
+    words = {"the love good value ocean apple cop code mode note see come one people world copper corner cow scope":  20, "москва вода сор город слово море небо река лес дорога скорость гора сок нос рост кот мост вор собор": 20}
+    counts = {}
+    for text, n in words.items():
+        for w in text.split():
+            for p in zip("\x02" + w, w + "\x02"):
+                counts["".join(p)] = counts.get("".join(p), 0) + n
+    scores = glyphs.Scores(counts)
+    form = lambda t: glyphs.form_of(t, scores)[0]
+    # Latin letters in Russian words
+    assert form("М\u006fсква") == "Москва" and form("м\u006f\u0063ква") == "москва" and form("в\u006fда") == "вода"
+    # whole words of either script stay
+    assert form("сор") == "сор" and form("cop") == "cop" and form("большой сор в городе") == "большой сор в городе"
+    # letters of Armenian, Cherokee and Cyrillic in English words
+    assert form("\u0585cean") == "ocean" and form("\u13aapple") == "Apple" and form("\u0475alue") == "value" and form("\u050dood") == "good"
+    # a word of look-alikes alone in an English text
+    assert form("the good people see the \u0441\u043e\u0440") == "the good people see the cop"
+    assert form("NX10 a1 Detidra12 α-particle 957b51cc0a11be") == "NX10 a1 Detidra12 α-particle 957b51cc0a11be"
+
+
 # --- scans ------------------------------------------------------------------
 
 
