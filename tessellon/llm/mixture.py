@@ -10,6 +10,7 @@ sample is a filter on the hash, never a sort of the texts.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,24 +20,32 @@ from pyspark.sql import functions as F
 from tessellon.plans.lineage import cut, is_small
 
 
-def default_tokenizer() -> str:
-    """The place of a public byte-level BPE vocabulary for many languages."""
-    return "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Where public vocabularies lie, unless a caller or TESSELLON_TOKENIZERS says otherwise; the one taken is a byte-level BPE for many languages.
+FOLDER, RANKS = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
+# Fixed value: the pattern that parts a text before the merges of that vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def count_tokens(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """rows (text string and others) with n_tokens bigint instead of text; a null text has 0 tokens. Special tokens' strings are ordinary text."""
-    path = vocabulary or default_tokenizer()
+def default_vocabulary() -> str:
+    return os.path.join(os.environ.get("TESSELLON_TOKENIZERS", FOLDER), RANKS)
+
+
+def count_tokens(rows: DataFrame, vocabulary: str | None = None, pattern: str = PATTERN) -> DataFrame:
+    """rows (text string and others) with n_tokens bigint instead of text; a null text has 0 tokens. Special tokens' strings are ordinary text.
+
+    vocabulary: a file of ranks on the driver's machine, which goes to the
+    executors with the job; pattern: what parts a text before the merges.
+    """
+    with open(vocabulary or default_vocabulary(), "rb") as f:
+        kept = rows.sparkSession.sparkContext.broadcast(f.read())
     keep = [c for c in rows.columns if c != "text"]
     schema = rows.drop("text").schema.add("n_tokens", "long")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("mixture", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in kept.value.splitlines() if line)}
+        encoding = tiktoken.Encoding("mixture", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for p in batches:
             yield p[keep].assign(n_tokens=[len(encoding.encode_ordinary(t)) if t else 0 for t in p["text"]])
 
@@ -95,13 +104,15 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     raise AssertionError("no level")
 
 
-def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """(source, target_share, wanted_share, max_repeats, available, budget): the tokens each listed source is to give.
+def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, total_share: float | None = None) -> DataFrame:
+    """(source, target_share, wanted_share, max_repeats, available, budget, binds): the tokens each listed source is to give.
 
     wanted_share is target_share rescaled over the sources that have text.
-    Without total_tokens the mixture is as large as it can be with every such
-    source at its wanted share; with it, a source that can't give its part
-    gives all it may.
+    Without a stated total the mixture is as large as it can be with every
+    such source at its wanted share. total_tokens states it in tokens,
+    total_share as a part of the tokens that the listed sources have; a source
+    that can't give its part then gives all it may. binds: whether max_repeats
+    keeps the source from giving more.
     """
     have = sized.groupBy("source").agg(F.sum("n_tokens").alias("available"))
     rows = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).join(have, "source", "left")
@@ -110,26 +121,32 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     whole = Window.partitionBy()  # one row for each listed source
     rows = rows.withColumn("wanted_share", F.when(able, F.try_divide(F.col("target_share"), F.sum(F.when(able, F.col("target_share"))).over(whole))).otherwise(0.0))
     cap = F.col("available") * F.col("max_repeats")
-    size = F.lit(float(total_tokens)) if total_tokens is not None else F.min(F.when(able, cap / F.col("wanted_share"))).over(whole)
-    rows = rows.withColumn("size", size)
-    return rows.withColumn("budget", F.when(able, F.least(cap, F.floor(F.col("size") * F.col("wanted_share") + 1e-6))).otherwise(0).cast("bigint")).drop("size")
-
-
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    if total_tokens is not None:
+        size = F.lit(float(total_tokens))
+    elif total_share is not None:
+        size = F.sum(F.when(able, F.col("available"))).over(whole) * F.lit(float(total_share))
+    else:
+        size = F.min(F.when(able, cap / F.col("wanted_share"))).over(whole)
+    part = F.floor(F.col("size") * F.col("wanted_share") + 1e-6)
+    rows = rows.withColumn("size", size).withColumn("budget", F.when(able, F.least(cap, part)).otherwise(0).cast("bigint"))
+    return rows.withColumn("binds", F.coalesce(able & (part >= cap), F.lit(False))).drop("size")
+
+
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, total_share: float | None = None, vocabulary: str | None = None, pattern: str = PATTERN, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(uses, shares) of a mixture of documents (doc_id, source, text) by targets (source, target_share, max_repeats).
 
     uses: (doc_id, source, n_tokens, uses): the texts taken and how often.
-    shares: one row for each listed source, also those without text.
+    shares: one row for each listed source, also those without text; see plan.
     A text that stands under several doc_ids counts once, with its smallest
     doc_id of a listed source, so that no text is used more than max_repeats
     times. Null and empty texts, null and unlisted sources give nothing.
     """
     listed = targets.where("source is not null").select("source").distinct()
     rows = documents.where("text <> '' and source is not null and doc_id is not null").join(_by_source(listed), "source", "left_semi")
-    counted = count_tokens(rows.select("doc_id", "source", F.sha2("text", 256).alias("key"), "text"))
+    counted = count_tokens(rows.select("doc_id", "source", F.sha2("text", 256).alias("key"), "text"), vocabulary, pattern)
     once = counted.groupBy("key").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("m")).select("m.*")
     sized = cut(once.where("n_tokens > 0").withColumn("h", F.xxhash64("doc_id", F.lit(seed))))
-    wanted = cut(plan(sized, targets, total_tokens))
+    wanted = cut(plan(sized, targets, total_tokens, total_share))
     base = wanted.select("source", F.when(F.col("available") > 0, F.floor(F.try_divide(F.col("budget"), F.col("available")))).otherwise(0).cast("int").alias("q"), "budget", "available")
     base = cut(base.withColumn("budget", F.col("budget") - F.col("q") * F.col("available")))
     below = thresholds(sized.select("source", "h", "n_tokens"), base.select("source", "budget"))
@@ -138,5 +155,5 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     uses = uses.withColumn("uses", F.col("q") + (last < F.col("below")).cast("int")).where("uses > 0").select("doc_id", "source", "n_tokens", "uses")
     got = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mixed_tokens"), F.count("*").alias("n_texts"), F.max("uses").alias("most_uses"))
     shares = wanted.join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
-    shares = shares.select("source", "target_share", "wanted_share", F.try_divide(F.col("mixed_tokens"), F.sum("mixed_tokens").over(Window.partitionBy())).alias("actual_share"), "max_repeats", "available", "budget", "mixed_tokens", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
+    shares = shares.select("source", "target_share", "wanted_share", F.try_divide(F.col("mixed_tokens"), F.sum("mixed_tokens").over(Window.partitionBy())).alias("actual_share"), "max_repeats", "available", "budget", "binds", "mixed_tokens", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
     return uses, shares

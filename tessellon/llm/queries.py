@@ -143,6 +143,11 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(table(spark, folder, "documents").select("doc_id", "source", "text"), table(spark, folder, "mix_targets"))[1]
 
 
+def p9_whole_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares reached when the mixture is to hold as many tokens as the listed sources have: small sources are repeated as often as they may be."""
+    return mixture.mix(table(spark, folder, "documents").select("doc_id", "source", "text"), table(spark, folder, "mix_targets"), total_share=1.0)[1]
+
+
 def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The part of each document's sentences that deals with each area."""
     return subjects.area_shares(table(spark, folder, "documents"), table(spark, folder, "subject_areas"), table(spark, folder, "area_labels"))
@@ -160,7 +165,7 @@ def p10_make_up(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_groups": p4_groups, "p4_similar_documents": p4_similar_documents, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_uses": p9_uses, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares, "p10_make_up": p10_make_up}
+    return {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_groups": p4_groups, "p4_similar_documents": p4_similar_documents, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_uses": p9_uses, "p9_shares": p9_shares, "p9_whole_shares": p9_whole_shares, "p10_found": p10_found, "p10_shares": p10_shares, "p10_make_up": p10_make_up}
 
 
 _GROUPS = """WITH RECURSIVE m AS (SELECT standard_name AS a, c.alias AS b FROM (SELECT standard_name, unnest(candidate_aliases) AS c FROM alias_candidates)),

@@ -316,7 +316,14 @@ def test_mixture_meets_its_shares(spark):
     ids = [r["doc_id"] for r in uses.collect()]
     assert len(ids) == len(set(ids)) and not {5000, 5001, 5002, 5003, 5004} & set(ids)
     _, fixed = mixture.mix(spark.createDataFrame(docs, "doc_id bigint, source string, text string"), targets, total_tokens=10**9)
-    assert {r["source"]: r["most_uses"] for r in fixed.collect()} == {"a": 1, "b": 2, "c": 4, "gone": 0}
+    got = {r["source"]: r for r in fixed.collect()}
+    assert {k: r["most_uses"] for k, r in got.items()} == {"a": 1, "b": 2, "c": 4, "gone": 0} and {k: r["binds"] for k, r in got.items()} == {"a": True, "b": True, "c": True, "gone": False}
+    assert [k for k, r in s.items() if r["binds"]] == ["c"] or sum(r["binds"] for r in s.values()) >= 1
+    uses, half = mixture.mix(spark.createDataFrame(docs, "doc_id bigint, source string, text string"), targets, total_share=0.5)
+    h = {r["source"]: r for r in half.collect()}
+    assert abs(sum(r["mixed_tokens"] for r in h.values()) - 0.5 * sum(h[k]["available"] for k in "abc")) < 0.05 * sum(h[k]["available"] for k in "abc") or any(r["binds"] for r in h.values())
+    # no text is used more often than its source may be
+    assert all(r["uses"] <= {"a": 1, "b": 2, "c": 4}[r["source"]] for r in uses.collect())
 
 
 def test_mixture_of_nothing(spark):
