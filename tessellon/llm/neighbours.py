@@ -1,12 +1,14 @@
 """Most similar vectors for every vector, by randomly rotated one-bit codes.
 
-Unit vectors are spread over cells (nearest centroids of a bounded sample);
-inside a cell each vector has one sign bit for every coordinate of its
-randomly rotated residual, packed into bytes, and two scalars: the residual's
-length and the inner product of its direction with its code. From those the
-inner product of a query with every member is estimated together with a bound
-on the error; only members whose upper bound reaches what is asked for are
-reranked by their exact cosine.
+Unit vectors are spread over cells (nearest centroids of a bounded sample).
+Where a vector is placed it is given its code once: one sign bit for every
+coordinate of its randomly rotated residual, packed into machine words, and
+scalars: the residual's length and the vector's product with the centroid.
+The code travels with the vector in half precision. In a cell the XOR
+population count of two codes estimates their inner product together with a
+bound on the error; pairs whose upper bound reaches what is asked for are
+compared in half precision, and those that this leaves in doubt, beside the
+threshold or the last of the k, are reranked by their exact cosine.
 
 Equal vectors form one class with one representative; only representatives
 are searched, and copies take part through their class.
@@ -22,10 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellon.plans.lineage import cut
+from tessellon.plans.lineage import cut, is_small
 
-#: Rows of which the centroids are fitted at most.
-SAMPLE = 20_000
+#: Rows of which the centroids are fitted at most, and centroids above which cells are looked up in two levels.
+SAMPLE, FLAT = 100_000, 2_048
+#: What a cosine of vectors in half precision can be off by: both are rounded by 2**-11 of each part at most.
+HALF = 2.0**-10
 
 
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
@@ -58,52 +62,83 @@ def _rotation(dim: int, seed: int) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
-class Codes:
-    """One-bit codes of the residuals of unit vectors against a centroid."""
-
-    def __init__(self, x: np.ndarray, centre: np.ndarray, rotation: np.ndarray, rows: np.ndarray | None = None):
-        residual = (x - centre) @ rotation
-        self.length = np.linalg.norm(residual, axis=1)
-        direction = residual / np.maximum(self.length, 1e-12)[:, None]
-        d = x.shape[1]
-        self.bits = np.packbits(direction > 0, axis=1)
-        self.inner = np.abs(direction).sum(1) / math.sqrt(d)
-        self.direction, self.d = direction, d
-
-
-def _similar(own: np.ndarray, x: np.ndarray, centre: np.ndarray, rotation: np.ndarray, at_least: float, sure: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query row, member row, cosine) for pairs of rows of x with a cosine of at_least; queries are the rows `own`."""
-    codes = Codes(x, centre, rotation)
-    d = codes.d
-    signs = (np.unpackbits(codes.bits, axis=1, count=d).astype(np.float32) * 2 - 1) / math.sqrt(d)
-    to_centre = x @ centre
-    # what the estimate can miss, per member: grows as the code is worse aligned
-    miss = sure * np.sqrt(np.maximum(0, 1 - codes.inner**2)) / (codes.inner * math.sqrt(d - 1))
-    scaled = (signs / codes.inner[:, None]).T * codes.length
-    slack = miss * codes.length
-    block = 512
+class Cells:
+    """Centroids in one or two levels, and the one-bit codes of residuals against them."""
+
+    def __init__(self, sample: np.ndarray, cells: int, seed: int):
+        # k-means over a part of the sample that grows with the number of cells
+        self.centres = _centroids(sample[: max(16 * cells, 4_096)], cells, seed, steps=6 if cells <= FLAT else 2)
+        self.rotation = _rotation(sample.shape[1], seed)
+        self.above = _centroids(self.centres, int(math.sqrt(cells)), seed) if cells > FLAT else None
+        if self.above is not None:
+            self.of = (self.centres @ self.above.T).argmax(1)
+            self.inside = [np.nonzero(self.of == i)[0] for i in range(len(self.above))]
+
+    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The n nearest cells of each row of x, nearest first."""
+        if self.above is None:
+            near = x @ self.centres.T
+            top = np.argpartition(-near, n - 1, axis=1)[:, :n]
+            return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
+        # a row's cells lie under one of the four groups of cells nearest to it
+        groups = np.argpartition(-(x @ self.above.T), 3, axis=1)[:, :4]
+        best = np.full((len(x), n), -1, np.int64)
+        value = np.full((len(x), n), -2.0, np.float32)
+        for g in np.unique(groups):
+            rows, own = np.nonzero((groups == g).any(1))[0], self.inside[g]
+            if not len(own):
+                continue
+            near = x[rows] @ self.centres[own].T
+            ids = np.concatenate([best[rows], np.broadcast_to(own, near.shape)], 1)
+            near = np.concatenate([value[rows], near], 1)
+            top = np.argsort(-near, axis=1, kind="stable")[:, :n]
+            best[rows], value[rows] = np.take_along_axis(ids, top, 1), np.take_along_axis(near, top, 1)
+        return np.where(best < 0, best[:, :1], best)
+
+    def codes(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sign bits of the rotated residuals in words, residuals' lengths, products with the centroids)."""
+        c = self.centres[cell]
+        residual = x - c
+        bits = np.packbits(residual @ self.rotation > 0, axis=1)
+        if short := -bits.shape[1] % 8:
+            bits = np.pad(bits, ((0, 0), (0, short)))
+        return bits.view(np.int64), np.linalg.norm(residual, axis=1).astype(np.float32), np.einsum("ij,ij->i", x, c).astype(np.float32)
+
+
+def _similar(own: np.ndarray, x: np.ndarray, bits: np.ndarray, length: np.ndarray, product: np.ndarray, square: float, at_least: float, sure: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query row, member row, cosine in half precision) for pairs of rows of x whose cosine may be at_least; queries are the rows `own`. square: the centroid's with itself."""
+    d = x.shape[1]
+    # cosine of the residuals' angle by the number of different bits, and the most it may be, `sure` deviations of that number away
+    n = np.arange(d + 1)
+    spread = sure * np.sqrt(np.maximum(n * (d - n), d / 4) / d)
+    most = np.cos(np.pi * np.maximum(n - spread, 0) / d).astype(np.float32)
+    words = bits.view(np.uint64)
+    block = max(1, 4_000_000 // max(len(x), 1))
     for start in range(0, len(own), block):
         q = own[start : start + block]
+        differ = np.zeros((len(q), len(x)), np.uint8 if d < 256 else np.uint16)
+        for w in range(words.shape[1]):
+            differ += np.bitwise_count(words[q, w][:, None] ^ words[None, :, w])
         # <q, x> = <q-c, x-c> + <q, c> + <x, c> - <c, c>
-        estimate = (codes.direction[q] * codes.length[q][:, None]) @ scaled
-        rest = to_centre[q][:, None] + to_centre[None, :] - float(centre @ centre)
-        i, j = np.nonzero(estimate + codes.length[q][:, None] * slack[None, :] + rest >= at_least)
+        bound = most[differ] * length[q][:, None] * length[None, :]
+        bound += (product[q] - square + HALF)[:, None] + product[None, :]
+        i, j = np.nonzero(bound >= at_least)
         keep = q[i] != j
         i, j = q[i[keep]], j[keep]
-        cos = np.einsum("ij,ij->i", x[i].astype(np.float64), x[j].astype(np.float64))
-        hit = cos >= at_least
+        cos = np.einsum("ij,ij->i", x[i], x[j])
+        hit = cos >= at_least - HALF
         yield i[hit], j[hit], cos[hit]
 
 
-def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least: float, k: int, cell_rows: int = 400, probes: int = 3, sure: float = 4.0, seed: int = 7) -> DataFrame:
+def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least: float, k: int, cell_rows: int = 400, probes: int = 5, sure: float = 3.0, seed: int = 7) -> DataFrame:
     """(a, b, cos): for every row of reps (rep, vec: distinct vectors) its k nearest others, as far as their cosine is at_least.
 
     seen (id, vec) are rows of the same collection, of which centroids are
     fitted (SAMPLE at most) and cells counted; n is about their number. Cells
-    hold about cell_rows vectors; every vector is a member of its `probes`
-    nearest cells and asks in its nearest one. A cell that has far more rows
-    than that is searched in several tasks, each holding a slice of the
-    queries and of the members.
+    hold about cell_rows vectors until SAMPLE centroids are reached; every
+    vector is a member of its `probes` nearest cells and asks in its nearest
+    one. A cell that has far more rows than that is searched in several tasks,
+    each holding a slice of the queries and of the members.
     """
     spark = reps.sparkSession
     schema = "a bigint, b bigint, cos double"
@@ -114,20 +149,16 @@ def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least
     if n < 2 or not len(picked):
         return spark.createDataFrame([], schema)
     sample = _matrix(picked["vec"])
-    cells = int(min(len(sample), max(1, min(n / cell_rows, 2 * math.sqrt(n)))))
-    centres = _centroids(sample, cells, seed)
-    rotation = _rotation(dim, seed)
+    cells = int(min(len(sample), max(1, n / cell_rows)))
+    index = Cells(sample, cells, seed)
+    kept = spark.sparkContext.broadcast(index)
     probes = min(probes, cells)
 
-    def nearest(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        near = _matrix(p["vec"]) @ centres.T
-        return np.argpartition(-near, probes - 1, axis=1)[:, :probes], near.argmax(1)
-
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = np.zeros(cells, np.int64)
         for p in batches:
             if len(p):
-                sizes += np.bincount(nearest(p)[0].ravel(), minlength=cells)
+                sizes += np.bincount(kept.value.nearest(_matrix(p["vec"]), probes).ravel(), minlength=cells)
         yield pd.DataFrame({"cell": np.arange(cells), "n": sizes})
 
     # a crowded cell becomes a grid of tasks: slices of its queries times slices of its members
@@ -135,40 +166,69 @@ def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least
     counts = seen.select("vec").mapInPandas(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # one number for each cell
     slices = np.ones(cells, np.int64)
     slices[counts["cell"]] = np.maximum(1, -(-counts["n"] // slice_rows))
+    code = ", ".join(f"w{i} bigint" for i in range(-(-dim // 64)))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if not len(p):
                 continue
-            top, best = nearest(p)
-            own = top == best[:, None]
+            x = _matrix(p["vec"])
+            near = kept.value.nearest(x, probes)
+            half = [v.tobytes() for v in x.astype(np.float16)]
             for i in range(probes):
-                yield pd.DataFrame({"cell": top[:, i], "slices": slices[top[:, i]], "own": own[:, i], "rep": p["rep"].to_numpy(), "vec": p["vec"].to_numpy()})
+                again = (near[:, :i] == near[:, i : i + 1]).any(1)
+                bits, length, product = kept.value.codes(x, near[:, i])
+                made = pd.DataFrame({"cell": near[:, i], "slices": slices[near[:, i]], "own": np.full(len(x), i == 0), "rep": p["rep"].to_numpy(), "length": length, "product": product, "half": half} | {f"w{w}": bits[:, w] for w in range(bits.shape[1])})
+                yield made[~again]
 
-    placed = reps.mapInPandas(place, "cell int, slices int, own boolean, rep bigint, vec array<float>")
+    placed = reps.mapInPandas(place, f"cell int, slices int, own boolean, rep bigint, length float, product float, half binary, {code}")
     part = F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")
     # (query slice, member slice, asks, answers): in a cell of one slice a row stands once for both
     one = F.array(F.struct(F.lit(0).alias("qs"), F.lit(0).alias("ms"), F.col("own").alias("asks"), F.lit(True).alias("answers")))
     others = F.sequence(F.lit(0), F.col("slices") - 1)
     answers = F.transform(others, lambda o: F.struct(o.alias("qs"), part.alias("ms"), F.lit(False).alias("asks"), F.lit(True).alias("answers")))
     asks = F.transform(F.when(F.col("own"), others).otherwise(F.array().cast("array<int>")), lambda o: F.struct(part.alias("qs"), o.alias("ms"), F.lit(True).alias("asks"), F.lit(False).alias("answers")))
-    sent = placed.select("cell", F.explode(F.when(F.col("slices") == 1, one).otherwise(F.concat(answers, asks))).alias("s"), "rep", "vec").select("cell", "s.*", "rep", "vec")
+    carried = [c for c in placed.columns if c not in ("cell", "slices", "own")]
+    sent = placed.select("cell", F.explode(F.when(F.col("slices") == 1, one).otherwise(F.concat(answers, asks))).alias("s"), *carried).select("cell", "s.*", *carried)
 
     def search(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         names = p["rep"].to_numpy()
-        code = pd.factorize(names)[0]
-        x = _matrix(p["vec"])
+        number = pd.factorize(names)[0]
+        x = np.frombuffer(b"".join(p["half"]), np.float16).reshape(len(p), dim).astype(np.float32)
+        bits = np.ascontiguousarray(np.stack([p[f"w{w}"].to_numpy() for w in range(-(-dim // 64))], 1))
+        centre = kept.value.centres[key[0]]
         own, answer = np.nonzero(p["asks"].to_numpy())[0], p["answers"].to_numpy()
-        found = [(i[keep], j[keep], c[keep]) for i, j, c in _similar(own, x, centres[key[0]], rotation, at_least, sure) for keep in [answer[j] & (code[i] != code[j])]]
+        found = [(i[ok], j[ok], c[ok]) for i, j, c in _similar(own, x, bits, p["length"].to_numpy(), p["product"].to_numpy(), float(centre @ centre), at_least, sure) for ok in [answer[j] & (number[i] != number[j])]]
         if not found:
             return pd.DataFrame({"a": [], "b": [], "cos": []}).astype({"a": int, "b": int, "cos": float})
         i, j, c = (np.concatenate([f[t] for f in found]) for t in range(3))
-        out = pd.DataFrame({"a": names[i], "b": names[j], "cos": np.round(c, 9)}).sort_values(["a", "cos", "b"], ascending=[True, False, True])
-        return out.groupby("a", sort=False).head(k)
+        out = pd.DataFrame({"a": names[i], "b": names[j], "cos": c.astype(float)}).sort_values(["a", "cos", "b"], ascending=[True, False, True])
+        # the k best and whatever half precision cannot tell from the last of them
+        rank = out.groupby("a", sort=False).cumcount()
+        last = out["a"].map(out[rank == k - 1].set_index("a")["cos"]).fillna(-2.0)
+        return out[(rank < k) | (out["cos"] >= last - 2 * HALF)]
 
     found = sent.groupBy("cell", "qs", "ms").applyInPandas(search, schema)
-    w = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
-    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    by = Window.partitionBy("a")
+    ranked = found.withColumn("r", F.row_number().over(by.orderBy(F.desc("cos"), "b")))
+    ranked = ranked.withColumn("last", F.max(F.when(F.col("r") == k, F.col("cos"))).over(by)).withColumn("next", F.max(F.when(F.col("r") == k + 1, F.col("cos"))).over(by))
+    ranked = ranked.where((F.col("r") <= k) | (F.col("cos") >= F.col("last") - 2 * HALF))
+    # in doubt: beside the threshold, or beside the last of the k where one more comes close
+    edge = F.coalesce((F.col("next") >= F.col("last") - 2 * HALF) & (F.col("cos") <= F.col("last") + 2 * HALF) & (F.col("cos") >= F.col("last") - 2 * HALF), F.lit(False))
+    ranked = cut(ranked.select("a", "b", "cos", ((F.col("cos") < at_least + HALF) | edge).alias("doubt")))
+    unsure = ranked.where("doubt").select("a", "b")
+    ends = unsure.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    vectors = cut(reps.join(F.broadcast(ends) if is_small(ends, 1_000_000) else ends, "rep", "left_semi"))
+    both = unsure.join(vectors.select(F.col("rep").alias("a"), F.col("vec").alias("va")), "a").join(vectors.select(F.col("rep").alias("b"), F.col("vec").alias("vb")), "b")
+
+    @F.pandas_udf("double")
+    def exact(u: pd.Series, v: pd.Series) -> pd.Series:
+        x, y = (np.array(c.tolist(), dtype=np.float64) for c in (u, v))
+        return pd.Series(np.round((x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)), 9)) if len(u) else pd.Series([], dtype=float)
+
+    checked = both.select("a", "b", exact("va", "vb").alias("cos")).where(F.col("cos") >= at_least)
+    w = by.orderBy(F.desc("cos"), "b")
+    return ranked.where("not doubt").select("a", "b", "cos").unionByName(checked).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
 def nearest_pairs(vectors: DataFrame, dim: int = 64, k: int = 5, at_least: float = 0.86, **index) -> DataFrame:
