@@ -74,6 +74,12 @@ class Cells:
             self.of = (self.centres @ self.above.T).argmax(1)
             self.inside = [np.nonzero(self.of == i)[0] for i in range(len(self.above))]
 
+    @classmethod
+    def of_parts(cls, parts: dict) -> "Cells":
+        out = cls.__new__(cls)
+        out.__dict__.update(parts)
+        return out
+
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n nearest cells of each row of x, nearest first."""
         if self.above is None:
@@ -151,14 +157,22 @@ def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least
     sample = _matrix(picked["vec"])
     cells = int(min(len(sample), max(1, n / cell_rows)))
     index = Cells(sample, cells, seed)
-    kept = spark.sparkContext.broadcast(index)
+    # plain arrays, so that executors need no copy of this package to read them
+    parts = spark.sparkContext.broadcast(vars(index))
+    held: list[Cells] = []
+
+    def cells_of() -> Cells:
+        if not held:
+            held.append(Cells.of_parts(parts.value))
+        return held[0]
+
     probes = min(probes, cells)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = np.zeros(cells, np.int64)
         for p in batches:
             if len(p):
-                sizes += np.bincount(kept.value.nearest(_matrix(p["vec"]), probes).ravel(), minlength=cells)
+                sizes += np.bincount(cells_of().nearest(_matrix(p["vec"]), probes).ravel(), minlength=cells)
         yield pd.DataFrame({"cell": np.arange(cells), "n": sizes})
 
     # a crowded cell becomes a grid of tasks: slices of its queries times slices of its members
@@ -173,11 +187,11 @@ def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least
             if not len(p):
                 continue
             x = _matrix(p["vec"])
-            near = kept.value.nearest(x, probes)
+            near = cells_of().nearest(x, probes)
             half = [v.tobytes() for v in x.astype(np.float16)]
             for i in range(probes):
                 again = (near[:, :i] == near[:, i : i + 1]).any(1)
-                bits, length, product = kept.value.codes(x, near[:, i])
+                bits, length, product = cells_of().codes(x, near[:, i])
                 made = pd.DataFrame({"cell": near[:, i], "slices": slices[near[:, i]], "own": np.full(len(x), i == 0), "rep": p["rep"].to_numpy(), "length": length, "product": product, "half": half} | {f"w{w}": bits[:, w] for w in range(bits.shape[1])})
                 yield made[~again]
 
@@ -196,7 +210,7 @@ def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least
         number = pd.factorize(names)[0]
         x = np.frombuffer(b"".join(p["half"]), np.float16).reshape(len(p), dim).astype(np.float32)
         bits = np.ascontiguousarray(np.stack([p[f"w{w}"].to_numpy() for w in range(-(-dim // 64))], 1))
-        centre = kept.value.centres[key[0]]
+        centre = cells_of().centres[key[0]]
         own, answer = np.nonzero(p["asks"].to_numpy())[0], p["answers"].to_numpy()
         found = [(i[ok], j[ok], c[ok]) for i, j, c in _similar(own, x, bits, p["length"].to_numpy(), p["product"].to_numpy(), float(centre @ centre), at_least, sure) for ok in [answer[j] & (number[i] != number[j])]]
         if not found:
