@@ -401,3 +401,78 @@ def file_facts(spark, folder):
     """Format, kind, base name, pages by estimate and slug of every named file that has a content."""
     rows = table(spark, folder, "document_info").where("file_name is not null and content is not null").select("doc_id", "file_name", "content").distinct()
     return rows.select("doc_id", "file_name", X.file_format("file_name").alias("format"), X.doc_type("file_name").alias("kind"), X.base_name("file_name").alias("base"), X.is_versioned("file_name").alias("versioned"), X.page_estimate("content").cast("int").alias("pages"), X.slug("file_name").alias("slug")).distinct()
+
+
+# --- parts of contents ------------------------------------------------------
+
+
+@query(r"""WITH d AS (SELECT DISTINCT doc_id, content FROM document_info WHERE content <> ''), l AS (SELECT doc_id, content, unnest(range(0, len(w))) AS i, unnest(w) AS line FROM (SELECT doc_id, content, string_split(content, chr(10)) AS w FROM d)),
+f AS (SELECT *, sum(regexp_matches(line, '^\s*(```|~~~)')::INT) OVER (PARTITION BY doc_id, content ORDER BY i) % 2 = 1 AS fenced FROM l),
+h AS (SELECT *, NOT fenced AND regexp_matches(line, '^\s{0,3}#{1,3}\s+.*\S\s*$') AS head FROM f),
+n AS (SELECT *, CASE WHEN head THEN len(regexp_extract(line, '(#{1,3})\s', 1)) END AS level, regexp_extract(line, '^\s{0,3}#{1,3}\s+(.*\S)\s*$', 1) AS title, sum(head::INT) OVER (PARTITION BY doc_id, content ORDER BY i) AS s, sum((trim(line) <> '')::INT) OVER (PARTITION BY doc_id, content ORDER BY i) AS seen FROM h),
+p AS (SELECT *, last_value(CASE WHEN level = 1 THEN i END IGNORE NULLS) OVER w AS i1, last_value(CASE WHEN level = 2 THEN i END IGNORE NULLS) OVER w AS i2, last_value(CASE WHEN level = 3 THEN i END IGNORE NULLS) OVER w AS i3, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER w AS t1, last_value(CASE WHEN level = 2 THEN title END IGNORE NULLS) OVER w AS t2, last_value(CASE WHEN level = 3 THEN title END IGNORE NULLS) OVER w AS t3 FROM n WHERE seen > 0 WINDOW w AS (PARTITION BY doc_id, content ORDER BY i)),
+b AS (SELECT doc_id, content, s, coalesce(any_value(t1), '') AS h1, coalesce(any_value(CASE WHEN i2 > coalesce(i1, -1) THEN t2 END), '') AS h2, coalesce(any_value(CASE WHEN i3 > coalesce(greatest(i1, i2), -1) THEN t3 END), '') AS h3, trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10) || chr(9) || chr(13) || chr(12) || chr(11) || chr(160) || chr(12288)) AS body FROM p GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id, content ORDER BY s) - 1 AS section_no, h1, h2, h3, body FROM b WHERE body <> ''""")
+def heading_sections(spark, folder):
+    """The stretches of contents between headings with their paths."""
+    return chunking.sections(table(spark, folder, "document_info").where("content <> ''").select("doc_id", "content").distinct())
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(content, '(?is)<table[^>]*>.*?</table>')) AS html FROM (SELECT DISTINCT doc_id, content FROM document_info)),
+c AS (SELECT doc_id, html, list_filter(list_transform(regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1), lambda r: list_transform(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda x: replace(trim(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')), '|', '\|'))), lambda r: len(r) > 0) AS rows FROM t WHERE NOT regexp_matches(html, '(?i)(row|col)span')),
+w AS (SELECT *, list_max(list_transform(rows, lambda r: len(r))) AS width FROM c WHERE len(rows) > 0),
+m AS (SELECT *, list_transform(rows, lambda r: '| ' || array_to_string(list_concat(r, list_transform(range(0, width - len(r)), lambda i: '')), ' | ') || ' |') AS lines FROM w)
+SELECT doc_id, html, array_to_string(list_concat([lines[1], '|' || repeat(' --- |', width::INT)], lines[2:]), chr(10)) AS markdown FROM m""")
+def tables_markdown(spark, folder):
+    """HTML tables without spans as Markdown."""
+    rows = table(spark, folder, "document_info").select("doc_id", "content").distinct()
+    return chunking.tables_of(rows).where("not html rlike '(?i)(row|col)span'")
+
+
+# --- replies, caches, trees -------------------------------------------------
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN NULL ELSE '{\"id\": ' || doc_id || '}' END AS found FROM documents")
+def json_replies(spark, folder):
+    """The object in replies that hold one plainly, in a fence, among words, with a comma too many, or not at all."""
+    one = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit("}"))
+    n = F.col("doc_id") % 5
+    reply = F.when(n == 0, one).when(n == 1, F.concat(F.lit("Here:\n```json\n"), one, F.lit("\n```\n"))).when(n == 2, F.concat(F.lit("It is "), one, F.lit(", I think"))).when(n == 3, F.replace(one, F.lit("}"), F.lit(",}"))).otherwise("none at all")
+    return table(spark, folder, "documents").select("doc_id", X.json_text(reply).alias("found"))
+
+
+@query("SELECT doc_id, file_name AS filename, k.source_key FROM (SELECT DISTINCT doc_id, file_name FROM document_info WHERE file_name IS NOT NULL) LEFT JOIN (SELECT file_name AS f, min(title) AS source_key FROM document_info WHERE doc_id < '8' AND file_name IS NOT NULL AND title IS NOT NULL GROUP BY 1) k ON k.f = file_name")
+def source_keys(spark, folder):
+    """Files with the name that stands for all their versions, where one is known."""
+    rows = table(spark, folder, "document_info").where("file_name is not null")
+    known = rows.where("doc_id < '8' and title is not null").select(F.col("file_name").alias("filename"), F.col("title").alias("source_key"))
+    return files.with_source_keys(rows.select("doc_id", F.concat(F.lit("a/b/"), "file_name").alias("relative")).distinct(), known).select("doc_id", "filename", "source_key")
+
+
+@query("SELECT DISTINCT doc_id FROM document_info WHERE content IS NOT NULL AND sha256(content) NOT IN (SELECT sha256(content) FROM document_info WHERE content IS NOT NULL AND doc_id < '8')")
+def files_to_convert(spark, folder):
+    """Files whose content no cache knows."""
+    rows = table(spark, folder, "document_info").where("content is not null").select("doc_id", "content").distinct()
+    cache = rows.where("doc_id < '8'").select(F.sha2("content", 256).alias("content_hash"))
+    return files.not_cached(rows, cache).select("doc_id").distinct()
+
+
+@query("WITH s AS (SELECT doc_id AS f, min(content) AS c FROM document_info WHERE content IS NOT NULL GROUP BY 1) SELECT f AS filename FROM s WHERE NOT (f < 'c' AND f >= '4')")
+def files_to_take_in(spark, folder):
+    """Files that are new, have changed, or whose page is gone."""
+    rows = table(spark, folder, "document_info").where("content is not null").groupBy(F.col("doc_id").alias("filename")).agg(F.min("content").alias("content"))
+    # of the files before c the cache has the hash, but the pages of those before 4 are gone
+    cache = rows.where("filename < 'c'").select("filename", F.sha2("content", 256).alias("hash"), F.array(F.concat(F.lit("pages/"), "filename")).alias("files_written"))
+    pages = rows.where("filename >= '4'").select(F.concat(F.lit("pages/"), "filename").alias("path"))
+    return files.cached_changes(rows, cache, pages).select("filename")
+
+
+@query("WITH p AS (SELECT DISTINCT p_type || '/' || p_brand || '/' || p_partkey || '.md' AS path FROM part) SELECT path, string_split(path, '/')[-1] AS name, 2 AS depth FROM p")
+def tree_files(spark, folder):
+    """The Markdown files of a nested tree of folders."""
+    rows = table(spark, folder, "part")
+    leaf = lambda c: F.struct(F.concat(c, F.lit(".md")).alias("name"), F.lit(False).alias("is_dir"))
+    inner = rows.groupBy("p_type", "p_brand").agg(F.collect_list(leaf(F.col("p_partkey").cast("string"))).alias("children"))
+    nodes = inner.select(F.concat("p_type", F.lit("/"), "p_brand").alias("parent"), F.explode("children").alias("c")).select("parent", "c.name", "c.is_dir")
+    dirs = inner.select(F.col("p_type").alias("parent"), F.col("p_brand").alias("name"), F.lit(True).alias("is_dir")).union(inner.select(F.lit(""), "p_type", F.lit(True)).distinct())
+    return wiki.flat_tree(nodes.unionByName(dirs))

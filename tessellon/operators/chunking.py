@@ -324,6 +324,27 @@ def chunk(documents: DataFrame, tables_apart: bool = False) -> DataFrame:
     return documents.where("doc_id is not null and content <> ''").select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInPandas(run, SCHEMA)
 
 
+def sections(documents: DataFrame) -> DataFrame:
+    """(doc_id, section_no, h1, h2, h3, body) of documents (doc_id, content): header_sections as rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            yield pd.DataFrame([(d, i, *h, b) for d, c in zip(p["doc_id"], p["content"]) for i, (h, b) in enumerate(header_sections(c))], columns=["doc_id", "section_no", "h1", "h2", "h3", "body"])
+
+    return documents.where("content <> ''").select("doc_id", "content").mapInPandas(run, f"doc_id {dict(documents.dtypes)['doc_id']}, section_no int, h1 string, h2 string, h3 string, body string")
+
+
+def tables_of(documents: DataFrame) -> DataFrame:
+    """(doc_id, html, markdown): the HTML tables of documents (doc_id, content); those without cells have none."""
+
+    @F.pandas_udf("string")
+    def convert(html: pd.Series) -> pd.Series:
+        return html.map(table_markdown)
+
+    found = documents.select("doc_id", F.explode(F.regexp_extract_all("content", F.lit("(?is)(<table[^>]*>.*?</table>)"), F.lit(1))).alias("html"))
+    return found.withColumn("markdown", convert("html")).where("markdown <> ''")
+
+
 def sentence_groups(documents: DataFrame, size: int = 3) -> DataFrame:
     """(doc_id, group_no, text): each document's sentences in groups of `size`."""
     rows = documents.select("doc_id", F.posexplode(X.sentences("content")).alias("i", "s"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellon.functions import text as X
+from tessellon.operators import graph
 from tessellon.plans.lineage import cut
 
 
@@ -48,7 +49,10 @@ def similar_contents(files: DataFrame, at_least: float = 0.7, first: int | None
 
 
 def greedy_clusters(pairs: DataFrame) -> DataFrame:
-    """(folder, seed, member): files gathered greedily, in order of name, each seed taking the files similar to it that are still free; a folder's pairs (folder, a, b) are one group."""
+    """(folder, seed, member): files gathered greedily, in order of name, each seed taking the files similar to it that are still free. Files that no chain of pairs (folder, a, b) links don't touch each other, so each linked group of a folder is a task."""
+    of = lambda c: F.concat_ws("\x01", F.col("folder"), F.col(c).cast("string"))
+    roots = graph.components(pairs.select(of("a").alias("a"), of("b").alias("b")))
+    placed = pairs.withColumn("id", of("a")).join(roots, "id").drop("id")
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}
@@ -65,4 +69,4 @@ def greedy_clusters(pairs: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["folder", "seed", "member"])
 
     kind = dict(pairs.dtypes)["a"]
-    return pairs.groupBy("folder").applyInPandas(run, f"folder string, seed {kind}, member {kind}")
+    return placed.groupBy("folder", "root").applyInPandas(run, f"folder string, seed {kind}, member {kind}")

@@ -157,3 +157,19 @@ def ingest_sources(pages: DataFrame, sources: list[tuple[str, str]], ask: Callab
         pages = cut(take_in(pages, spark.createDataFrame([*made, *log], "path string, text string")))
         taken.append(name)
     return pages, taken
+
+
+def flat_tree(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+    """(path, name, depth): the Markdown files of a tree given as nodes (parent, name, is_dir), the root's parent being the empty path. One join a level; a tree deeper than max_depth is an error."""
+    nodes = cut(nodes.select("parent", "name", "is_dir"))
+    whole = F.when(F.col("parent") == "", F.col("name")).otherwise(F.concat("parent", F.lit("/"), "name"))
+    level = nodes.where("parent = ''")
+    found = None
+    for depth in range(max_depth + 1):
+        part = level.where("not is_dir and name like '%.md'").select(whole.alias("path"), "name", F.lit(depth).alias("depth"))
+        found = part if found is None else found.unionByName(part)
+        dirs = cut(level.where("is_dir").select(whole.alias("parent")).distinct())
+        if dirs.isEmpty():
+            return found
+        level = nodes.join(dirs, "parent", "left_semi")
+    raise ValueError("the tree is deeper than max_depth")
