@@ -64,10 +64,11 @@ def _bare(s: str) -> str:
 
 
 class Parser:
-    """Names to their parts. short: short forms to standards (lower case); places: place names of two or three signs that stand before or in brackets after a Chinese name; given: known given names."""
+    """Names to their parts. short: short forms to standards (lower case); places: place names of two or three signs that stand before or in brackets after a Chinese name; given: known given names; learned: general words that the rows themselves show, which tell fields of work apart."""
 
-    def __init__(self, short: dict[str, str], places: set[str]):
+    def __init__(self, short: dict[str, str], places: set[str], learned: set[str] = frozenset()):
         self.short = short
+        self.learned = learned
         self.general = {g: FORMS.get(g, "") for g in [*FORMS, *FIELDS] if len(g) > 3}
         self.given = {v for v in short.values()} | {k for k in short if "." not in k}
         self.places = places
@@ -108,12 +109,14 @@ class Parser:
             unit, text = m[1], text[: m.start()]
         text = _HEAD.sub("", text)
         words = [w for w in re.split(r"[^\w]+|_", text) if w]
-        form, field, rest = "", "", []
+        form, field, rest, own = "", "", [], []
         for w in words:
             if w in FORMS:
                 form = form or FORMS[w]
             elif w in FIELDS:
                 field = w
+            elif w in self.learned:
+                own.append(w)
             else:
                 rest.append(w)
         proper = []
@@ -128,6 +131,7 @@ class Parser:
                     field = like
             else:
                 proper.append(w)
+        field = " ".join(sorted({field, *own} - {""}))
         # a name of general words alone is told apart by all of them
         core = max(proper, key=len, default="") or " ".join(sorted(words))
         return {"core": core, "unit": unit, "field": field, "form": form}
@@ -255,6 +259,19 @@ def linked(forms: DataFrame, least: float) -> DataFrame:
     return pairs.where(alike("pa", "pb")).select("a", "b")
 
 
+def general_words(names: DataFrame, share: float = 0.02, fresh: float = 0.3) -> set[str]:
+    """Words of names (text, type) of organisations that say what kind one is, not which: the part `share` of all different names has them, and they stand beside new rarer words in at least the part `fresh` of these, which the proper word of one much written organisation does not. With w words in the mean name there are w / share of them at most."""
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+")), lambda w: F.length(w) >= 3)
+    rows = names.where("type is null or type = 'ORG'").where(~F.col("text").rlike("[\\u4e00-\\u9fff]")).select("text").distinct().select(words.alias("ws")).where("size(ws) >= 2")
+    rows = cut(rows)
+    n = rows.count()
+    df = rows.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    often = cut(df.where(F.col("df") >= max(5, share * n)))
+    beside = rows.select(F.explode("ws").alias("w"), "ws").join(F.broadcast(often), "w").select("w", "df", F.explode("ws").alias("x")).distinct()
+    rarer = beside.join(df.select(F.col("w").alias("x"), F.col("df").alias("dx")), "x").where("dx < df").groupBy("w", "df").agg(F.count("*").alias("k"))
+    return {r["w"] for r in rarer.where(F.col("k") >= fresh * F.col("df")).toLocalIterator()}
+
+
 def entity_groups(entities: DataFrame, seed: DataFrame, least: float = 0.85) -> DataFrame:
     """(entity_id, group_id): one row for each entity_id of entities (entity_id, entity_name, entity_type, aliases) with a type of ORG, PERSON or null; group_id is the smallest entity_id of the same person or organisation.
 
@@ -280,7 +297,7 @@ def entity_groups(entities: DataFrame, seed: DataFrame, least: float = 0.85) ->
     said = cut(said)
     all_said = said.agg(F.sum("n")).first()[0] or 0
     places = {r["p"] for r in said.where(F.col("n") >= 0.001 * all_said).toLocalIterator()}
-    parser = Parser(short, places)
+    parser = Parser(short, places, general_words(clean))
 
     @F.pandas_udf(_PARTS)
     def parse(text: pd.Series, kind: pd.Series) -> pd.DataFrame:

@@ -110,6 +110,20 @@ def test_spellings_of_names(spark):
     assert (1, 5) in pairs and all(a < b for a, b in pairs)
 
 
+def test_general_words_are_learned_from_the_rows(spark):
+    proper = [f"{a}{b}{c}o" for a in ("bra", "kel", "mon", "tir", "vus") for b in ("di", "fa", "gu") for c in ("lem", "nar", "pos", "rit")]
+    data = [(i, f"{p.title()} {'Hospital' if i % 2 else 'Bank'}", "ORG", None) for i, p in enumerate(proper)]
+    # one organisation under very many names, and two of one proper word
+    data += [(1000 + i, f"Zuviloranta {w} Bank", "ORG", None) for i, w in enumerate(["North", "South"] * 40)]
+    data += [(2000, "Quelfarindo Bank", "ORG", None), (2001, "Quelfarindo Hospital", "ORG", None)]
+    df = spark.createDataFrame(data, "entity_id bigint, entity_name string, entity_type string, aliases array<string>")
+    learned = names.general_words(df.select(F.col("entity_name").alias("text"), F.col("entity_type").alias("type")))
+    assert {"bank", "hospital"} <= learned and "zuviloranta" not in learned
+    seed = spark.createDataFrame([], "alias string, standard string")
+    got = dict(rows(names.entity_groups(df, seed), "entity_id", "group_id"))
+    assert got[2000] == 2000 and got[2001] == 2001 and got[1000] == got[1002]
+
+
 def test_names_of_an_empty_table(spark):
     none = spark.createDataFrame([], "entity_id bigint, entity_name string, entity_type string, aliases array<string>")
     assert names.entity_groups(none, spark.createDataFrame([], "alias string, standard string")).count() == 0
