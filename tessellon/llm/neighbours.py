@@ -4,10 +4,10 @@ Unit vectors are spread over cells (nearest centroids of a bounded sample).
 Where a vector is placed it is given its code once: one sign bit for every
 coordinate of its randomly rotated residual, packed into machine words, and
 scalars: the residual's length and the vector's product with the centroid.
-The code travels with the vector in half precision. In a cell the XOR
+The code travels with the vector in 16 bits a part. In a cell the XOR
 population count of two codes estimates their inner product together with a
 bound on the error; pairs whose upper bound reaches what is asked for are
-compared in half precision, and those that this leaves in doubt, beside the
+compared in 16 bits, and those that this leaves in doubt, beside the
 threshold or the last of the k, are reranked by their exact cosine.
 
 Equal vectors form one class with one representative; only representatives
@@ -24,12 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellon.plans.lineage import cut, is_small
+from tessellon.plans.lineage import cut, is_small, keep
 
 #: Rows of which the centroids are fitted at most, and centroids above which cells are looked up in two levels.
 SAMPLE, FLAT = 100_000, 2_048
-#: What a cosine of vectors in half precision can be off by: both are rounded by 2**-11 of each part at most.
-HALF = 2.0**-10
+#: Steps into which a vector's largest part is divided where it is sent in 16 bits a part.
+STEPS = 32_767
 
 
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
@@ -66,8 +66,7 @@ class Cells:
     """Centroids in one or two levels, and the one-bit codes of residuals against them."""
 
     def __init__(self, sample: np.ndarray, cells: int, seed: int):
-        # k-means over a part of the sample that grows with the number of cells
-        self.centres = _centroids(sample[: max(16 * cells, 4_096)], cells, seed, steps=6 if cells <= FLAT else 2)
+        self.centres = _centroids(sample, cells, seed, steps=6 if cells <= FLAT else 2)
         self.rotation = _rotation(sample.shape[1], seed)
         self.above = _centroids(self.centres, int(math.sqrt(cells)), seed) if cells > FLAT else None
         if self.above is not None:
@@ -111,8 +110,8 @@ class Cells:
         return bits.view(np.int64), np.linalg.norm(residual, axis=1).astype(np.float32), np.einsum("ij,ij->i", x, c).astype(np.float32)
 
 
-def _similar(own: np.ndarray, x: np.ndarray, bits: np.ndarray, length: np.ndarray, product: np.ndarray, square: float, at_least: float, sure: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query row, member row, cosine in half precision) for pairs of rows of x whose cosine may be at_least; queries are the rows `own`. square: the centroid's with itself."""
+def _similar(own: np.ndarray, x: np.ndarray, bits: np.ndarray, length: np.ndarray, product: np.ndarray, square: float, at_least: float, sure: float, off: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query row, member row, cosine in 16 bits) for pairs of rows of x whose cosine may be at_least; queries are the rows `own`. square: the centroid's product with itself; off: what such a cosine can be off by."""
     d = x.shape[1]
     # cosine of the residuals' angle by the number of different bits, and the most it may be, `sure` deviations of that number away
     n = np.arange(d + 1)
@@ -127,35 +126,38 @@ def _similar(own: np.ndarray, x: np.ndarray, bits: np.ndarray, length: np.ndarra
             differ += np.bitwise_count(words[q, w][:, None] ^ words[None, :, w])
         # <q, x> = <q-c, x-c> + <q, c> + <x, c> - <c, c>
         bound = most[differ] * length[q][:, None] * length[None, :]
-        bound += (product[q] - square + HALF)[:, None] + product[None, :]
+        bound += (product[q] - square + off)[:, None] + product[None, :]
         i, j = np.nonzero(bound >= at_least)
         keep = q[i] != j
         i, j = q[i[keep]], j[keep]
         cos = np.einsum("ij,ij->i", x[i], x[j])
-        hit = cos >= at_least - HALF
+        hit = cos >= at_least - off
         yield i[hit], j[hit], cos[hit]
 
 
-def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least: float, k: int, cell_rows: int = 400, probes: int = 5, sure: float = 3.0, seed: int = 7) -> DataFrame:
+def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least: float, k: int, cell_rows: int = 400, probes: int = 3, asks_in: int = 2, sure: float = 3.0, seed: int = 7) -> DataFrame:
     """(a, b, cos): for every row of reps (rep, vec: distinct vectors) its k nearest others, as far as their cosine is at_least.
 
     seen (id, vec) are rows of the same collection, of which centroids are
     fitted (SAMPLE at most) and cells counted; n is about their number. Cells
     hold about cell_rows vectors until SAMPLE centroids are reached; every
-    vector is a member of its `probes` nearest cells and asks in its nearest
-    one. A cell that has far more rows than that is searched in several tasks,
+    vector is a member of its `probes` nearest cells and asks in the `asks_in`
+    nearest. A cell that has far more rows than that is searched in several tasks,
     each holding a slice of the queries and of the members.
     """
     spark = reps.sparkSession
     schema = "a bigint, b bigint, cos double"
-    share = min(1.0, 1.2 * SAMPLE / max(n, 1))
-    picked = seen.where(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) < int(share * (1 << 53))).select("vec").limit(SAMPLE).toPandas()
+    # sixteen rows for each centroid, four at the greatest number of cells
+    cells = int(max(1, min(n / cell_rows, SAMPLE / 4)))
+    wanted = min(SAMPLE, max(16 * cells, 4_096))
+    share = min(1.0, 1.2 * wanted / max(n, 1))
+    picked = seen.where(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) < int(share * (1 << 53))).select("vec").limit(wanted).toPandas()
     if len(picked) < 2:
-        picked = seen.select("vec").limit(SAMPLE).toPandas()
+        picked = seen.select("vec").limit(wanted).toPandas()
     if n < 2 or not len(picked):
         return spark.createDataFrame([], schema)
     sample = _matrix(picked["vec"])
-    cells = int(min(len(sample), max(1, n / cell_rows)))
+    cells = min(cells, len(sample))
     index = Cells(sample, cells, seed)
     # plain arrays, so that executors need no copy of this package to read them
     parts = spark.sparkContext.broadcast(vars(index))
@@ -176,7 +178,9 @@ def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least
         yield pd.DataFrame({"cell": np.arange(cells), "n": sizes})
 
     # a crowded cell becomes a grid of tasks: slices of its queries times slices of its members
-    slice_rows = 8 * cell_rows
+    slice_rows = 20 * cell_rows
+    # a part is off by half a step at most, so a vector by half a step times the root of its parts
+    off = math.sqrt(dim) / STEPS
     counts = seen.select("vec").mapInPandas(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # one number for each cell
     slices = np.ones(cells, np.int64)
     slices[counts["cell"]] = np.maximum(1, -(-counts["n"] // slice_rows))
@@ -188,14 +192,15 @@ def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least
                 continue
             x = _matrix(p["vec"])
             near = cells_of().nearest(x, probes)
-            half = [v.tobytes() for v in x.astype(np.float16)]
+            scale = np.abs(x).max(1) / STEPS
+            small = [v.tobytes() for v in np.rint(x / scale[:, None]).astype(np.int16)]
             for i in range(probes):
                 again = (near[:, :i] == near[:, i : i + 1]).any(1)
                 bits, length, product = cells_of().codes(x, near[:, i])
-                made = pd.DataFrame({"cell": near[:, i], "slices": slices[near[:, i]], "own": np.full(len(x), i == 0), "rep": p["rep"].to_numpy(), "length": length, "product": product, "half": half} | {f"w{w}": bits[:, w] for w in range(bits.shape[1])})
+                made = pd.DataFrame({"cell": near[:, i], "slices": slices[near[:, i]], "own": np.full(len(x), i < asks_in), "rep": p["rep"].to_numpy(), "length": length, "product": product, "scale": scale, "parts": small} | {f"w{w}": bits[:, w] for w in range(bits.shape[1])})
                 yield made[~again]
 
-    placed = reps.mapInPandas(place, f"cell int, slices int, own boolean, rep bigint, length float, product float, half binary, {code}")
+    placed = reps.mapInPandas(place, f"cell int, slices int, own boolean, rep bigint, length float, product float, scale float, parts binary, {code}")
     part = F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")
     # (query slice, member slice, asks, answers): in a cell of one slice a row stands once for both
     one = F.array(F.struct(F.lit(0).alias("qs"), F.lit(0).alias("ms"), F.col("own").alias("asks"), F.lit(True).alias("answers")))
@@ -208,28 +213,30 @@ def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least
     def search(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         names = p["rep"].to_numpy()
         number = pd.factorize(names)[0]
-        x = np.frombuffer(b"".join(p["half"]), np.float16).reshape(len(p), dim).astype(np.float32)
+        x = np.frombuffer(b"".join(p["parts"]), np.int16).reshape(len(p), dim).astype(np.float32) * p["scale"].to_numpy()[:, None]
         bits = np.ascontiguousarray(np.stack([p[f"w{w}"].to_numpy() for w in range(-(-dim // 64))], 1))
         centre = cells_of().centres[key[0]]
         own, answer = np.nonzero(p["asks"].to_numpy())[0], p["answers"].to_numpy()
-        found = [(i[ok], j[ok], c[ok]) for i, j, c in _similar(own, x, bits, p["length"].to_numpy(), p["product"].to_numpy(), float(centre @ centre), at_least, sure) for ok in [answer[j] & (number[i] != number[j])]]
+        found = [(i[ok], j[ok], c[ok]) for i, j, c in _similar(own, x, bits, p["length"].to_numpy(), p["product"].to_numpy(), float(centre @ centre), at_least, sure, off) for ok in [answer[j] & (number[i] != number[j])]]
         if not found:
             return pd.DataFrame({"a": [], "b": [], "cos": []}).astype({"a": int, "b": int, "cos": float})
         i, j, c = (np.concatenate([f[t] for f in found]) for t in range(3))
         out = pd.DataFrame({"a": names[i], "b": names[j], "cos": c.astype(float)}).sort_values(["a", "cos", "b"], ascending=[True, False, True])
-        # the k best and whatever half precision cannot tell from the last of them
+        # the k best and whatever 16 bits cannot tell from the last of them
         rank = out.groupby("a", sort=False).cumcount()
         last = out["a"].map(out[rank == k - 1].set_index("a")["cos"]).fillna(-2.0)
-        return out[(rank < k) | (out["cos"] >= last - 2 * HALF)]
+        return out[(rank < k) | (out["cos"] >= last - 2 * off)]
 
     found = sent.groupBy("cell", "qs", "ms").applyInPandas(search, schema)
+    # two cells that share both may have found a pair
+    found = found.repartition("a").dropDuplicates(["a", "b"])
     by = Window.partitionBy("a")
     ranked = found.withColumn("r", F.row_number().over(by.orderBy(F.desc("cos"), "b")))
     ranked = ranked.withColumn("last", F.max(F.when(F.col("r") == k, F.col("cos"))).over(by)).withColumn("next", F.max(F.when(F.col("r") == k + 1, F.col("cos"))).over(by))
-    ranked = ranked.where((F.col("r") <= k) | (F.col("cos") >= F.col("last") - 2 * HALF))
+    ranked = ranked.where((F.col("r") <= k) | (F.col("cos") >= F.col("last") - 2 * off))
     # in doubt: beside the threshold, or beside the last of the k where one more comes close
-    edge = F.coalesce((F.col("next") >= F.col("last") - 2 * HALF) & (F.col("cos") <= F.col("last") + 2 * HALF) & (F.col("cos") >= F.col("last") - 2 * HALF), F.lit(False))
-    ranked = cut(ranked.select("a", "b", "cos", ((F.col("cos") < at_least + HALF) | edge).alias("doubt")))
+    edge = F.coalesce((F.col("next") >= F.col("last") - 2 * off) & (F.col("cos") <= F.col("last") + 2 * off) & (F.col("cos") >= F.col("last") - 2 * off), F.lit(False))
+    ranked = cut(ranked.select("a", "b", "cos", ((F.col("cos") < at_least + off) | edge).alias("doubt")))
     unsure = ranked.where("doubt").select("a", "b")
     ends = unsure.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     vectors = cut(reps.join(F.broadcast(ends) if is_small(ends, 1_000_000) else ends, "rep", "left_semi"))
@@ -260,7 +267,8 @@ def nearest_pairs(vectors: DataFrame, dim: int = 64, k: int = 5, at_least: float
     classes = named.groupBy("h1", "h2").agg(F.min_by(F.struct("id", "no"), "no").alias("r")).select("h1", "h2", "r.id", F.col("r.no").alias("rep"))
     member = cut(named.select("no", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("no").alias("id"), "rep"))
     # vectors travel once, for the representatives alone
-    reps = rows.join(classes.select("id", F.col("h1").alias("g1"), F.col("h2").alias("g2"), "rep"), "id").where("h1 = g1 and h2 = g2").dropDuplicates(["id"]).select("rep", "vec")
+    reps = rows.join(classes.select("id", F.col("h1").alias("g1"), F.col("h2").alias("g2"), "rep"), "id").where("h1 = g1 and h2 = g2").dropDuplicates(["id", "h1", "h2"]).select("rep", "vec")
+    reps = keep(reps)
     # of a class the k + 1 smallest ids can be somebody's nearest
     first = Window.partitionBy("rep").orderBy("id")
     few = member.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("rep", F.col("id").alias("near"))
