@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,20 +78,92 @@ def propagate(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return label
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 12, rounds: int = 16) -> DataFrame:
-    """(id, community): communities of great modularity by Louvain's moves and contractions, distributed and the same for graphs of any size.
+#: Steps into which gains are divided, so that sums in another order give the same move.
+FINE = 1e9
+
+
+def _moves(ids: list, u: np.ndarray, v: np.ndarray, w: np.ndarray, turns: list[str], total: float, levels: int, rounds: int) -> np.ndarray:
+    """The community of each of ids, in order, by the moves of louvain over arcs (u, v, w) of numbers of ids; turns says for each id in which rounds of each level it moves."""
+    n = len(ids)
+    turn = np.array([[int(x) for x in t] for t in turns], np.int8).reshape(n, levels)
+    member = np.arange(n)
+    for level in range(levels):
+        degree = np.bincount(u, w, n)
+        here = np.unique(u)
+        c = np.arange(n)
+        apart = u != v
+        au, av, aw = u[apart], v[apart], w[apart]
+        rested = moved = 0
+        for i in range(rounds):
+            sums = np.bincount(c[here], degree[here], n)
+            key, at = np.unique(np.concatenate([au * n + c[av], here * n + c[here]]), return_inverse=True)
+            link = np.bincount(at, np.concatenate([aw, np.zeros(len(here))]), len(key))
+            ku, kc = key // n, key % n
+            own = kc == c[ku]
+            others = sums[kc] - np.where(own, degree[ku], 0.0)
+            gain = np.floor((link - others * degree[ku] / total) * FINE + 0.5)
+            order = np.lexsort((kc, -gain, ku))
+            first = order[np.concatenate([[True], ku[order][1:] != ku[order][:-1]])]
+            stays = np.zeros(n)
+            stays[ku[own]] = gain[own]
+            move = first[(turn[ku[first], level] == i % 2) & (gain[first] > stays[ku[first]])]
+            c[ku[move]] = kc[move]
+            moved, rested = moved + len(move), 0 if len(move) else rested + 1
+            if rested == 2:
+                break
+        if not moved:
+            break
+        member = c[member]
+        key, at = np.unique(c[u] * n + c[v], return_inverse=True)
+        u, v, w = key // n, key % n, np.bincount(at, w, len(key))
+    return member
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 12, rounds: int = 16, in_a_task: int = 500_000) -> DataFrame:
+    """(id, community): communities of great modularity by Louvain's moves and contractions.
 
     In a round each node of one half, drawn by hash, moves to the neighbouring
     community of greatest gain, ties going to the smaller name; the halves
     alternate, or neighbours would swap for ever. When both halves rest, the
     communities become the nodes of the next level. A community is named by
     one of its nodes; nodes without an edge are communities of their own.
+
+    Moves never leave a connected component, so components of up to in_a_task
+    arcs are each worked out in one task and larger ones by distributed
+    rounds: the same moves in the same order, with the same result.
     """
     plain = edges.where("source <> target").select("source", "target", F.col("weight").cast("double").alias("w"))
     arcs = cut(plain.select(F.col("source").alias("u"), F.col("target").alias("v"), "w").union(plain.select("target", "source", "w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
     total = arcs.agg(F.sum("w")).first()[0] or 0.0
-    member = cut(nodes.select("id").distinct().withColumn("community", F.col("id")))
-    for level in range(levels if total else 0):
+    alone = nodes.select("id").distinct().join(arcs.select(F.col("u").alias("id")), "id", "left_anti").withColumn("community", F.col("id"))
+    if not total:
+        return alone
+    roots = components(arcs.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    placed = cut(arcs.join(roots.withColumnRenamed("id", "u"), "u"))
+    sized = placed.groupBy("root").agg(F.count("*").alias("n"))
+    turn = F.concat(*[F.pmod(F.xxhash64("u", F.lit(i)), F.lit(2)).cast("string") for i in range(levels)])
+    small = placed.join(sized.where(F.col("n") <= in_a_task).select("root"), "root").withColumn("turns", turn)
+    kind = dict(arcs.dtypes)["u"]
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        one = p.drop_duplicates("u").sort_values("u")
+        ids = one["u"].tolist()
+        number = {x: i for i, x in enumerate(ids)}
+        u, v = (p[c].map(number).to_numpy(np.int64) for c in ("u", "v"))
+        got = _moves(ids, u, v, p["w"].to_numpy(float), one["turns"].tolist(), total, levels, rounds)
+        return pd.DataFrame({"id": ids, "community": [ids[i] for i in got]})
+
+    done = small.groupBy("root").applyInPandas(run, f"id {kind}, community {kind}")
+    large = cut(placed.join(sized.where(F.col("n") > in_a_task).select("root"), "root").select("u", "v", "w"))
+    if not large.isEmpty():
+        done = done.unionByName(_distributed_moves(large, total, levels, rounds))
+    return done.unionByName(alone)
+
+
+def _distributed_moves(arcs: DataFrame, total: float, levels: int, rounds: int) -> DataFrame:
+    """(id, community) by the moves of louvain over arcs (u, v, w) of any number."""
+    member = cut(arcs.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id")))
+    for level in range(levels):
         state = cut(arcs.groupBy("u").agg(F.sum("w").alias("degree")).withColumn("c", F.col("u")))
         between = arcs.where("u <> v")
         rested = moves = 0
@@ -99,7 +173,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 12, rounds: int =
             # its own community always stands for choice, also without a link to it
             offered = links.unionByName(state.select("u", "c", F.lit(0.0).alias("link"))).groupBy("u", "c").agg(F.sum("link").alias("link")).join(sums, "c").join(state.withColumnRenamed("c", "own"), "u")
             others = F.col("all") - F.when(F.col("c") == F.col("own"), F.col("degree")).otherwise(0.0)
-            gain = F.round(F.col("link") - others * F.col("degree") / total, 9)
+            gain = F.floor((F.col("link") - others * F.col("degree") / total) * FINE + 0.5)
             best = offered.withColumn("gain", gain).groupBy("u", "own", "degree").agg(F.max("gain").alias("most"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stays"), F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("b"))
             turn = F.pmod(F.xxhash64("u", F.lit(level)), F.lit(2)) == i % 2
             moved = turn & (F.col("most") > F.col("stays"))

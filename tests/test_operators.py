@@ -105,6 +105,8 @@ def test_louvain_comes_near_the_best_split(spark):
     edges = spark.createDataFrame(e, "source string, target string, weight double")
     nodes = spark.createDataFrame([(f"{g}{i}",) for g in "abcdefgh" for i in range(6)], "id string")
     got = graph.louvain(nodes, edges)
+    # one task and distributed rounds make the same moves
+    assert rows(got, "id", "community") == rows(graph.louvain(nodes, edges, in_a_task=0), "id", "community")
     assert got.groupBy("community").count().where("count = 6").count() == 8
     stats = graph.numbered(got.groupBy("community").agg(F.count("*").alias("n_nodes")))
     assert rows(stats, "number") == [(i,) for i in range(8)]
