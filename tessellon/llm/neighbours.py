@@ -135,7 +135,7 @@ def _similar(own: np.ndarray, x: np.ndarray, bits: np.ndarray, length: np.ndarra
         yield i[hit], j[hit], cos[hit]
 
 
-def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least: float, k: int, cell_rows: int = 400, probes: int = 3, asks_in: int = 2, sure: float = 3.0, seed: int = 7) -> DataFrame:
+def similar_classes(reps: DataFrame, seen: DataFrame, n: int, dim: int, at_least: float, k: int, cell_rows: int = 400, probes: int = 3, asks_in: int = 3, sure: float = 3.0, seed: int = 7) -> DataFrame:
     """(a, b, cos): for every row of reps (rep, vec: distinct vectors) its k nearest others, as far as their cosine is at_least.
 
     seen (id, vec) are rows of the same collection, of which centroids are
