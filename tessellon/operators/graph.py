@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -48,20 +50,66 @@ def undirected(links: DataFrame) -> DataFrame:
     return first.select("f.source", "f.target", F.lit(1.0).alias("weight"))
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(id, root): the smallest id reachable over edges (a, b); smallest labels travel along edges and jump over each other's labels, every round cut into the shared folder."""
-    arcs = cut(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
-    label = arcs.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    for _ in range(max_rounds):
-        told = arcs.join(label.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "root")
-        met = label.unionByName(told).groupBy("id").agg(F.min("root").alias("root"))
-        jump = met.join(label.select(F.col("id").alias("root"), F.col("root").alias("_up")), "root", "left").select("id", F.least("root", F.coalesce("_up", "root")).alias("root"))
-        new = cut(jump)
-        moved = new.join(label.withColumnRenamed("root", "_old"), "id").where("root <> _old").limit(1).count()
-        label = new
-        if not moved:
-            return label
-    raise RuntimeError("components did not settle")
+def _linked(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the numbers 0 to n - 1 reachable from each over edges (u, v)."""
+    root = np.arange(n)
+    while len(u):
+        # a root only ever goes below a smaller one, so there is no circle
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        u, v = root[u], root[v]
+        apart = u != v
+        u, v = u[apart], v[apart]
+    return root
+
+
+def components(edges: DataFrame, in_a_task: int = 500_000, max_levels: int = 100) -> DataFrame:
+    """(id, root): the smallest id reachable over edges (a, b).
+
+    On each level a node picks the first of its neighbours and itself in an
+    order drawn anew by hash, and goes two picks further; nodes that arrive
+    at one become one. Whatever the shape, chains and stars among them, at
+    most half of the nodes are expected to be left, so the levels are few.
+    Up to in_a_task arcs are finished in one task, with the same result.
+    """
+    ends = edges.where("a <> b")
+    arcs = cut(ends.select(F.col("a").alias("u"), F.col("b").alias("v")).union(ends.select("b", "a")).distinct())
+    kind = dict(arcs.dtypes)["u"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not (parts := list(batches)):
+            return
+        p = pd.concat(parts)
+        ids = np.sort(p["u"].unique()).tolist()
+        number = {x: i for i, x in enumerate(ids)}
+        got = _linked(*(p[c].map(number).to_numpy(np.int64) for c in ("u", "v")), len(ids))
+        if ids:
+            yield pd.DataFrame({"u": ids, "c": [ids[i] for i in got]})
+
+    levels: list[DataFrame] = []
+    for level in range(max_levels):
+        if arcs.count() <= in_a_task:
+            levels.append(cut(arcs.coalesce(1).mapInPandas(run, f"u {kind}, c {kind}")))
+            break
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(level)).alias("h"), F.col(c).alias("x"))  # noqa: E731, B023
+        pick = cut(arcs.groupBy("u").agg(F.min(order("v")).alias("m")).select("u", F.least("m", order("u"))["x"].alias("c")))
+        found = pick
+        for _ in range(2):
+            found = found.join(pick.select(F.col("u").alias("c"), F.col("c").alias("_up")), "c").select("u", F.col("_up").alias("c"))
+        levels.append(found := cut(found))
+        left = arcs.where("u < v").join(found, "u").select("v", F.col("c").alias("a")).join(found.withColumnRenamed("u", "v"), "v").select("a", F.col("c").alias("b")).where("a <> b")
+        arcs = cut(left.select(F.col("a").alias("u"), F.col("b").alias("v")).union(left.select("b", "a")).distinct())
+    else:
+        raise RuntimeError("components did not settle")
+    above = levels[-1].select(F.col("u").alias("c"), F.col("c").alias("root"))
+    for found in reversed(levels[:-1]):
+        above = found.join(above, "c", "left").select(F.col("u").alias("c"), F.coalesce("root", "c").alias("root"))
+    above = above.select(F.col("c").alias("id"), "root")
+    if len(levels) == 1:
+        return above
+    above = cut(above)
+    return above.join(above.groupBy("root").agg(F.min("id").alias("_least")), "root").select("id", F.col("_least").alias("root"))
 
 
 def propagate(edges: DataFrame, rounds: int = 10) -> DataFrame:

@@ -274,3 +274,14 @@ def test_types_and_patterns(spark):
     assert rows(entities.pattern_hits(df), "standard", "entity_type", "n") == [("B12", "PRODUCT", 1), ("B12/C3", "PRODUCT", 1), ("北方星座三号", "PROJECT", 1)]
     got = rows(df.select("chunk_id", entities.domain_type("content").alias("t"), entities.domain_type("content", {"X": ["CPU"]}).alias("u")).where("chunk_id = 'c'"), "t", "u")
     assert got == [("PROJECT", "X")]
+
+
+def test_components_of_long_chains_and_stars(spark):
+    # down from n to 1 with 0 at the end of n: the smallest has to come along the whole chain
+    chain = [("c%04d" % i, "c%04d" % (i + 1)) for i in range(1, 400)] + [("c0000", "c0400")]
+    star = [("s999", "s%03d" % i) for i in range(300)]
+    edges = spark.createDataFrame(chain + star + [("t", "u"), ("u", "t"), ("x", "x"), ("x", None)], "a string, b string")
+    exp = {"c%04d" % i: "c0000" for i in range(401)} | {"s%03d" % i: "s000" for i in [*range(300), 999]} | {"t": "t", "u": "t"}
+    assert {r["id"]: r["root"] for r in graph.components(edges).collect()} == exp
+    # and by rounds alone
+    assert {r["id"]: r["root"] for r in graph.components(edges, in_a_task=0).collect()} == exp
