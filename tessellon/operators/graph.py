@@ -177,8 +177,9 @@ def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 12, rounds: int =
     one of its nodes; nodes without an edge are communities of their own.
 
     Moves never leave a connected component, so components of up to in_a_task
-    arcs are each worked out in one task and larger ones by distributed
-    rounds: the same moves in the same order, with the same result.
+    arcs are worked out in one task each, or in shares of many small ones, and
+    larger ones by distributed rounds: the same moves in the same order, with
+    the same result.
     """
     plain = edges.where("source <> target").select("source", "target", F.col("weight").cast("double").alias("w"))
     arcs = cut(plain.select(F.col("source").alias("u"), F.col("target").alias("v"), "w").union(plain.select("target", "source", "w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
@@ -188,9 +189,13 @@ def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 12, rounds: int =
         return alone
     roots = components(arcs.select(F.col("u").alias("a"), F.col("v").alias("b")))
     placed = cut(arcs.join(roots.withColumnRenamed("id", "u"), "u"))
-    sized = placed.groupBy("root").agg(F.count("*").alias("n"))
+    sized = cut(placed.groupBy("root").agg(F.count("*").alias("n")))
     turn = F.concat(*[F.pmod(F.xxhash64("u", F.lit(i)), F.lit(2)).cast("string") for i in range(levels)])
-    small = placed.join(sized.where(F.col("n") <= in_a_task).select("root"), "root").withColumn("turns", turn)
+    # small components share tasks; components don't touch each other, so this changes no move
+    few = F.col("n") <= in_a_task // 10
+    shares = max(1, -(-(sized.where(few).agg(F.sum("n")).first()[0] or 0) // max(1, in_a_task // 10)))
+    group = F.when(few, F.pmod(F.xxhash64("root"), F.lit(shares)).cast("string"))
+    small = placed.join(sized.where(F.col("n") <= in_a_task).select("root", group.alias("share"), F.when(~few, F.col("root")).alias("one")), "root").withColumn("turns", turn)
     kind = dict(arcs.dtypes)["u"]
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
@@ -201,7 +206,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 12, rounds: int =
         got = _moves(ids, u, v, p["w"].to_numpy(float), one["turns"].tolist(), total, levels, rounds)
         return pd.DataFrame({"id": ids, "community": [ids[i] for i in got]})
 
-    done = small.groupBy("root").applyInPandas(run, f"id {kind}, community {kind}")
+    done = small.groupBy("share", "one").applyInPandas(run, f"id {kind}, community {kind}")
     large = cut(placed.join(sized.where(F.col("n") > in_a_task).select("root"), "root").select("u", "v", "w"))
     if not large.isEmpty():
         done = done.unionByName(_distributed_moves(large, total, levels, rounds))

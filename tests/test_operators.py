@@ -285,3 +285,16 @@ def test_components_of_long_chains_and_stars(spark):
     assert {r["id"]: r["root"] for r in graph.components(edges).collect()} == exp
     # and by rounds alone
     assert {r["id"]: r["root"] for r in graph.components(edges, in_a_task=0).collect()} == exp
+
+
+def test_louvain_of_long_chains_and_many_small_components(spark):
+    chain = [("c%04d" % i, "c%04d" % (i + 1), 1.0) for i in range(1, 400)] + [("c0000", "c0400", 1.0)]
+    threes = [(f"t{i}{a}", f"t{i}{b}", 1.0) for i in range(100) for a, b in ("ab", "bc", "ac")]
+    edges = spark.createDataFrame(chain + threes, "source string, target string, weight double")
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("id"))
+    got = graph.louvain(nodes, edges)
+    # all in one share; small ones in shares and the chain by itself
+    assert rows(got, "id", "community") == rows(graph.louvain(nodes, edges, in_a_task=1000), "id", "community")
+    by = dict(rows(got, "id", "community"))
+    assert len(by) == 701 and all(len({by[f"t{i}{a}"] for a in "abc"}) == 1 for i in range(100))
+    assert graph.modularity(got, edges).first()[0] > 0.9
