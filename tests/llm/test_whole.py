@@ -1,9 +1,12 @@
 """Tests that the operators do the whole job where a cut once left some of it out."""
 
 import random
+import tracemalloc
+
+import numpy as np
 
 from tessellon import catalog
-from tessellon.llm import names, queries
+from tessellon.llm import names, neighbours, queries
 
 
 def test_edited_contents_at_half_are_found(spark, tmp_path):
@@ -54,3 +57,16 @@ def test_a_typo_in_a_crowded_surname_is_compared(spark):
     df = spark.createDataFrame(forms, "form long, kind string, core string, given string, initial string, unit string, field string, form_kind string, han boolean")
     got = {(r["a"], r["b"]) for r in names.linked(df, 0.85).collect()}
     assert {(i, len(people) + i) for i in range(4)} <= got
+
+
+def test_many_centroids_need_little_memory():
+    x = np.random.default_rng(3).standard_normal((16_000, 64)).astype(np.float32)
+    tracemalloc.start()
+    try:
+        got = neighbours._centroids(x, 8_000, 7, steps=1)
+        assert tracemalloc.get_traced_memory()[1] < 100e6  # all products at once take 512 MB
+    finally:
+        tracemalloc.stop()
+    start = x[np.random.default_rng(7).choice(len(x), 8_000, replace=False)]
+    at = (x[:500] @ start.T).argmax(1)
+    assert np.allclose(got[at[0]], x[(x @ start.T).argmax(1) == at[0]].sum(0) / np.linalg.norm(x[(x @ start.T).argmax(1) == at[0]].sum(0)), atol=1e-5)
