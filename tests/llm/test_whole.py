@@ -1,12 +1,16 @@
 """Tests that the operators do the whole job where a cut once left some of it out."""
 
+import math
 import random
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 
 from tessellon import catalog
 from tessellon.llm import names, neighbours, queries
+from tessellon.operators import versions
+from tessellon.plans.lineage import shared_dir
 
 
 def test_edited_contents_at_half_are_found(spark, tmp_path):
@@ -70,3 +74,26 @@ def test_many_centroids_need_little_memory():
     start = x[np.random.default_rng(7).choice(len(x), 8_000, replace=False)]
     at = (x[:500] @ start.T).argmax(1)
     assert np.allclose(got[at[0]], x[(x @ start.T).argmax(1) == at[0]].sum(0) / np.linalg.norm(x[(x @ start.T).argmax(1) == at[0]].sum(0)), atol=1e-5)
+
+
+def test_similar_contents_keeps_no_runs_and_loses_no_pair(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz甲乙丙😀", k=n))
+    files = []
+    for i in range(60):
+        one = text(rng.choice([60, 300, 1500, 4000]))
+        # cut off or written over, so that similarities lie on both sides of 0.7
+        files += [("f", f"{i}a", one), ("f", f"{i}b", one[: math.ceil(len(one) * rng.uniform(0.6, 1))]), ("f", f"{i}c", text(len(one) // rng.choice([5, 7, 20])) + one)]
+    df = spark.createDataFrame(files, "folder string, filename string, content string")
+    at = Path(shared_dir(spark).removeprefix("file:"))
+    stored = lambda: sum(p.stat().st_size for p in at.rglob("*") if p.is_file())
+    before = stored()
+    pairs = versions.similar_contents(df)
+    assert stored() - before < 3 * sum(len(t.encode()) for _, _, t in files)
+    runs = {k: {t[i : i + 3] for i in range(len(t) - 2)} for _, k, t in files if len(t) > 50}
+    alike = {(a, b): len(runs[a] & runs[b]) / len(runs[a] | runs[b]) for a in runs for b in runs if a < b}
+    exp = {p: round(s, 6) for p, s in alike.items() if s >= 0.7}
+    assert len(exp) > 60
+    assert {(r["a"], r["b"]): r["similarity"] for r in pairs.collect()} == exp
+    # and by many slices
+    assert {(r["a"], r["b"]): r["similarity"] for r in versions.similar_contents(df, slice_rows=16).collect()} == exp
