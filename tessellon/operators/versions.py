@@ -122,6 +122,7 @@ def similar_contents(files: DataFrame, at_least: float = 0.7, first: int | None
 
 def greedy_clusters(pairs: DataFrame) -> DataFrame:
     """(folder, seed, member): files gathered greedily, in order of name, each seed taking the files similar to it that are still free. Files that no chain of pairs (folder, a, b) links don't touch each other, so each linked group of a folder is a task."""
+    pairs = keep(pairs)  # for the groups and for the members of each
     of = lambda c: F.concat_ws("\x01", F.col("folder"), F.col(c).cast("string"))
     roots = graph.components(pairs.select(of("a").alias("a"), of("b").alias("b")))
     placed = pairs.withColumn("id", of("a")).join(roots, "id").drop("id")

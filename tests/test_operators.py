@@ -298,3 +298,11 @@ def test_louvain_of_long_chains_and_many_small_components(spark):
     by = dict(rows(got, "id", "community"))
     assert len(by) == 701 and all(len({by[f"t{i}{a}"] for a in "abc"}) == 1 for i in range(100))
     assert graph.modularity(got, edges).first()[0] > 0.9
+
+
+def test_greedy_clusters_of_a_long_chain(spark):
+    chain = [("c%04d" % i, "c%04d" % (i + 1)) for i in range(1, 400)] + [("c0000", "c0400")]
+    pairs = spark.createDataFrame([("f", a, b) for a, b in chain], "folder string, a string, b string")
+    # each seed takes the next file, the last but one is left without a free one
+    exp = [("c0000", "c0400")] + [("c%04d" % i, "c%04d" % (i + 1)) for i in range(1, 399, 2)]
+    assert rows(versions.greedy_clusters(pairs), "seed", "member") == sorted((s, m) for s, t in exp for m in (s, t))
